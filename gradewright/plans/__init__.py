@@ -1,0 +1,6 @@
+"""Importing this package registers all queries."""
+
+from . import curation  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
