@@ -66,6 +66,16 @@ def _all_present(columns: Sequence[str]) -> Column:
     return present
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, cut finer before row-wise work that outweighs a shuffle.
+
+    Inputs with enough splits stay as they are. For scans only: counting the partitions of a plan
+    with shuffles would run them.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the greatest ``order`` of every key, with partial aggregation before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -3,38 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, base_test_name, strip, strip_ansi
+from ..functions.text import SPACE, base_test_name, strip_ansi
 from .layout import numbered, skew_join
 
 STATUSES = ("PASSED", "FAILED", "SKIPPED", "ERROR")
 ALL_STATUSES = (*STATUSES, "UNKNOWN")
 SUMMARY = "short test summary info"
-# '.' and '$' stop at a line feed only; the name ends at the first " - ".
-TEST_LINE = rf"(?Ud)^({'|'.join(STATUSES)}){SPACE}+(.+?)(?:{SPACE}-{SPACE}.*)?$"
-CANDIDATE = rf"(?U)^{SPACE}*(?:{'|'.join(STATUSES)}){SPACE}"
+ANY_STATUS = "|".join(STATUSES)
+NO_SPACE = SPACE.replace("[", "[^", 1)
+CANDIDATE = rf"(?U)^{SPACE}*(?:{ANY_STATUS}){SPACE}+{NO_SPACE}"
+# '.' and '$' stop at a line feed only; the name ends at the first " - " that has text behind it.
+TEST_LINE = (
+    rf"(?Ud)^{SPACE}*(?:{ANY_STATUS}){SPACE}+(.+?){SPACE}*"
+    rf"(?:{SPACE}-{SPACE}.*{NO_SPACE})?{SPACE}*$"
+)
 
 
 def parse_test_log(logs: DataFrame, log: str = "log") -> DataFrame:
     """One row per status line of a log: all other columns, ``pos``, ``test`` and ``status``.
 
-    Lines count from the summary heading on, or from the start where a log has none.
+    Lines count from the summary heading on, or from the start where a log has none. A plain
+    search for the status words comes before any pattern, since most lines of a log have none.
     """
     keep = [c for c in logs.columns if c != log]
-    clean = strip_ansi(F.col(log))
-    start = F.greatest(F.instr(clean, SUMMARY), F.lit(1))
-    section = clean.substr(start, F.length(clean))
-    lines = logs.select(*keep, F.posexplode(F.split(section, "\n")).alias("pos", "line"))
-    stripped = lines.where(F.col("line").rlike(CANDIDATE)).withColumn("line", strip(F.col("line")))
-    return stripped.select(
+    has_codes = F.col(log).contains("\x1b")
+    clean = logs.select(
+        *keep, F.when(has_codes, strip_ansi(F.col(log))).otherwise(F.col(log)).alias("_clean")
+    )
+    start = F.greatest(F.instr("_clean", SUMMARY), F.lit(1))
+    section = F.col("_clean").substr(start, F.length("_clean"))
+    lines = clean.select(*keep, F.posexplode(F.split(section, "\n")).alias("pos", "_line"))
+    line = F.col("_line")
+    word = reduce(or_, [line.contains(status) for status in STATUSES])
+    return lines.where(word & line.rlike(CANDIDATE)).select(
         *keep,
         "pos",
-        strip(F.regexp_extract("line", TEST_LINE, 2)).alias("test"),
-        F.regexp_extract("line", TEST_LINE, 1).alias("status"),
-    ).where(F.col("status") != "")
+        F.regexp_extract(line, TEST_LINE, 1).alias("test"),
+        F.regexp_extract(line, "[A-Z]+", 0).alias("status"),
+    )
 
 
 def last_status_per_test(

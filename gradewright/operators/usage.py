@@ -13,55 +13,64 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LINE_BREAK, strip, strip_ansi
 
-JSON_OPTIONS = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
 CODES = "mGKHF"
 USAGE = "struct<input bigint, output bigint, total bigint>"
 
 
-def _count(value: Column) -> Column:
-    """Whole number of a JSON number or numeric text."""
-    return F.coalesce(value.try_cast("bigint"), F.floor(value.try_cast("double")))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _count(json: Column, path: str) -> Column:
+    """Whole number at a path of parsed JSON: a number, or text of digits."""
+    return F.try_variant_get(json, path, "bigint")
 
 
 def _usage(inp: Column, out: Column, total: Column) -> Column:
     return F.struct(inp.alias("input"), out.alias("output"), total.alias("total")).cast(USAGE)
 
 
-def _json_lines(log: Column, schema: str) -> Column:
-    """Parsed JSON object lines of a log; lines that do not parse are left out."""
-    lines = F.transform(F.split(strip_ansi(log, CODES), LINE_BREAK), strip)
+def _events(clean: Column) -> Column:
+    """Parsed JSON object lines of a log in order; lines that do not parse are left out."""
+    lines = F.transform(F.split(clean, LINE_BREAK), strip)
     objects = F.filter(lines, lambda line: line.startswith("{") & line.endswith("}"))
-    parsed = F.transform(objects, lambda line: F.from_json(line, f"{schema}, _bad string", JSON_OPTIONS))
-    return F.filter(parsed, lambda event: event["_bad"].isNull())
+    return F.filter(F.transform(objects, F.try_parse_json), lambda event: event.isNotNull())
 
 
 def usage_table_box(log: Column) -> Column:
     """Rows of a box-drawn table after 'Execution Summary'; the last row of a kind wins."""
-    clean = strip_ansi(log)
-    start = F.instr(clean, "Execution Summary")
-    section = F.when(start > 0, clean.substr(start, F.length(clean)))
 
-    def last(kind: str) -> Column:
-        row = rf"(?m)^[^\S\n]*│ {kind}\s*│\s*([0-9]+)"
-        hits = F.regexp_extract_all(section, F.lit(row), F.lit(1))
-        return F.get(hits, F.size(hits) - 1).try_cast("bigint")
+    def read(clean: Column) -> Column:
+        start = F.instr(clean, "Execution Summary")
+        section = F.when(start > 0, clean.substr(start, F.length(clean)))
+
+        def last(kind: str) -> Column:
+            row = rf"(?m)^[^\S\n]*│ {kind}\s*│\s*([0-9]+)"
+            hits = F.regexp_extract_all(section, F.lit(row), F.lit(1))
+            return F.element_at(F.when(F.size(hits) > 0, hits), -1).try_cast("bigint")
+
+        return _usage(last("Input Tokens"), last("Output Tokens"), last("Total Tokens"))
 
-    return _usage(last("Input Tokens"), last("Output Tokens"), last("Total Tokens"))
+    return _let(strip_ansi(log), read)
 
 
 def usage_last_json(log: Column) -> Column:
     """The last JSON line with ``usage`` counts; the total takes a missing side as 0."""
-    events = _json_lines(log, "usage struct<input_tokens string, output_tokens string>")
-    pairs = F.transform(
-        events,
-        lambda e: F.struct(
-            _count(e["usage"]["input_tokens"]).alias("i"), _count(e["usage"]["output_tokens"]).alias("o")
-        ),
-    )
-    seen = F.filter(pairs, lambda p: p["i"].isNotNull() | p["o"].isNotNull())
-    last = F.get(seen, F.size(seen) - 1)
-    total = F.coalesce(last["i"], F.lit(0)) + F.coalesce(last["o"], F.lit(0))
-    return _usage(last["i"], last["o"], F.when(F.size(seen) > 0, total))
+
+    def pair(event: Column) -> Column:
+        return F.struct(
+            _count(event, "$.usage.input_tokens").alias("i"),
+            _count(event, "$.usage.output_tokens").alias("o"),
+        )
+
+    def read(seen: Column) -> Column:
+        last = F.element_at(F.when(F.size(seen) > 0, seen), -1)
+        total = F.coalesce(last["i"], F.lit(0)) + F.coalesce(last["o"], F.lit(0))
+        return _usage(last["i"], last["o"], F.when(F.size(seen) > 0, total))
+
+    pairs = F.transform(_events(strip_ansi(log, CODES)), pair)
+    return _let(F.filter(pairs, lambda p: p["i"].isNotNull() | p["o"].isNotNull()), read)
 
 
 # Places and names under which event lines report counts, in order of preference.
@@ -72,32 +81,34 @@ OUTPUT_NAMES = ("completion_tokens", "output_tokens", "total_output_tokens")
 
 def usage_sum_json(log: Column) -> Column:
     """Sum over all JSON lines of the first place with counts; null when no line has any."""
-    fields = ", ".join(f"{n} string" for n in (*INPUT_NAMES, *OUTPUT_NAMES))
-    events = _json_lines(log, ", ".join(f"{p} struct<{fields}>" for p in EVENT_PLACES))
 
-    def pick(place: Column, names: tuple[str, ...]) -> Column:
+    def pick(event: Column, place: str, names: tuple[str, ...]) -> Column:
         # a zero falls through to the next name, only the last may be zero
-        counts = [_count(place[name]) for name in names]
+        counts = [_count(event, f"$.{place}.{name}") for name in names]
         return F.coalesce(*[F.nullif(c, F.lit(0)) for c in counts[:-1]], counts[-1])
 
     def of_event(event: Column) -> Column:
-        choices = []
-        for name in EVENT_PLACES:
-            i, o = pick(event[name], INPUT_NAMES), pick(event[name], OUTPUT_NAMES)
-            choices.append(
-                F.when(i.isNotNull() | o.isNotNull(), F.struct(i.alias("i"), o.alias("o")))
+        pairs = F.array(*[
+            F.struct(
+                pick(event, place, INPUT_NAMES).alias("i"),
+                pick(event, place, OUTPUT_NAMES).alias("o"),
             )
-        return F.coalesce(*choices)
+            for place in EVENT_PLACES
+        ])
+        return F.get(F.filter(pairs, lambda p: p["i"].isNotNull() | p["o"].isNotNull()), F.lit(0))
 
-    seen = F.filter(F.transform(events, of_event), lambda p: p.isNotNull())
+    zero = F.lit(0).cast("bigint")
 
-    def total(side: str) -> Column:
-        zero = F.lit(0).cast("bigint")
+    def total(seen: Column, side: str) -> Column:
         summed = F.aggregate(seen, zero, lambda acc, p: acc + F.coalesce(p[side], zero))
         return F.when(F.size(seen) > 0, summed)
 
-    inp, out = total("i"), total("o")
-    return _usage(inp, out, inp + out)
+    def read(seen: Column) -> Column:
+        inp, out = total(seen, "i"), total(seen, "o")
+        return _usage(inp, out, inp + out)
+
+    found = F.transform(_events(strip_ansi(log, CODES)), of_event)
+    return _let(F.filter(found, lambda p: p.isNotNull()), read)
 
 
 # Flat names used where a summary has no per-model counts.
@@ -108,33 +119,42 @@ FLAT_TOTAL = ("totalTokenCount", "totalTokens", "total_tokens")
 
 def usage_model_stats(log: Column) -> Column:
     """Per-model counts of the last JSON line (else of the whole log as one document), summed."""
-    flat = ", ".join(f"{n} string" for n in (*FLAT_INPUT, *FLAT_OUTPUT, *FLAT_TOTAL))
-    tokens = "struct<tokens: struct<input: string, candidates: string, total: string>>"
-    schema = f"stats struct<models map<string, {tokens}>, {flat}>"
-    events = _json_lines(log, schema)
-    whole = F.from_json(
-        strip(strip_ansi(log, CODES)), f"{schema}, _bad string", JSON_OPTIONS
-    )
-    whole = F.when(whole["_bad"].isNull(), whole)
-    stats = F.coalesce(F.get(events, F.size(events) - 1), whole)["stats"]
-    models = F.map_values(stats["models"])
-
-    def total(name: str) -> Column:
-        zero = F.lit(0).cast("bigint")
-        return F.aggregate(
-            models, zero, lambda acc, m: acc + F.coalesce(_count(m["tokens"][name]), zero)
+    zero = F.lit(0).cast("bigint")
+
+    def document(clean: Column) -> Column:
+        def last(events: Column) -> Column:
+            whole = F.try_parse_json(strip(clean))
+            return F.when(F.size(events) > 0, F.element_at(events, -1)).otherwise(whole)
+
+        return _let(_events(clean), last)
+
+    def per_model(models: Column) -> Column:
+        def total(name: str) -> Column:
+            return F.nullif(
+                F.aggregate(
+                    models, zero, lambda acc, m: acc + F.coalesce(_count(m, f"$.tokens.{name}"), zero)
+                ),
+                F.lit(0),
+            )
+
+        i, c, t = total("input"), total("candidates"), total("total")
+        both = F.coalesce(i, zero) + F.coalesce(c, zero)
+        return _usage(i, c, F.coalesce(t, F.nullif(both, F.lit(0))))
+
+    def flat(event: Column) -> Column:
+        i, o, t = (
+            F.coalesce(*[_count(event, f"$.stats.{name}") for name in names])
+            for names in (FLAT_INPUT, FLAT_OUTPUT, FLAT_TOTAL)
         )
+        return _usage(i, o, F.coalesce(t, i + o))
 
-    def first(names: tuple[str, ...]) -> Column:
-        return F.coalesce(*[_count(stats[n]) for n in names])
+    def read(event: Column) -> Column:
+        models = F.map_values(F.try_variant_get(event, "$.stats.models", "map<string, variant>"))
+        return _let(
+            models, lambda m: F.when(F.size(m) > 0, per_model(m)).otherwise(flat(event))
+        )
 
-    i, c, t = (F.nullif(total(n), F.lit(0)) for n in ("input", "candidates", "total"))
-    both = F.coalesce(i, F.lit(0)) + F.coalesce(c, F.lit(0))
-    per_model = _usage(i, c, F.coalesce(t, F.nullif(both, F.lit(0))))
-    fi, fo, ft = first(FLAT_INPUT), first(FLAT_OUTPUT), first(FLAT_TOTAL)
-    return F.when(F.size(models) > 0, per_model).otherwise(
-        _usage(fi, fo, F.coalesce(ft, fi + fo))
-    )
+    return _let(_let(strip_ansi(log, CODES), document), read)
 
 
 Parser = Callable[[Column], Column]

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schemas import FILE_CHANGE, FILE_CHANGES
+from ..operators.layout import spread
+from ..schemas import FILE_CHANGES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,7 +147,7 @@ def test_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = """CASE WHEN l_returnflag = 'A' THEN 'FAILED' WHEN l_returnflag = 'N' THEN 'PASSED'
                      WHEN l_linenumber % 2 = 0 THEN 'SKIPPED' ELSE 'ERROR' END"""
     after = "CASE WHEN l_linestatus = 'F' AND l_linenumber % 4 = 0 THEN 'FAILED' ELSE 'PASSED' END"
-    runs = table(spark, sf_dir, "lineitem").selectExpr(
+    runs = spread(table(spark, sf_dir, "lineitem")).selectExpr(
         "concat('i', l_orderkey) AS instance_id",
         """((cast(round(l_extendedprice * 100) AS bigint) * 100 + cast(l_quantity AS bigint)) * 4
             + instr('ANR', l_returnflag)) * 2 + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END
@@ -184,7 +185,7 @@ def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agent_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run log per event in the format of its kind; counts come from props and event_id."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return spread(table(spark, sf_dir, "events")).selectExpr(
         "event_type AS agent", "concat('e', event_id) AS instance_id",
         "cast(get_json_object(props, '$.k') AS bigint) AS n", "event_id % 100 AS m", "event_id",
     ).selectExpr(
@@ -217,7 +218,7 @@ def code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         r"        return 1\n    return inner\n\nif os:\n    def cond():\n        pass\n'"
     )
     gone = r"'\ndef gone():\n    pass\n'"
-    return table(spark, sf_dir, "part").selectExpr(
+    return spread(table(spark, sf_dir, "part")).selectExpr(
         "concat('p', p_partkey) AS instance_id",
         "concat('tests/test_', p_size, '.py') AS path",
         f"concat({head}, {tail}, {gone}) AS before",
