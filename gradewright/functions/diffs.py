@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 
 def _text(*parts: Column | str) -> Column:
@@ -70,33 +70,41 @@ def extract_file_info(lines: Column) -> Column:
     """``struct<filename, status, old_filename>`` of one file chunk; filename null if headless."""
     header = r"^diff --git a/(.*?) b/(.*)$"
     first = F.get(lines, F.lit(0))
-    old = F.regexp_extract(first, header, 1)
-    new = F.regexp_extract(first, header, 2)
-    marks = F.transform(
+    marks = F.filter(
         F.slice(lines, 1, 10),
-        lambda line: F.when(line.startswith("new file mode"), F.lit("added"))
-        .when(line.startswith("deleted file mode"), F.lit("removed"))
-        .when(line.startswith("rename from"), F.lit("renamed")),
-    )
-    found = F.get(F.filter(marks, lambda m: m.isNotNull()), F.lit(0))
-    status = F.coalesce(found, F.lit("modified"))
-    return F.struct(
-        F.nullif(F.when(status == "removed", old).otherwise(new), F.lit("")).alias("filename"),
-        status.alias("status"),
-        F.when(status == "renamed", old).alias("old_filename"),
+        lambda line: line.startswith("new file mode")
+        | line.startswith("deleted file mode")
+        | line.startswith("rename from"),
     )
 
+    def build(mark: Column) -> Column:
+        old = F.regexp_extract(first, header, 1)
+        new = F.regexp_extract(first, header, 2)
+        removed, renamed = mark.startswith("deleted"), mark.startswith("rename")
+        status = (
+            F.when(mark.startswith("new"), "added").when(removed, "removed").when(renamed, "renamed")
+        )
+        return F.struct(
+            F.nullif(F.when(removed, old).otherwise(new), F.lit("")).alias("filename"),
+            F.coalesce(status, F.lit("modified")).alias("status"),
+            F.when(renamed, old).alias("old_filename"),
+        )
+
+    return let(F.get(marks, F.lit(0)), build)
+
 
 def extract_hunks(lines: Column) -> Column:
     """Hunk text of a chunk: from the first '@@' on, header and body lines; '\\' lines always."""
-    marked = F.transform(lines, lambda line: line.startswith("@@"))
-    start = F.array_position(marked, F.lit(True))
+    first = F.array_position(F.transform(lines, lambda line: line.startswith("@@")), F.lit(True))
 
-    def keep(line: Column, index: Column) -> Column:
-        body = (start > 0) & (index + 1 >= start) & ((line == "") | line.rlike("^(?:@@|[+ -])"))
-        return body | line.startswith("\\")
+    def cut(start: Column) -> Column:
+        def keep(line: Column, index: Column) -> Column:
+            body = (start > 0) & (index + 1 >= start) & ((line == "") | line.rlike("^(?:@@|[+ -])"))
+            return body | line.startswith("\\")
 
-    return F.array_join(F.filter(lines, keep), "\n")
+        return F.array_join(F.filter(lines, keep), "\n")
+
+    return let(first, cut)
 
 
 HUNK_HEADER = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
@@ -140,9 +148,13 @@ def new_side(body: Column) -> Column:
 
 def hunk_is_sound(hunk: Column) -> Column:
     """Whether the body has as many old and new lines as the header says."""
-    numbers, body = hunk_numbers(hunk), hunk_body(hunk)
-    return F.coalesce(
-        (F.size(old_side(body)) == numbers["old_len"])
-        & (F.size(new_side(body)) == numbers["new_len"]),
-        F.lit(False),
-    )
+
+    def check(numbers: Column) -> Column:
+        body = hunk_body(hunk)
+        return F.coalesce(
+            (F.size(old_side(body)) == numbers["old_len"])
+            & (F.size(new_side(body)) == numbers["new_len"]),
+            F.lit(False),
+        )
+
+    return let(hunk_numbers(hunk), check)

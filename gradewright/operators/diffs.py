@@ -12,6 +12,7 @@ from ..functions.diffs import (
     hunk_numbers, new_side, old_side, split_files, split_hunks,
 )
 from ..functions.paths import is_test_patch
+from ..functions.text import let
 from ..schemas import FILE_CHANGES
 
 LINES = "array<string>"
@@ -21,13 +22,17 @@ def parse_unified_diff(df: DataFrame, id: str = "instance_id", col: str = "diff"
     """One row per file of a diff; chunks without a git header are dropped."""
     chunks = df.select(id, F.posexplode(split_files(F.col(col))).alias("pos", "_chunk"))
     lines = chunks.select(id, "pos", chunk_lines(F.col("_chunk")).alias("_lines"))
-    info = lines.select(id, "pos", "_lines", extract_file_info(F.col("_lines")).alias("_info"))
-    return info.where("_info.filename IS NOT NULL").select(
+    # a generator drops the headless chunks, so that no filter repeats the extraction
+    named = F.filter(F.array(extract_file_info(F.col("_lines"))), lambda i: i["filename"].isNotNull())
+    files = lines.select(id, "pos", "_lines", F.inline(named))
+    return files.select(
         id,
         "pos",
-        "_info.*",
+        "filename",
+        "status",
+        "old_filename",
         extract_hunks(F.col("_lines")).alias("patch"),
-        is_test_patch(F.col("_info.filename")).alias("is_test"),
+        is_test_patch(F.col("filename")).alias("is_test"),
     )
 
 
@@ -50,9 +55,10 @@ def validate_diff(df: DataFrame, col: str = "diff", id: str = "instance_id") ->
     files = chunks.select(
         id,
         extract_file_info(chunk_lines(F.col("_chunk")))["filename"].alias("path"),
-        F.posexplode(split_hunks(F.col("_chunk"))).alias("hunk", "_text"),
+        split_hunks(F.col("_chunk")).alias("_hunks"),
     )
-    return files.select(id, "path", "hunk", hunk_is_sound(F.col("_text")).alias("ok"))
+    hunks = files.select(id, "path", F.posexplode("_hunks").alias("hunk", "_text"))
+    return hunks.select(id, "path", "hunk", hunk_is_sound(F.col("_text")).alias("ok"))
 
 
 def invalid_instances(checked: DataFrame, id: str = "instance_id") -> DataFrame:
@@ -109,23 +115,31 @@ def applied_files(applied: DataFrame, id: str = "instance_id", size: int = 10_00
     return nest_in_chunks(done, [id], "pos", F.col("filename"), "applied_files", size)
 
 
+def _bare(lines: Column) -> Column:
+    """Diff lines without their marker."""
+    return F.transform(lines, lambda line: F.substring(line, 2, 2**31 - 1))
+
+
 def _patched(lines: Column, patch: Column) -> Column:
     """``struct<out, cursor, ok>`` of applying all hunks of a patch to the lines of a file."""
-    hunks = F.transform(
-        split_hunks(F.coalesce(patch, F.lit(""))),
-        lambda h: F.struct(
-            hunk_numbers(h).alias("n"),
-            hunk_is_sound(h).alias("sound"),
-            F.transform(old_side(hunk_body(h)), lambda x: F.substring(x, 2, 2**31 - 1)).alias("old"),
-            F.transform(new_side(hunk_body(h)), lambda x: F.substring(x, 2, 2**31 - 1)).alias("new"),
-        ),
-    )
+    def read(h: Column) -> Column:
+        return let(
+            hunk_body(h),
+            lambda body: F.struct(
+                hunk_numbers(h)["old_start"].alias("old_start"),
+                hunk_is_sound(h).alias("sound"),
+                _bare(old_side(body)).alias("old"),
+                _bare(new_side(body)).alias("new"),
+            ),
+        )
+
+    hunks = F.transform(split_hunks(F.coalesce(patch, F.lit(""))), read)
     start = F.struct(
         F.array().cast(LINES).alias("out"), F.lit(0).alias("cursor"), F.lit(True).alias("ok")
     )
 
     def step(acc: Column, hunk: Column) -> Column:
-        given = F.coalesce(hunk["n"]["old_start"], F.lit(0)).cast("int")
+        given = F.coalesce(hunk["old_start"], F.lit(0)).cast("int")
         first = F.greatest(F.when(F.size(hunk["old"]) == 0, given).otherwise(given - 1), F.lit(0))
         gap = F.greatest(first - acc["cursor"], F.lit(0))
         here = F.slice(lines, first + 1, F.size(hunk["old"]))

@@ -11,17 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LINE_BREAK, strip, strip_ansi
+from ..functions.text import LINE_BREAK, let, strip, strip_ansi
 
 CODES = "mGKHF"
 USAGE = "struct<input bigint, output bigint, total bigint>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _count(json: Column, path: str) -> Column:
     """Whole number at a path of parsed JSON: a number, or text of digits."""
     return F.try_variant_get(json, path, "bigint")
@@ -52,7 +47,7 @@ def usage_table_box(log: Column) -> Column:
 
         return _usage(last("Input Tokens"), last("Output Tokens"), last("Total Tokens"))
 
-    return _let(strip_ansi(log), read)
+    return let(strip_ansi(log), read)
 
 
 def usage_last_json(log: Column) -> Column:
@@ -70,7 +65,7 @@ def usage_last_json(log: Column) -> Column:
         return _usage(last["i"], last["o"], F.when(F.size(seen) > 0, total))
 
     pairs = F.transform(_events(strip_ansi(log, CODES)), pair)
-    return _let(F.filter(pairs, lambda p: p["i"].isNotNull() | p["o"].isNotNull()), read)
+    return let(F.filter(pairs, lambda p: p["i"].isNotNull() | p["o"].isNotNull()), read)
 
 
 # Places and names under which event lines report counts, in order of preference.
@@ -108,7 +103,7 @@ def usage_sum_json(log: Column) -> Column:
         return _usage(inp, out, inp + out)
 
     found = F.transform(_events(strip_ansi(log, CODES)), of_event)
-    return _let(F.filter(found, lambda p: p.isNotNull()), read)
+    return let(F.filter(found, lambda p: p.isNotNull()), read)
 
 
 # Flat names used where a summary has no per-model counts.
@@ -126,7 +121,7 @@ def usage_model_stats(log: Column) -> Column:
             whole = F.try_parse_json(strip(clean))
             return F.when(F.size(events) > 0, F.element_at(events, -1)).otherwise(whole)
 
-        return _let(_events(clean), last)
+        return let(_events(clean), last)
 
     def per_model(models: Column) -> Column:
         def total(name: str) -> Column:
@@ -150,11 +145,11 @@ def usage_model_stats(log: Column) -> Column:
 
     def read(event: Column) -> Column:
         models = F.map_values(F.try_variant_get(event, "$.stats.models", "map<string, variant>"))
-        return _let(
+        return let(
             models, lambda m: F.when(F.size(m) > 0, per_model(m)).otherwise(flat(event))
         )
 
-    return _let(_let(strip_ansi(log, CODES), document), read)
+    return let(let(strip_ansi(log, CODES), document), read)
 
 
 Parser = Callable[[Column], Column]
