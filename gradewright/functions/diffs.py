@@ -69,42 +69,53 @@ def chunk_lines(chunk: Column) -> Column:
 def extract_file_info(lines: Column) -> Column:
     """``struct<filename, status, old_filename>`` of one file chunk; filename null if headless."""
     header = r"^diff --git a/(.*?) b/(.*)$"
-    first = F.get(lines, F.lit(0))
-    marks = F.filter(
-        F.slice(lines, 1, 10),
-        lambda line: line.startswith("new file mode")
-        | line.startswith("deleted file mode")
-        | line.startswith("rename from"),
-    )
 
-    def build(mark: Column) -> Column:
-        old = F.regexp_extract(first, header, 1)
-        new = F.regexp_extract(first, header, 2)
-        removed, renamed = mark.startswith("deleted"), mark.startswith("rename")
-        status = (
-            F.when(mark.startswith("new"), "added").when(removed, "removed").when(renamed, "renamed")
+    def build(lines: Column) -> Column:
+        first = F.get(lines, F.lit(0))
+        marks = F.filter(
+            F.slice(lines, 1, 10), lambda line: line.rlike("^(?:new file|deleted file|rename from)")
         )
-        return F.struct(
-            F.nullif(F.when(removed, old).otherwise(new), F.lit("")).alias("filename"),
-            F.coalesce(status, F.lit("modified")).alias("status"),
-            F.when(renamed, old).alias("old_filename"),
+
+        def name(parts: Column) -> Column:
+            mark, old, new = parts["mark"], parts["old"], parts["new"]
+            status = (
+                F.when(mark.startswith("new file mode"), "added")
+                .when(mark.startswith("deleted file mode"), "removed")
+                .when(mark.startswith("rename from"), "renamed")
+            )
+            is_removed, is_renamed = status == "removed", status == "renamed"
+            return F.struct(
+                F.nullif(F.when(is_removed, old).otherwise(new), F.lit("")).alias("filename"),
+                F.coalesce(status, F.lit("modified")).alias("status"),
+                F.when(is_renamed, old).alias("old_filename"),
+            )
+
+        parts = F.struct(
+            F.get(marks, F.lit(0)).alias("mark"),
+            F.regexp_extract(first, header, 1).alias("old"),
+            F.regexp_extract(first, header, 2).alias("new"),
         )
+        return let(parts, name)
 
-    return let(F.get(marks, F.lit(0)), build)
+    return let(lines, build)
 
 
 def extract_hunks(lines: Column) -> Column:
     """Hunk text of a chunk: from the first '@@' on, header and body lines; '\\' lines always."""
-    first = F.array_position(F.transform(lines, lambda line: line.startswith("@@")), F.lit(True))
 
-    def cut(start: Column) -> Column:
-        def keep(line: Column, index: Column) -> Column:
-            body = (start > 0) & (index + 1 >= start) & ((line == "") | line.rlike("^(?:@@|[+ -])"))
-            return body | line.startswith("\\")
+    def build(lines: Column) -> Column:
+        marked = F.transform(lines, lambda line: line.startswith("@@"))
+
+        def cut(start: Column) -> Column:
+            def keep(line: Column, index: Column) -> Column:
+                inside = (start > 0) & (index + 1 >= start)
+                return (inside & line.rlike("^(?:@@|[+ -]|$)")) | line.startswith("\\")
 
-        return F.array_join(F.filter(lines, keep), "\n")
+            return F.array_join(F.filter(lines, keep), "\n")
 
-    return let(first, cut)
+        return let(F.array_position(marked, F.lit(True)), cut)
+
+    return let(lines, build)
 
 
 HUNK_HEADER = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
@@ -115,46 +126,39 @@ def split_hunks(text: Column) -> Column:
     return F.filter(F.split(text, r"\n(?=@@)"), lambda part: part.startswith("@@"))
 
 
-def hunk_numbers(hunk: Column) -> Column:
-    """``struct<old_start, old_len, new_start, new_len>``; a missing length is 1."""
-
-    def group(i: int) -> Column:
-        return F.regexp_extract(hunk, HUNK_HEADER, i).try_cast("bigint")
-
-    found = hunk.rlike(HUNK_HEADER)
-    one = F.lit(1).cast("bigint")
-    return F.struct(
-        group(1).alias("old_start"),
-        F.when(found, F.coalesce(group(2), one)).alias("old_len"),
-        group(3).alias("new_start"),
-        F.when(found, F.coalesce(group(4), one)).alias("new_len"),
-    )
-
-
-def hunk_body(hunk: Column) -> Column:
-    lines = F.split(hunk, "\n")
-    return F.slice(lines, F.lit(2), F.size(lines))
-
-
-def old_side(body: Column) -> Column:
-    """Body lines that belong to the text before the change, with their marker."""
-    return F.filter(body, lambda line: (line == "") | line.rlike("^[ -]"))
+def read_hunk(hunk: Column) -> Column:
+    """``struct<old_start, old, new, sound>`` of a hunk.
 
+    ``old`` and ``new`` are the lines before and after the change, without markers. ``sound`` says
+    whether there are as many of each as the header states; a length left out there means 1.
+    """
 
-def new_side(body: Column) -> Column:
-    """Body lines that belong to the text after the change, with their marker."""
-    return F.filter(body, lambda line: (line == "") | line.rlike("^[ +]"))
+    def sides(lines: Column) -> Column:
+        body = F.slice(lines, F.lit(2), F.size(lines))
+        bare = lambda line: F.substring(line, 2, 2**31 - 1)
+        return F.struct(
+            F.get(lines, F.lit(0)).alias("header"),
+            F.transform(F.filter(body, lambda x: x.rlike("^(?:[ -]|$)")), bare).alias("old"),
+            F.transform(F.filter(body, lambda x: x.rlike("^(?:[ +]|$)")), bare).alias("new"),
+        )
 
+    def check(parts: Column) -> Column:
+        header = parts["header"]
 
-def hunk_is_sound(hunk: Column) -> Column:
-    """Whether the body has as many old and new lines as the header says."""
+        def length(group: int) -> Column:
+            stated = F.regexp_extract(header, HUNK_HEADER, group)
+            return F.when(stated == "", 1).otherwise(stated.try_cast("int"))
 
-    def check(numbers: Column) -> Column:
-        body = hunk_body(hunk)
-        return F.coalesce(
-            (F.size(old_side(body)) == numbers["old_len"])
-            & (F.size(new_side(body)) == numbers["new_len"]),
-            F.lit(False),
+        sound = (
+            header.rlike(HUNK_HEADER)
+            & (F.size(parts["old"]) == length(2))
+            & (F.size(parts["new"]) == length(4))
+        )
+        return F.struct(
+            F.regexp_extract(header, HUNK_HEADER, 1).try_cast("int").alias("old_start"),
+            parts["old"].alias("old"),
+            parts["new"].alias("new"),
+            F.coalesce(sound, F.lit(False)).alias("sound"),
         )
 
-    return let(hunk_numbers(hunk), check)
+    return let(let(F.split(hunk, "\n"), sides), check)

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.diffs import (
-    assemble_diff, chunk_lines, extract_file_info, extract_hunks, hunk_body, hunk_is_sound,
-    hunk_numbers, new_side, old_side, split_files, split_hunks,
+    assemble_diff, chunk_lines, extract_file_info, extract_hunks, read_hunk, split_files, split_hunks,
 )
 from ..functions.paths import is_test_patch
 from ..functions.text import let
@@ -58,7 +57,7 @@ def validate_diff(df: DataFrame, col: str = "diff", id: str = "instance_id") ->
         split_hunks(F.col("_chunk")).alias("_hunks"),
     )
     hunks = files.select(id, "path", F.posexplode("_hunks").alias("hunk", "_text"))
-    return hunks.select(id, "path", "hunk", hunk_is_sound(F.col("_text")).alias("ok"))
+    return hunks.select(id, "path", "hunk", read_hunk(F.col("_text"))["sound"].alias("ok"))
 
 
 def invalid_instances(checked: DataFrame, id: str = "instance_id") -> DataFrame:
@@ -115,40 +114,29 @@ def applied_files(applied: DataFrame, id: str = "instance_id", size: int = 10_00
     return nest_in_chunks(done, [id], "pos", F.col("filename"), "applied_files", size)
 
 
-def _bare(lines: Column) -> Column:
-    """Diff lines without their marker."""
-    return F.transform(lines, lambda line: F.substring(line, 2, 2**31 - 1))
-
-
 def _patched(lines: Column, patch: Column) -> Column:
     """``struct<out, cursor, ok>`` of applying all hunks of a patch to the lines of a file."""
-    def read(h: Column) -> Column:
-        return let(
-            hunk_body(h),
-            lambda body: F.struct(
-                hunk_numbers(h)["old_start"].alias("old_start"),
-                hunk_is_sound(h).alias("sound"),
-                _bare(old_side(body)).alias("old"),
-                _bare(new_side(body)).alias("new"),
-            ),
-        )
-
-    hunks = F.transform(split_hunks(F.coalesce(patch, F.lit(""))), read)
+    hunks = F.transform(split_hunks(F.coalesce(patch, F.lit(""))), read_hunk)
     start = F.struct(
         F.array().cast(LINES).alias("out"), F.lit(0).alias("cursor"), F.lit(True).alias("ok")
     )
 
     def step(acc: Column, hunk: Column) -> Column:
-        given = F.coalesce(hunk["old_start"], F.lit(0)).cast("int")
-        first = F.greatest(F.when(F.size(hunk["old"]) == 0, given).otherwise(given - 1), F.lit(0))
-        gap = F.greatest(first - acc["cursor"], F.lit(0))
-        here = F.slice(lines, first + 1, F.size(hunk["old"]))
-        ok = acc["ok"] & hunk["sound"] & (first >= acc["cursor"]) & (here == hunk["old"])
-        return F.struct(
-            F.concat(acc["out"], F.slice(lines, acc["cursor"] + 1, gap), hunk["new"]).alias("out"),
-            (first + F.size(hunk["old"])).alias("cursor"),
-            F.coalesce(ok & (first <= F.size(lines)), F.lit(False)).alias("ok"),
-        )
+        given = F.coalesce(hunk["old_start"], F.lit(0))
+        # a hunk without old lines stands after its line, any other on it
+        first = F.greatest(given - F.least(F.size(hunk["old"]), F.lit(1)), F.lit(0))
+
+        def place(first: Column) -> Column:
+            gap = F.greatest(first - acc["cursor"], F.lit(0))
+            here = F.slice(lines, first + 1, F.size(hunk["old"]))
+            fits = (first >= acc["cursor"]) & (first <= F.size(lines)) & (here == hunk["old"])
+            return F.struct(
+                F.concat(acc["out"], F.slice(lines, acc["cursor"] + 1, gap), hunk["new"]).alias("out"),
+                (first + F.size(hunk["old"])).alias("cursor"),
+                F.coalesce(acc["ok"] & hunk["sound"] & fits, F.lit(False)).alias("ok"),
+            )
+
+        return let(first, place)
 
     return F.aggregate(hunks, start, step)
 

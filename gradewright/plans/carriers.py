@@ -132,7 +132,7 @@ def patch_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"CASE o_orderkey % 3 WHEN 0 THEN array({renamed}) WHEN 1 THEN array({removed}) "
         f"ELSE cast(array() AS {FILE_CHANGES}) END"
     )
-    return table(spark, sf_dir, "orders").selectExpr(
+    return spread(table(spark, sf_dir, "orders")).selectExpr(
         "concat('i', o_orderkey) AS instance_id",
         f"cast(concat(array({first}, {second}), {third}) AS {FILE_CHANGES}) AS patches",
     )
@@ -266,7 +266,7 @@ def results_document(spark: SparkSession, sf_dir: str) -> DataFrame:
         'feature_type', 'new_feature', 'description', concat('f', o_orderkey, '-', i),
         'feature_detailed_description', repeat(concat('long ', o_orderkey, ' '), 20),
         'pr_analyses', transform(sequence(0, cast(o_orderkey % 2 AS int)), j -> {pr}))"""
-    return table(spark, sf_dir, "orders").selectExpr(
+    return spread(table(spark, sf_dir, "orders")).selectExpr(
         "o_orderkey AS pos",
         f"CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE {ORDER_REPO} END AS repository",
         "concat('v', o_orderkey % 5) AS release",
