@@ -19,10 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ORDER_REPO = "concat('o', o_custkey % 7, '/r', o_custkey)"
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of files."""
+    schema = table(spark, sf_dir, name).schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return files.parquet(sf_dir)
+
+
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return releases_of(table(spark, sf_dir, "orders"))
+
+
+def releases_of(orders: DataFrame) -> DataFrame:
     """One release per order; versions, pre-release marks, bots and gaps come from its columns."""
     version = "concat(o_orderkey % 5, '.', o_orderkey % 13, '.', o_orderkey % 29)"
-    return table(spark, sf_dir, "orders").selectExpr(
+    return orders.selectExpr(
         f"{ORDER_REPO} AS repo",
         f"""CASE o_orderkey % 6
               WHEN 0 THEN concat('v', {version})
@@ -169,8 +180,12 @@ def test_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eval_results_of(table(spark, sf_dir, "events"))
+
+
+def eval_results_of(events: DataFrame) -> DataFrame:
     judged = "event_type <> 'error'"
-    return table(spark, sf_dir, "events").selectExpr(
+    return events.selectExpr(
         "event_type AS agent",
         "concat('m', user_id % 3) AS model",
         "concat('i', user_id) AS instance_id",

@@ -92,6 +92,10 @@ def ingest_commit_payload(landing: DataFrame) -> DataFrame:
 
 
 def ingest_file_contents(df: DataFrame, col: str = "content_b64") -> DataFrame:
-    """Decoded text of base64 file contents; missing or undecodable content is null."""
-    decoded = F.try_to_binary(F.col(col), F.lit("base64"))
+    """Decoded text of base64 file contents; missing or undecodable content is null.
+
+    Line breaks and other characters outside the alphabet do not count.
+    """
+    letters = F.regexp_replace(col, "[^A-Za-z0-9+/=]", "")
+    decoded = F.try_to_binary(letters, F.lit("base64"))
     return df.withColumn("content", F.try_validate_utf8(decoded.cast("string")))
