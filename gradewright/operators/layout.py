@@ -17,36 +17,50 @@ def _hashable(df: DataFrame) -> list[str]:
             and "variant" not in f.dataType.simpleString()]
 
 
+def heavy_keys(
+    df: DataFrame, on: Sequence[str], heavy_rows: int = HEAVY_ROWS, rows: Column | None = None
+) -> DataFrame:
+    """The keys with more than ``heavy_rows`` rows, ``MAX_HEAVY_KEYS`` at most, most rows first.
+
+    ``rows`` sums a column of counts instead of counting rows, for input that is counted already.
+    """
+    total = F.count(F.lit(1)) if rows is None else F.sum(rows)
+    return (
+        df.where(_all_present(on))
+        .groupBy(*on)
+        .agg(total.alias("_rows"))
+        .where(F.col("_rows") > heavy_rows)
+        .orderBy(F.desc("_rows"), *on)
+        .limit(MAX_HEAVY_KEYS)
+        .select(*on, F.lit(True).alias("_hot"))
+    )
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     how: str = "left",
+    heavy: DataFrame | None = None,
     heavy_rows: int = HEAVY_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join of many rows (left) to at most one row per key (right), safe for hot keys.
 
-    Keys with more than ``heavy_rows`` rows on the left are found by a counting aggregate. Their
-    left rows are spread over ``salts`` sub-keys and their right row is copied to each, so no task
-    holds a whole hot key; all other keys join as they are. The list of hot keys is broadcast: it
-    has at most ``MAX_HEAVY_KEYS`` rows, and a key that does not make the list has at most
-    1/MAX_HEAVY_KEYS of all rows. Null keys match nothing and are spread too.
+    Keys with more than ``heavy_rows`` rows on the left are found by a counting aggregate, or
+    given as ``heavy`` where a cheaper table than the left side tells them. Their left rows are
+    spread over ``salts`` sub-keys and their right row is copied to each, so no task holds a whole
+    hot key; all other keys join as they are. The list of hot keys is broadcast: it has at most
+    ``MAX_HEAVY_KEYS`` rows, and a key that does not make the list has at most 1/MAX_HEAVY_KEYS of
+    all rows. Null keys match nothing and are spread too.
     """
     on = list(on)
-    heavy = (
-        left.where(_all_present(on))
-        .groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > heavy_rows)
-        .orderBy(F.desc("_rows"), *on)
-        .limit(MAX_HEAVY_KEYS)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
-    spread = F.pmod(F.xxhash64(*_hashable(left)), F.lit(salts)).cast("int")
+    if heavy is None:
+        heavy = heavy_keys(left, on, heavy_rows)
+    spread_over = F.pmod(F.xxhash64(*_hashable(left)), F.lit(salts)).cast("int")
     left_salted = left.join(F.broadcast(heavy), on, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot") | ~_all_present(on), spread).otherwise(F.lit(0)),
+        F.when(F.col("_hot") | ~_all_present(on), spread_over).otherwise(F.lit(0)),
     ).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))

@@ -10,6 +10,7 @@ from ..functions.text import (
     build_pr_links, extract_pr_number, pr_references, render_template, truncate_readme,
 )
 from ..schemas import FEATURE_REPLY
+from .layout import skew_join
 
 # Own short defaults; pass the templates of a project for its real prompts.
 RELEASE_TEMPLATE = "{readme_context}Sort the changes of release {tag_name}.\n{release_body}"
@@ -166,9 +167,8 @@ def enhance_features(
     links = features.select(*key, F.posexplode("pr_links").alias("link_pos", "_link")).withColumn(
         "pr_number", extract_pr_number(F.col("_link"))
     )
-    analysed = links.join(
-        pr_analyses.select("repo", "pr_number", "detailed_description"), ["repo", "pr_number"]
-    )
+    texts = pr_analyses.select("repo", "pr_number", "detailed_description")
+    analysed = skew_join(links, texts, ["repo", "pr_number"], "inner")
     per_feature = analysed.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_prs"),
         F.min_by("detailed_description", "link_pos").alias("_first"),
@@ -192,8 +192,6 @@ def enhance_features(
 
 def commits_with_default(prs: DataFrame, commits: DataFrame) -> DataFrame:
     """Base and head commit of every pull request; an unknown one keeps its sha, the rest ''."""
-    from .layout import skew_join
-
     out = prs
     for side in ("base", "head"):
         known = commits.select(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, base_test_name, strip_ansi
-from .layout import numbered, skew_join
+from .layout import heavy_keys, numbered, skew_join
 
 STATUSES = ("PASSED", "FAILED", "SKIPPED", "ERROR")
 ALL_STATUSES = (*STATUSES, "UNKNOWN")
@@ -99,11 +99,12 @@ def resolve_test_status(
         *keys, F.col("test").alias("selector"), F.col("status").alias("_exact")
     )
     combined = aggregate_param_status(outcomes, keys).withColumnRenamed("status", "_combined")
-    asked = skew_join(selectors, exact, [*keys, "selector"], "left").withColumn(
-        "base_test", base_test_name(F.col("selector"))
-    )
+    named = selectors.withColumn("base_test", base_test_name(F.col("selector")))
+    by_base = [*keys, "base_test"]
+    # selectors are few per test but may be many per base name
+    asked = named.join(exact, [*keys, "selector"], "left")
     return (
-        skew_join(asked, combined, [*keys, "base_test"], "left")
+        skew_join(asked, combined, by_base, "left", heavy=heavy_keys(named, by_base))
         .withColumn("status", F.coalesce("_exact", "_combined", F.lit("UNKNOWN")))
         .drop("_exact", "_combined", "base_test")
     )
