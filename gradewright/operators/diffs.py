@@ -169,9 +169,10 @@ def apply_hunks(files: DataFrame, patch_files: DataFrame) -> tuple[DataFrame, Da
     out = F.concat("_r.out", rest)
     fits = F.when(F.col("status") == "added", ~F.col("_exists")).otherwise(F.col("_exists"))
     emptied = (F.col("status") != "removed") | (F.size(out) == 0)
-    # the marker after a new line drops the final line feed, after an old line only adds it
-    last = F.regexp_extract("patch", r"(?:^|\n)([ +-])[^\n]*\n\\[^\n]*\s*\z", 1)
-    open_end = (last.isin("+", " ")) | ((last == "") & ~F.col("_ends"))
+    # where the hunks reach the end of the file, a marker behind a new line leaves its end open
+    marked = F.coalesce(F.col("patch"), F.lit("")).rlike(r"(?:^|\n)[ +][^\n]*\n\\")
+    at_end = F.col("_r.cursor") == F.size("_lines")
+    open_end = F.when(at_end, marked).otherwise(~F.col("_ends"))
     body = F.array_join(out, "\n")
     new_text = F.when(F.size(out) == 0, F.lit("")).otherwise(
         F.concat(body, F.when(open_end, F.lit("")).otherwise(F.lit("\n")))
