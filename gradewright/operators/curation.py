@@ -25,7 +25,9 @@ def not_by_bot(author: Column, bots: Sequence[str] = BOTS) -> Column:
 
 
 def has_min_body(body: Column, n: int = 50) -> Column:
-    return F.length(strip(F.coalesce(body, F.lit("")))) >= n
+    text = F.coalesce(body, F.lit(""))
+    # stripping only shortens, so short texts need no pattern
+    return (F.length(text) >= n) & (F.length(strip(text)) >= n)
 
 
 def is_since(published_at: Column, min_date: str = "2024-06-01") -> Column:
@@ -41,8 +43,8 @@ def is_valid_release(
     """Not by a bot, with a substantial body, and recent enough."""
     return (
         not_by_bot(F.col("author.login"), bots)
-        & has_min_body(F.col("body"), n)
         & is_since(F.col("published_at"), min_date)
+        & has_min_body(F.col("body"), n)
     )
 
 

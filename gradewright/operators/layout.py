@@ -134,7 +134,7 @@ def nest_in_chunks(
 ) -> DataFrame:
     """Rows of a key as ordered arrays, one per ``size`` consecutive positions.
 
-    A key whose positions stay below ``size`` gives one row (chunk 0). A longer one gives several,
+    ``pos`` is unique within the key. A key whose positions stay below ``size`` gives one row (chunk 0). A longer one gives several,
     in the order of ``chunk``, so no array outgrows ``size`` while nothing is left out.
     """
     items = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), value.alias("value"))))

@@ -1,4 +1,5 @@
 import json
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 import pytest
@@ -95,13 +96,17 @@ def test_stream_upsert_continues(spark, tmp_path):
     assert sorted(map(tuple, tables.read_keyed(spark, out, ["k"], "v").collect())) == [("a", 0), ("b", 5)]
 
 
-def test_scratch_follows_the_session(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "/shared/x/")
-    try:
-        assert session.scratch_dir(spark, "n").startswith("/shared/x/n-")
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
+class FakeSession:
+    """The two settings that decide where scratch folders go."""
+
+    def __init__(self, folder, master):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = SimpleNamespace(master=master)
+
+
+def test_scratch_follows_the_session():
+    shared = session.scratch_dir(FakeSession("/shared/x/", "yarn"), "n")
+    assert shared.startswith("/shared/x/n-")
+    assert "gradewright/n-" in session.scratch_dir(FakeSession(None, "local[2]"), "n")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_dir(FakeSession(None, "yarn"), "n")
