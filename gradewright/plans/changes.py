@@ -286,15 +286,15 @@ def _(spark, sf):
 
 
 @query("pair_before_after", r"""SELECT 'p' || p_partkey AS instance_id, 'tests/test_' || p_size || '.py' AS path,
-  CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'old ' || p_partkey END AS before,
-  CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'new ' || p_partkey END AS after FROM part WHERE p_partkey % 3 > 0""")
+  CASE WHEN p_size <= 10 THEN '' ELSE 'old ' || p_partkey END AS before,
+  CASE WHEN p_size > 40 THEN '' ELSE 'new ' || p_partkey END AS after FROM part WHERE p_type <> 'ECONOMY'""")
 def _(spark, sf):
     base = carriers.table(spark, sf, "part").selectExpr(
-        "concat('p', p_partkey) AS instance_id", "p_partkey",
-        "concat('tests/test_', p_size, CASE WHEN p_partkey % 3 = 0 THEN '.md' ELSE '.py' END) AS path")
+        "concat('p', p_partkey) AS instance_id", "p_partkey", "p_size",
+        "concat('tests/test_', p_size, CASE WHEN p_type = 'ECONOMY' THEN '.md' ELSE '.py' END) AS path")
     return symbols.pair_before_after(
-        base, base.where("p_partkey % 4 > 0").withColumn("content", F.expr("concat('old ', p_partkey)")),
-        base.where("p_partkey % 5 > 0").withColumn("content", F.expr("concat('new ', p_partkey)")))
+        base, base.where("p_size > 10").withColumn("content", F.expr("concat('old ', p_partkey)")),
+        base.where("p_size <= 40").withColumn("content", F.expr("concat('new ', p_partkey)")))
 
 
 @query("gate_pr", f"""WITH g AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'N') AS test_files,
@@ -572,11 +572,11 @@ def _(spark, sf):
     return prompts.filter_new_features_with_prs(carriers.features(spark, sf)).select("pos")
 
 
-@query("attach_responses", f"""SELECT {K} AS pos, CASE WHEN {K} % 5 > 0 THEN 'R' || {K} ELSE 'adds ' || {K} END AS response
+@query("attach_responses", f"""SELECT {K} AS pos, CASE WHEN o_orderstatus <> 'F' THEN 'R' || {K} ELSE 'adds ' || {K} END AS response
  FROM orders""")
 def _(spark, sf):
     asked = carriers.features(spark, sf).withColumn("prompt_key", F.col("pos").cast("string"))
-    given = carriers.table(spark, sf, "orders").where("o_orderkey % 5 > 0").selectExpr(
+    given = carriers.table(spark, sf, "orders").where("o_orderstatus <> 'F'").selectExpr(
         "cast(o_orderkey AS string) AS prompt_key", "concat('R', o_orderkey) AS text")
     return prompts.attach_responses(asked, given, "description").select("pos", "response")
 
@@ -590,7 +590,7 @@ def _(spark, sf):
    WHEN k % 5 > 0 THEN 'R' || k END AS feature_detailed_description FROM m) WHERE feature_detailed_description <> ''""")
 def _(spark, sf):
     features = carriers.features(spark, sf)
-    given = features.where("pos % 5 > 0").select(
+    given = features.where("tag <> 'v0'").select(
         "repo", "tag", "feature_type", "pos", F.concat(F.lit("R"), "pos").alias("text"))
     enhanced = prompts.enhance_features(features, carriers.pr_analyses(spark, sf), given)
     return enhanced.select(
@@ -598,12 +598,12 @@ def _(spark, sf):
 
 
 @query("commits_with_default", """SELECT o_orderkey AS pos, 'c' || o_custkey AS base,
-  CASE WHEN c_custkey % 3 > 0 THEN c_name ELSE '' END AS base_message, 's' || o_orderkey AS head, '' AS head_message
+  CASE WHEN c_acctbal > 0 THEN c_name ELSE '' END AS base_message, 's' || o_orderkey AS head, '' AS head_message
  FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
 def _(spark, sf):
     prs = carriers.table(spark, sf, "orders").selectExpr(
         "'o/r' AS repo", "o_orderkey AS pos", "concat('c', o_custkey) AS base_sha", "concat('s', o_orderkey) AS head_sha")
-    known = carriers.table(spark, sf, "customer").where("c_custkey % 3 > 0").selectExpr(
+    known = carriers.table(spark, sf, "customer").where("c_acctbal > 0").selectExpr(
         "'o/r' AS repo", "concat('c', c_custkey) AS sha", "c_name AS message", "'' AS date", "'' AS author")
     found = prompts.commits_with_default(prs, known)
     return found.select(

@@ -211,11 +211,11 @@ def _(spark, sf):
     return maps.select("repo", F.explode("ci_configs").alias("path", "url"))
 
 
-@query("repo_dimension_lookup", f"""SELECT o_orderkey AS pos, CASE WHEN c_nationkey % 2 = 0
+@query("repo_dimension_lookup", f"""SELECT o_orderkey AS pos, CASE WHEN c_acctbal > 0
   THEN '3.' || c_nationkey ELSE '3.9' END AS python_version
  FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
 def _(spark, sf):
-    dim = carriers.table(spark, sf, "customer").where("c_nationkey % 2 = 0").selectExpr(
+    dim = carriers.table(spark, sf, "customer").where("c_acctbal > 0").selectExpr(
         "concat('o', c_custkey % 7, '_r', c_custkey) AS repo_key",
         "concat('3.', c_nationkey) AS python_version",
     )

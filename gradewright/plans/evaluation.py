@@ -271,7 +271,7 @@ def _(spark, sf):
    CASE WHEN event_type <> 'error' THEN CASE WHEN event_id % 2 = 0 OR event_id % 5 = 0 THEN '' ELSE 'c' END END AS passed_p2p_tests,
    CASE WHEN event_type <> 'error' THEN 'b|a' END AS expected_f2p_tests,
    CASE WHEN event_type <> 'error' THEN CASE WHEN event_id % 2 = 0 THEN '' ELSE 'c' END END AS expected_p2p_tests,
-   CASE WHEN event_type <> 'error' AND event_id % 7 > 0 THEN event_id END AS total_tokens,
+   CASE WHEN event_type <> 'error' AND value > 10 THEN event_id END AS total_tokens,
    CASE WHEN event_type = 'error' THEN 'boom ' || event_id END AS error
  FROM r""")
 def _(spark, sf):
@@ -286,7 +286,7 @@ def _(spark, sf):
            named_struct('kind', CASE WHEN event_id % 3 > 0 THEN 'f2p' ELSE 'p2p' END, 'test', 'a'),
            named_struct('kind', 'p2p', 'test', CASE WHEN event_id % 5 > 0 THEN 'c' ELSE 'z' END))) AS t""",
     ).select("agent", "instance_id", "t.*")
-    used = events.where("event_id % 7 > 0").selectExpr(
+    used = events.where("value > 10").selectExpr(
         *key, "event_id AS total", "event_id AS input", "0L AS output")
     errors = events.where("event_type = 'error'").selectExpr(*key, "concat('boom ', event_id) AS error")
     built = judging.build_eval_result(runs, passed, used, errors)

@@ -210,13 +210,13 @@ def _(spark, sf):
 
 
 @query("store_test_logs", f"""SELECT 'i' || {K} AS instance_id, 'pre' AS phase,
-  CASE WHEN {K} % 2 = 0 THEN 'second ' ELSE 'first ' END || {K} AS log FROM orders""")
+  CASE WHEN o_orderstatus = 'F' THEN 'second ' ELSE 'first ' END || {K} AS log FROM orders""")
 def _(spark, sf):
     path = scratch_dir(spark, "logs")
     logs = carriers.table(spark, sf, "orders").selectExpr(
-        "concat('i', o_orderkey) AS instance_id", "'pre' AS phase", "concat('first ', o_orderkey) AS log", "o_orderkey")
+        "concat('i', o_orderkey) AS instance_id", "'pre' AS phase", "concat('first ', o_orderkey) AS log", "o_orderkey", "o_orderstatus")
     tables.store_test_logs(logs, path, 0)
-    again = logs.where("o_orderkey % 2 = 0").withColumn("log", F.expr("concat('second ', o_orderkey)"))
+    again = logs.where("o_orderstatus = 'F'").withColumn("log", F.expr("concat('second ', o_orderkey)"))
     tables.store_test_logs(again, path, 1)
     return tables.read_keyed(spark, path, ["instance_id", "phase"])
 

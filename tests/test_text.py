@@ -66,9 +66,9 @@ def test_cutoff_date(one, iso, want):
 
 
 def test_identity_columns(spark):
-    row = spark.createDataFrame([("home-assistant/core", "153575")], "r string, p string").select(
+    row = spark.createDataFrame([("acme-labs/core", "153575")], "r string, p string").select(
         text.make_instance_id(F.col("r"), F.col("p")), text.org(F.col("r")), text.number(F.col("p"))).first()
-    assert tuple(row) == ("home-assistant__core-153575", "home-assistant", 153575)
+    assert tuple(row) == ("acme-labs__core-153575", "acme-labs", 153575)
 
 
 def test_labels_as_text(one):
