@@ -164,3 +164,58 @@ def test_unknown_agent(spark):
     assert sorted(map(tuple, quiet.collect())) == [("a", "i", 20, 7, 27), ("z", "i", None, None, None)]
     with pytest.raises(Exception, match="no usage parser"):
         usage.token_usage_by_agent(df, parsers).collect()
+
+
+def brute_lines(log):
+    """Status lines of a log by plain string handling."""
+    at = log.find(testlogs.SUMMARY)
+    found = []
+    for n, line in enumerate(log[max(at, 0):].split("\n")):
+        line = line.strip()
+        for status in testlogs.STATUSES:
+            rest = line[len(status):]
+            if not line.startswith(status) or not rest[:1].isspace():
+                continue
+            rest = rest.strip()
+            cuts = [i for i in range(1, len(rest) - 2) if rest[i].isspace() and rest[i + 1] == "-" and rest[i + 2].isspace()]
+            found.append((n, rest[: cuts[0]].strip() if cuts else rest, status))
+    return found
+
+
+def test_log_lines_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    pieces = [*testlogs.STATUSES, "XFAIL", " ", " ", "  ", "\t", "-", " - ", "a", "t.py::x[1]", "\r", " ", "\n", "\n", testlogs.SUMMARY]
+    logs = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(logs)), "n int, log string")
+    got = {}
+    for row in testlogs.parse_test_log(df).collect():
+        got.setdefault(row.n, []).append((row.pos, row.test, row.status))
+    for n, log in enumerate(logs):
+        assert sorted(got.get(n, [])) == brute_lines(log), repr(log)
+
+
+def test_result_shapes(spark):
+    runs = spark.createDataFrame(
+        [("a", "m", "i", ["t1", "t2"], []), ("a", "m", "e", ["t1"], ["t1"])],
+        "agent string, model string, instance_id string, expected_f2p_tests array<string>, expected_p2p_tests array<string>")
+    passed = spark.createDataFrame(
+        [("a", "i", "f2p", "t2"), ("a", "i", "f2p", "other"), ("a", "i", "p2p", "t1"), ("a", "e", "f2p", "t1")],
+        "agent string, instance_id string, kind string, test string")
+    used = spark.createDataFrame([("a", "i", 1, 2, 3)], "agent string, instance_id string, input bigint, output bigint, total bigint")
+    errors = spark.createDataFrame([("a", "e", "boom")], "agent string, instance_id string, error string")
+    rows = {r.instance_id: r for r in judging.build_eval_result(runs, passed, used, errors).collect()}
+    good, bad = rows["i"], rows["e"]
+    assert (good.success_f2p, good.success_p2p, good.success, good.error) == (False, True, False, None)
+    assert (good.passed_f2p_tests, good.passed_p2p_tests, good.total_tokens) == (["t2"], [], 3)
+    assert (bad.success_f2p, bad.success, bad.passed_f2p_tests, bad.total_tokens, bad.error) == (None, False, None, None, "boom")
+
+
+def test_pending_and_limit(spark):
+    specs = spark.createDataFrame([("r", "a", 2), ("r", "b", 1), ("s", "c", 3)], "repo string, instance_id string, pos int")
+    done = spark.createDataFrame([("x", "a"), ("x", "a"), ("gone", "b")], "agent string, instance_id string")
+    pending = judging.pending_evaluations(judging.limit_per_repo(specs, 1), done, ["x", "y", "x"])
+    assert sorted(map(tuple, pending.collect())) == [("x", "b"), ("x", "c"), ("y", "b"), ("y", "c")]
+    first = [r.instance_id for r in judging.shuffle_specs(specs, 1).collect()]
+    assert first == [r.instance_id for r in judging.shuffle_specs(specs.repartition(3), 1).collect()]

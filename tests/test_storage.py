@@ -1,3 +1,4 @@
+import datetime
 import json
 from types import SimpleNamespace
 
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from gradewright import session
+from gradewright.operators.curation import is_valid_release
 from gradewright.sources import documents, payloads, tables
 from gradewright.streaming import incremental
 
@@ -110,3 +112,33 @@ def test_scratch_follows_the_session():
     assert "gradewright/n-" in session.scratch_dir(FakeSession(None, "local[2]"), "n")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.scratch_dir(FakeSession(None, "yarn"), "n")
+
+
+def test_streamed_releases_come_once(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    ddl = "repo string, tag_name string, published_at string, body string, author struct<login string>"
+    day = "2025-01-{:02d}T00:00:00Z".format
+    body = "b" * 60
+    batches = [
+        [("r", "v1", day(1), body, None), ("r", "v1", day(1), body, None), ("r", "v2", day(2), "short", None)],
+        [("r", "v1", day(1), body, None), ("s", "v1", day(3), body, ("dependabot[bot]",)), ("s", "v2", day(3), body, None)],
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, ddl).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(ddl).parquet(src)
+        fresh = incremental.stream_new_releases(stream, is_valid_release()).select("repo", "tag_name")
+        incremental.append_to(fresh, out, state).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("r", "v1"), ("s", "v2")]
+
+
+def test_streamed_progress_waits_for_complete_windows(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    ddl = "agent string, finished_at timestamp, success boolean"
+    at = lambda minute: datetime.datetime(2025, 1, 1, 0, minute)
+    batches = [[("a", at(1), True), ("a", at(2), False)], [("a", at(9), None), ("b", at(45), True)], [("a", at(3), True)]]
+    for batch in batches:
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(src)
+        windows = incremental.stream_eval_progress(spark.readStream.schema(ddl).parquet(src))
+        incremental.append_to(windows, out, state).awaitTermination()
+    rows = [(r.agent, r.n, r.resolved) for r in spark.read.parquet(out).collect()]
+    assert rows == [("a", 3, 1)]  # the last batch came too late, the window of b is still open
