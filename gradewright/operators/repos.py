@@ -11,7 +11,7 @@ from ..functions.paths import (
     SUITE_DIRS, SUITE_IGNORED, TEST_DIRS, TEST_FILES, file_name, matches_any_start,
 )
 from ..functions.text import image_name
-from .layout import skew_join
+from .layout import heavy_keys, skew_join
 
 
 def has_test_suite(
@@ -47,20 +47,23 @@ def detect_test_dirs(
         lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
     )
     suites = F.filter(folders, lambda d: file_name(d).isin(*candidates))
-    found = repo_tree.select("repo", F.explode(suites).alias("dir")).distinct()
-    at_root = ~F.col("dir").contains("/")
-    roots = found.where(at_root)
-    nested = found.where(~at_root & ~F.substring_index("dir", "/", 1).isin(*ignore))
-    deeper = skew_join(nested, roots.select("repo").distinct(), ["repo"], "left_anti")
-    known = roots.unionByName(deeper).select(
-        "repo", F.regexp_replace("dir", r"^[./]+", "").alias("test_dir")
-    )
-    bare = (
-        repo_tree.select("repo").distinct()
-        .join(known.select("repo").distinct(), "repo", "left_anti")
-        .select("repo", F.lit(default).alias("test_dir"))
+    dirs = repo_tree.select("repo", F.explode_outer(suites).alias("dir")).distinct()
+    at_root = F.coalesce(~F.col("dir").contains("/"), F.lit(False))
+    nested = F.col("dir").contains("/") & ~F.substring_index("dir", "/", 1).isin(*ignore)
+    nested = F.coalesce(nested, F.lit(False))
+    repos = dirs.groupBy("repo").agg(
+        F.bool_or(at_root).alias("_at_root"),
+        F.bool_or(nested).alias("_nested"),
+        F.count(F.lit(1)).alias("n"),
     )
-    return known.unionByName(bare)
+    known = skew_join(
+        dirs.where(at_root | nested), repos.select("repo", "_at_root"), ["repo"], "inner",
+        heavy=heavy_keys(repos, ["repo"], rows=F.col("n")),
+    ).where(at_root | ~F.col("_at_root"))
+    bare = repos.where("NOT _at_root AND NOT _nested").select("repo", F.lit(default).alias("test_dir"))
+    return known.select(
+        "repo", F.regexp_replace("dir", r"^[./]+", "").alias("test_dir")
+    ).unionByName(bare)
 
 
 def pick_readme(repo_tree: DataFrame) -> DataFrame:
