@@ -34,6 +34,9 @@ HEADLINE = [
     "gate_pr",
     "diff_code_elements",
     "enhance_features",
+    "transform_results",
+    "mine_labels",
+    "evaluate_runs",
 ]
 
 
