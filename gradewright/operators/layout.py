@@ -25,15 +25,15 @@ def heavy_keys(
     ``rows`` sums a column of counts instead of counting rows, for input that is counted already.
     """
     total = F.count(F.lit(1)) if rows is None else F.sum(rows)
-    return (
-        df.where(_all_present(on))
-        .groupBy(*on)
+    top = (
+        df.groupBy(*on)
         .agg(total.alias("_rows"))
         .where(F.col("_rows") > heavy_rows)
         .orderBy(F.desc("_rows"), *on)
         .limit(MAX_HEAVY_KEYS)
-        .select(*on, F.lit(True).alias("_hot"))
     )
+    # above the limit, where it cannot move into the input and keep Spark from sharing its shuffle
+    return top.where(_all_present(on)).select(*on, F.lit(True).alias("_hot"))
 
 
 def skew_join(
