@@ -24,7 +24,7 @@ LATIN = "^[A-Za-zÀ-ÖØ-öø-įıĴ-ľŁ-ňŊ-ž]*$"
 #: Byte-level alphabet: bytes that have no visible sign of their own move up, in order.
 UNSEEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
 BYTE_SIGNS = {b: chr(0x100 + k) for k, b in enumerate(UNSEEN) if b != 0x20}
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
 MEMORY = 1_000_000
 WORDS_PER_CALL = 5_000
 
