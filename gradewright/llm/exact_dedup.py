@@ -56,19 +56,17 @@ def directory(rows: DataFrame, depth: int = DEPTH, slack: int = SLACK, least: in
     Every cell appears, also those without rows. At most ``2 ** depth`` rows.
     """
     cells = rows.groupBy(_cell(F.col("_hash"), depth).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
-    total = cells.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))  # one row
-    room = F.greatest(F.lit(least), F.ceil(F.col("_total") * slack / (1 << depth)))
+    room = F.lit(max(least, -(-rows.count() * slack // (1 << depth))))
     sums = cells.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("_depth"), "_cell", "_n").groupBy(
         "_depth", F.expr(f"shiftright(_cell, {depth} - _depth)").alias("_prefix")
     ).agg(F.sum("_n").alias("_rows"))
-    limits = sums.join(F.broadcast(total), F.lit(True)).withColumn("_room", room)
     # a prefix is split while it is overfull; a bucket is the first prefix on a cell's way that is not, or full depth
     spread = cells.select("_cell", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("_depth")).withColumn(
         "_prefix", F.expr(f"shiftright(_cell, {depth} - _depth)")
     )
-    ends = spread.join(limits, ["_depth", "_prefix"]).where((F.col("_rows") <= F.col("_room")) | (F.col("_depth") == depth))
+    ends = spread.join(sums, ["_depth", "_prefix"]).where((F.col("_rows") <= room) | (F.col("_depth") == depth))
     return ends.groupBy("_cell").agg(
-        F.min(F.struct("_depth", "_prefix", F.ceil(F.col("_rows") / F.col("_room")).cast("int").alias("_pages"))).alias("_end")
+        F.min(F.struct("_depth", "_prefix", F.ceil(F.col("_rows") / room).cast("int").alias("_pages"))).alias("_end")
     ).select(
         "_cell",
         (F.col("_end._depth").cast("long") * (1 << 32) + F.col("_end._prefix")).alias("_bucket"),
