@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import documents, query, table, written
+from .registry import documents, only, query, row_key, table, written
 
 DEPTH = 14
 #: A bucket may hold so many times the rows that an even directory of full depth would give it, and this many at least.
@@ -84,9 +84,22 @@ def _cell(value: Column, depth: int) -> Column:
 
 def exact_duplicates(docs: DataFrame, depth: int = DEPTH, slack: int = SLACK, least: int = LEAST) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``."""
-    text = documents(docs).select("doc_id", F.length("text").alias("_size"), normalised(F.col("text")).alias("_norm"))
+    return _verdicts(docs, depth, slack, least).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each group of equal texts, with all columns: the longest, then of the smallest doc_id."""
+    kept = _verdicts(docs, DEPTH, SLACK, LEAST).where("kept").groupBy("text_sha256").agg(F.max(F.struct("_size", "_row_key")).alias("_one"))
+    return only(docs, kept.select("_one._row_key"))
+
+
+def _verdicts(docs: DataFrame, depth: int, slack: int, least: int) -> DataFrame:
+    rows = documents(docs)
+    text = rows.select(
+        "doc_id", F.length("text").alias("_size"), normalised(F.col("text")).alias("_norm"), row_key(rows).alias("_row_key")
+    )
     keyed = text.withColumn("_hash", F.xxhash64("_norm"))
-    rows = written(keyed.select("doc_id", "_hash", F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)).alias("_digest")), "dedup-rows")
+    rows = written(keyed.select("doc_id", "_size", "_row_key", "_hash", F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)).alias("_digest")), "dedup-rows")
     cells = written(directory(rows, depth, slack, least), "dedup-directory")
     # longest original text, then smallest doc_id, as one fixed-width number of which the largest wins: the size
     # above, 2 ** 63 - doc_id below (1 to 2 ** 64), 0 below for a null id
@@ -105,7 +118,7 @@ def exact_duplicates(docs: DataFrame, depth: int = DEPTH, slack: int = SLACK, le
     ).drop("_pages")
     return routed.join(pages, ["_bucket", "_page", "_hash", "_digest"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("_digest")).alias("text_sha256"),
+        F.lower(F.hex("_digest")).alias("text_sha256"), "_size", "_row_key",
     )
 
 

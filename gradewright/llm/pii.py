@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import documents, query, table, written
+from .registry import documents, fresh, query, row_key, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -160,8 +160,8 @@ SCANNED = (
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and ``_key``, which tells rows apart by doc_id and text however often they are read."""
-    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))
-    return documents(docs).withColumn("_key", F.unhex(F.sha1(name.cast("binary"))))
+    rows = documents(docs)
+    return rows.withColumn("_key", row_key(rows))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -259,9 +259,11 @@ def redacted(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame
     """``docs`` with all columns, spans masked in ``text`` and ``n_chars`` counted anew; null texts stay null."""
     found = written(found_spans(written(scanned(docs), "pii-scan")), "pii-spans")
     # found spans are few beside the texts: sent to the scan if counted so, else both sides are shuffled
-    small = F.broadcast(found) if found.limit(broadcast_rows + 1).count() <= broadcast_rows else found
-    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("_key", F.unhex(F.sha1(name.cast("binary")))).join(small, "_key", "left").drop("_key")
+    key, more = fresh(docs, "_key"), fresh(docs, "_more")
+    small = found.select(F.col("_key").alias(key), F.col("more").alias(more))
+    if found.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        small = F.broadcast(small)
+    rows = docs.withColumn(key, row_key(docs)).join(small, key, "left").select(*[F.col(f"`{c}`") for c in docs.columns], more)
     names = docs.columns
     at, more_at = names.index("text"), len(names)
 

@@ -171,6 +171,20 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     )
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score reaches the threshold. Scored in place: nothing is shuffled."""
+    model = fit(written(vectors(docs).where(fold(F.col("doc_id")) != 0), "quality-vectors"), labels)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            scores = model.score(np.array([statistics(t or b"") for t in texts]).reshape(-1, SIZE))
+            yield batch.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 @query("op2_quality")
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .registry import documents, query, table, written
+from .registry import documents, only, query, row_key, table, written
 
 WORDS = 3
 MOST_BITS = 3
@@ -66,15 +66,16 @@ def fingerprint(text: bytes, words: int = WORDS, at_once: int = SHINGLES_AT_ONCE
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and ``_fp``, the fingerprint as a signed long."""
+    """doc_id, ``_fp`` (the fingerprint as a signed long) and ``_row_key``."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             found = np.array([fingerprint(t.as_py(), words) for t in texts], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "_fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), batch.column(2)], names=["doc_id", "_fp", "_row_key"])
 
-    return documents(docs).mapInArrow(hashed, "doc_id long, _fp long")
+    rows = documents(docs)
+    return rows.withColumn("_row_key", row_key(rows)).mapInArrow(hashed, "doc_id long, _fp long, _row_key binary")
 
 
 def _byte(value: Column, position: int) -> Column:
@@ -140,8 +141,8 @@ def links(classes: DataFrame, dense: int = DENSE) -> DataFrame:
     return by_pairs.union(by_stars)
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, dense: int = DENSE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach)."""
+def _grouped(docs: DataFrame, words: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and the component of each distinct one with its smallest doc_id."""
     hashed = written(fingerprints(docs, words), "simhash")
     classes = written(hashed.groupBy("_fp").agg(F.min("doc_id").alias("_least")), "simhash-classes")
     found = components(links(classes.select("_fp"), dense))
@@ -149,12 +150,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, dense: int = DENSE) ->
         "_fp", "_least", F.coalesce("component", "_fp").alias("_component")
     )
     least = labelled.groupBy("_component").agg(F.min("_least").alias("component_id"))
-    ids = labelled.join(least, "_component").select("_fp", "component_id")
+    return hashed, labelled.join(least, "_component").select("_fp", "_component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, dense: int = DENSE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach)."""
+    hashed, ids = _grouped(docs, words, dense)
     return hashed.join(ids, "_fp").select(
         "doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def deduplicated(docs: DataFrame, words: int = WORDS, dense: int = DENSE) -> DataFrame:
+    """One row of ``docs`` for each component, with all columns: that of the smallest doc_id."""
+    hashed, ids = _grouped(docs, words, dense)
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row_key")).alias("_one")
+    kept = hashed.join(ids, "_fp").groupBy("_component").agg(best)
+    return only(docs, kept.select("_one._row_key"))
+
+
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
