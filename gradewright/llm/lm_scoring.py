@@ -75,7 +75,8 @@ class Coder:
 
 def trigram_counts(docs: DataFrame, labels: DataFrame, coder: Coder) -> tuple[np.ndarray, np.ndarray]:
     """Counts of target and background, over all documents."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
+    # always the shuffle join: below the broadcast threshold the plan would differ from that of large inputs
+    good = labels.where("quality = 1").select("doc_id").distinct().hint("merge")
     rows = documents(docs)
     cells = coder.size**3
 
