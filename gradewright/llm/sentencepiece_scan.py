@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -70,6 +71,7 @@ class Model:
         self.number = {processor.id_to_piece(i): i for i in plain}
         self.score = {processor.id_to_piece(i): processor.get_score(i) for i in plain}
         self.longest = max(map(len, self.number))
+        self.beginnings = {p[:k] for p in self.number for k in range(1, len(p) + 1)}
         self.bytes = [processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(SPACE in p.lstrip(SPACE) for p in self.number):
             raise ValueError("a piece holds a space sign behind another sign: words are not independent")
@@ -111,17 +113,24 @@ class Model:
         """Ends of all pieces on paths of weight 0 from ``start`` up to the first end at or behind ``stop``, with
         their starts. The paths from one state to one end are one, so a start per end is the whole lattice."""
         found: dict[int, int] = {}
-        waiting = [start]
+        waiting, size, number, beginnings, pairs = [start], len(text), self.number, self.beginnings, self.pairs
         while waiting:
             at = waiting.pop()
             if at >= stop and at > start:
                 continue
             last = before if at == start else text[found[at] : at]
-            for end in range(at + 1, min(at + self.longest, len(text)) + 1):
+            for end in range(at + 1, min(at + self.longest, size) + 1):
                 piece = text[at:end]
-                if (piece in self.number or end == at + 1) and (last is None or self.step(last, piece)) and end not in found:
-                    found[end] = at
-                    waiting.append(end)
+                if piece not in beginnings and end > at + 1:
+                    break  # no longer piece begins like this
+                if end in found or (piece not in number and end > at + 1):
+                    continue
+                if last is not None:
+                    fits = pairs.get((last, piece))
+                    if not (self.step(last, piece) if fits is None else fits):
+                        continue
+                found[end] = at
+                waiting.append(end)
         return found
 
     def trace(self, text: str, start: int, before: str | None, stop: int, end: int | None = None) -> list[str]:
@@ -140,8 +149,11 @@ class Model:
         found: list[int] = []
         for piece in pieces:
             number = self.number.get(piece)
-            found += [number] if number is not None else [self.bytes[b] for b in piece.encode()]
-        return np.array(found, "<u4").tobytes()
+            if number is not None:
+                found.append(number)
+            else:
+                found += [self.bytes[b] for b in piece.encode()]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def encode_words(self, text: str) -> bytes:
         """Ids of whole words."""
