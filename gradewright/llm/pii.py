@@ -233,11 +233,16 @@ def _joined(spans: Column) -> Column:
     )
 
 
+def _count(kind: int) -> Column:
+    """Base spans of a kind."""
+    return F.size(F.filter("base", lambda s: s["kind"] == kind))
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """Counts of base spans, their digest, and all spans of each document."""
     scan = written(scanned(docs), "pii-scan")
     rows = scan.drop("seen").join(found_spans(scan), "_key", "left")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [_count(k).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     more = F.coalesce("more", F.expr("array()").cast("array<struct<start: long, kind: long, end: long>>"))
     return rows.select(
         "doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
