@@ -80,9 +80,7 @@ def successors(keys: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness to each other and to the next document."""
-    rows = documents(docs).select(
-        "doc_id", F.col("doc_id").isNull().cast("int").alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "text"
-    )
+    rows = documents(docs).select(F.col("doc_id").isNull().cast("int").alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "text")
     third = F.floor(F.length("text") / 3).cast("int")
     keys = rows.groupBy("_null", "_id").agg(
         F.max(third).alias("_need"), F.min(F.xxhash64("text")).alias("_mark"), F.count(F.lit(1)).alias("_rows")
@@ -96,14 +94,14 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     if order.where("_rows > 1").limit(1).count():  # a doc_id of several rows gives the text of one
         source = rows.join(order.select("_null", "_id", "_mark"), ["_null", "_id"]).where(F.xxhash64("text") == F.col("_mark"))
         source = source.select("_null", "_id", "text").dropDuplicates(["_null", "_id"])
-    # rows and source share the shuffle by id; starts and anchors then go to the row before
+    # rows and source have the same columns and share the shuffle by id; starts and anchors then go to the row before
     given = source.join(needs, ["_null", "_id"]).select(
         F.col("_for_null").alias("_null"), F.col("_for_id").alias("_id"),
         F.expr("left(text, _need)").alias("_start"), anchors(F.col("text"), words)["anchor"].alias("_next"),
     )
     edited = F.concat(F.expr("left(text, length(text) - _third)"), F.expr("left(_start, _third)"))
     met = rows.join(given, ["_null", "_id"]).withColumn("_third", third).select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), "_next",
+        F.when(F.col("_null") == 0, F.col("_id")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), "_next",
         anchors(F.col("text"), words)["anchor"].alias("_own"), edited.alias("_edited"),
     )
     marked = met.select(
