@@ -72,9 +72,9 @@ def extract_file_info(lines: Column) -> Column:
 
     def build(lines: Column) -> Column:
         first = F.get(lines, F.lit(0))
-        marks = F.filter(
-            F.slice(lines, 1, 10), lambda line: line.rlike("^(?:new file|deleted file|rename from)")
-        )
+        hunk = F.array_position(F.transform(lines, lambda line: line.startswith("@@")), F.lit(True))
+        head = F.when(hunk > 0, F.slice(lines, F.lit(1), F.greatest(hunk.cast("int") - 1, F.lit(0)))).otherwise(lines)
+        marks = F.filter(head, lambda line: line.rlike("^(?:new file|deleted file|rename from)"))
 
         def name(parts: Column) -> Column:
             mark, old, new = parts["mark"], parts["old"], parts["new"]

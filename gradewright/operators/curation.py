@@ -17,6 +17,7 @@ EXCLUDED_TOPICS = (
     "tutorial", "beginner", "example", "course", "boilerplate", "book", "awesome", "books",
     "education", "learning", "demo", "starter", "guide",
 )
+# Fixed value: names of versions before the final one.
 PRERELEASE = "(alpha|beta|rc|a[0-9]+|b[0-9]+)"
 
 
@@ -126,13 +127,9 @@ def rank_range(
     tie: str = "full_name",
     start: int = 0,
     end: int = 100,
-    cap: int = 1000,
 ) -> DataFrame:
-    """Rows with 1-based rank in [start, end] by ``by`` descending, at most the first ``cap`` ranks.
-
-    The search this stands for returns ``cap`` rows at most; the numbering window sees only those.
-    """
-    top = df.orderBy(F.desc(by), tie).limit(min(end, cap))
+    """Rows with 1-based rank in [start, end] by ``by`` descending; the numbering window sees the first ``end`` only."""
+    top = df.orderBy(F.desc(by), tie).limit(end)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), tie)))
     return ranked.where(F.col("rank") >= start)
 
@@ -157,9 +154,12 @@ def skip_cached(
 def feature_type_counts(release_features: DataFrame) -> DataFrame:
     """New features, improvements and fixes per repository, and overall where ``repo`` is null."""
     kinds = {"new_features": "new_feature", "improvements": "improvement", "bug_fixes": "bug_fix"}
-    return release_features.rollup("repo").agg(
-        *[F.count_if(F.col("feature_type") == kind).alias(name) for name, kind in kinds.items()],
-        F.grouping("repo").alias("is_total"),
+    # counted per repository first: the total expands these rows, not the features
+    per_repo = release_features.groupBy("repo").agg(
+        *[F.count_if(F.col("feature_type") == kind).alias(name) for name, kind in kinds.items()]
+    )
+    return per_repo.rollup("repo").agg(
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in kinds], F.grouping("repo").alias("is_total")
     )
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAVY_ROWS = 1_000_000
-MAX_HEAVY_KEYS = 1_024
+BUCKETS = 65_536
 SALTS = 64
 
 
@@ -17,23 +19,26 @@ def _hashable(df: DataFrame) -> list[str]:
             and "variant" not in f.dataType.simpleString()]
 
 
+def _bucket(on: Sequence[str]) -> Column:
+    """Hash bucket of a key; text and whole numbers of different widths hash alike on both sides of a join."""
+    return F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in on]), F.lit(BUCKETS)).cast("int").alias("_bucket")
+
+
 def heavy_keys(
     df: DataFrame, on: Sequence[str], heavy_rows: int = HEAVY_ROWS, rows: Column | None = None
 ) -> DataFrame:
-    """The keys with more than ``heavy_rows`` rows, ``MAX_HEAVY_KEYS`` at most, most rows first.
+    """Hash buckets of keys with more than ``heavy_rows`` rows and far more than the mean, with ``_excess``.
 
-    ``rows`` sums a column of counts instead of counting rows, for input that is counted already.
+    Counting buckets instead of keys bounds the result by ``BUCKETS`` rows whatever the input, and misses no hot key.
+    ``_excess`` says how many times over the bucket is. ``rows`` sums a column of counts for input that is counted already.
     """
     total = F.count(F.lit(1)) if rows is None else F.sum(rows)
-    top = (
-        df.groupBy(*on)
-        .agg(total.alias("_rows"))
-        .where(F.col("_rows") > heavy_rows)
-        .orderBy(F.desc("_rows"), *on)
-        .limit(MAX_HEAVY_KEYS)
-    )
-    # above the limit, where it cannot move into the input and keep Spark from sharing its shuffle
-    return top.where(_all_present(on)).select(*on, F.lit(True).alias("_hot"))
+    counts = df.where(_all_present(on)).groupBy(_bucket(on)).agg(total.alias("_rows"))
+    whole = F.sum("_rows").over(Window.partitionBy(F.lit(0)))  # over at most BUCKETS rows
+    limit = F.greatest(F.lit(heavy_rows), 8 * whole / BUCKETS)
+    excess = F.ceil(F.col("_rows") / limit).cast("int")
+    # above the window, where it cannot move into the input and keep Spark from sharing its shuffle
+    return counts.withColumn("_excess", excess).where("_excess > 1").select("_bucket", "_excess")
 
 
 def skew_join(
@@ -47,28 +52,26 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join of many rows (left) to at most one row per key (right), safe for hot keys.
 
-    Keys with more than ``heavy_rows`` rows on the left are found by a counting aggregate, or
-    given as ``heavy`` where a cheaper table than the left side tells them. Their left rows are
-    spread over ``salts`` sub-keys and their right row is copied to each, so no task holds a whole
-    hot key; all other keys join as they are. The list of hot keys is broadcast: it has at most
-    ``MAX_HEAVY_KEYS`` rows, and a key that does not make the list has at most 1/MAX_HEAVY_KEYS of
-    all rows. Null keys match nothing and are spread too.
+    Buckets of keys with too many rows on the left are found by a counting aggregate, or given as ``heavy`` where a
+    cheaper table than the left side tells them. Their left rows are spread over ``salts`` sub-keys at most, by a
+    number of the row and not of its content, and their right rows are copied to each, so no task holds a whole hot
+    key; all other keys join as they are. The list of buckets is broadcast: it has at most ``BUCKETS`` rows. Null
+    keys match nothing and are spread too.
     """
     on = list(on)
     if heavy is None:
         heavy = heavy_keys(left, on, heavy_rows)
-    spread_over = F.pmod(F.xxhash64(*_hashable(left)), F.lit(salts)).cast("int")
-    left_salted = left.join(F.broadcast(heavy), on, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot") | ~_all_present(on), spread_over).otherwise(F.lit(0)),
-    ).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
+    many = F.least(F.lit(salts), 2 * F.col("_excess"))
+    spread_over = F.when(F.col("_excess").isNotNull(), many).when(~_all_present(on), F.lit(salts))
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), spread_over).cast("int")
+    left_salted = (
+        left.withColumn("_bucket", _bucket(on)).join(F.broadcast(heavy), "_bucket", "left")
+        .withColumn("_salt", F.coalesce(dealt, F.lit(0))).drop("_excess", "_bucket")
     )
+    copies = F.when(F.col("_excess").isNotNull(), F.sequence(F.lit(0), many - 1)).otherwise(F.array(F.lit(0)))
     right_salted = (
-        right.join(F.broadcast(heavy), on, "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
+        right.withColumn("_bucket", _bucket(on)).join(F.broadcast(heavy), "_bucket", "left")
+        .withColumn("_salt", F.explode(copies)).drop("_excess", "_bucket")
     )
     return left_salted.join(right_salted, [*on, "_salt"], how).drop("_salt")
 
@@ -91,11 +94,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row with the greatest ``order`` of every key, with partial aggregation before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    position = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), position).alias("_row"))
-    return best.select(*keys, "_row.*").select(*df.columns)
+    """The row with the greatest ``order`` of every key; each task cuts its groups to one row before the shuffle."""
+    best = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return df.withColumn("_place", F.row_number().over(best)).where("_place = 1").drop("_place")
 
 
 def numbered(
@@ -121,9 +122,11 @@ def numbered(
         F.sum("_sizes").over(Window.partitionBy(*keys)).alias("_total"),
     )
     inside = Window.partitionBy(*keys, "_segment").orderBy(pos)
+    placed = cut.withColumn("_inside", F.row_number().over(inside) - 1)
+    same = [F.col(f"_p.{c}").eqNullSafe(F.col(f"_o.{c}")) for c in [*keys, "_segment"]]  # null keys count too
     return (
-        cut.withColumn("_inside", F.row_number().over(inside) - 1)
-        .join(offsets, [*keys, "_segment"])
+        placed.alias("_p").join(offsets.alias("_o"), reduce(and_, same))
+        .select("_p.*", "_o._offset", "_o._total")
         .withColumn("_number", F.col("_offset") + F.col("_inside"))
         .drop("_segment", "_size", "_inside", "_offset")
     )

@@ -30,9 +30,9 @@ def render_release_prompt(df: DataFrame, template: str = RELEASE_TEMPLATE) -> Da
 
 
 def summarise_file_changes(
-    changes: Column, max_files: int = 1000, max_patch: int = 6_000_000, preview: int = 6_000_000
+    changes: Column, max_files: int | None = None, max_patch: int | None = None, preview: int | None = None
 ) -> Column:
-    """Text summary of the non-test file changes of an array."""
+    """Text summary of the non-test file changes of an array: all of them and whole patches, unless bounds are given."""
     others = F.filter(changes, lambda c: ~is_test_path(c["filename"]))
 
     def line(c: Column) -> Column:
@@ -41,14 +41,17 @@ def summarise_file_changes(
             c["additions"].cast("string"), F.lit("/-"), c["deletions"].cast("string"),
         )
         size = F.length(F.coalesce(c["patch"], F.lit("")))
-        shown = F.concat(F.lit("\n  "), F.substring(c["patch"], 1, preview), F.lit("..."))
-        return F.concat(head, F.when((size > 0) & (size < max_patch), shown).otherwise(""))
-
-    text = F.array_join(F.transform(F.slice(others, 1, max_files), line), "\n")
-    more = F.concat(
-        F.lit("\n... and "), (F.size(others) - max_files).cast("string"), F.lit(" more files")
-    )
-    text = F.concat(text, F.when(F.size(others) > max_files, more).otherwise(""))
+        patch = c["patch"] if preview is None else F.substring(c["patch"], 1, preview)
+        shown = F.concat(F.lit("\n  "), patch, F.lit("..."))
+        short = (size > 0) if max_patch is None else (size > 0) & (size < max_patch)
+        return F.concat(head, F.when(short, shown).otherwise(""))
+
+    listed = others if max_files is None else F.slice(others, 1, max_files)
+    text = F.array_join(F.transform(listed, line), "\n")
+    if max_files is not None:
+        rest = (F.size(others) - max_files).cast("string")
+        more = F.concat(F.lit("\n... and "), rest, F.lit(" more files"))
+        text = F.concat(text, F.when(F.size(others) > max_files, more).otherwise(""))
     return F.when(F.size(others) > 0, text).otherwise("No files were modified in this PR.")
 
 

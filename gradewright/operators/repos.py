@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import (
@@ -73,8 +73,15 @@ def pick_readme(repo_tree: DataFrame) -> DataFrame:
         & F.lower("path").rlike(r"^readme(?:\.md|\.rst|\.txt)?$")
         & F.col("content").isNotNull()
     )
-    first = F.min_by(F.when(is_readme, F.col("content")), F.when(is_readme, F.col("pos")))
-    return repo_tree.groupBy("repo").agg(F.coalesce(first, F.lit("")).alias("readme"))
+    # README rows are few: only they are ordered, and their contents never enter an aggregate
+    order = Window.partitionBy("repo").orderBy("pos")
+    readmes = repo_tree.where(is_readme).select("repo", "pos", "content")
+    first = readmes.withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    named = first.select(F.col("repo").alias("_repo"), F.col("content").alias("readme"))
+    repos = repo_tree.select("repo").distinct()
+    return repos.join(named, F.col("repo").eqNullSafe(F.col("_repo")), "left").select(
+        "repo", F.coalesce("readme", F.lit("")).alias("readme")
+    )
 
 
 def ci_files(repo_tree: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import make_instance_id, number, org
 from ..schemas import FILE_CHANGES, INSTANCE_COLUMNS
-from .layout import nest_in_chunks, skew_join
+from .layout import last_per_key, nest_in_chunks, skew_join
 
 POSITION = ["entry_pos", "feature_pos", "pr_pos"]
 
@@ -88,12 +88,15 @@ def build_instances(flat: DataFrame) -> DataFrame:
 
 
 def dedup_keep_last(df: DataFrame, key: str = "instance_id", pos: str = "pos") -> DataFrame:
-    """The last row of every key, at the position of the first (one aggregate, no sort of the table)."""
-    rest = [c for c in df.columns if c not in (key, pos)]
-    best = df.groupBy(key).agg(
-        F.max_by(F.struct(*rest), F.col(pos)).alias("_row"), F.min(pos).alias(pos)
-    )
-    return best.select(key, pos, "_row.*").select(*df.columns)
+    """The last row of every key, at the position of the first.
+
+    Both are cut to one row per key and task before their shuffle; the first carries its position only.
+    """
+    first = Window.partitionBy(key).orderBy(pos)
+    places = df.select(key, pos).withColumn("_place", F.row_number().over(first)).where("_place = 1")
+    rows = last_per_key(df, [key], [pos]).drop(pos).withColumnRenamed(key, "_key")
+    same = F.col("_key").eqNullSafe(F.col(key))
+    return rows.join(places.drop("_place"), same).drop("_key").select(*df.columns)
 
 
 def derive_spec(instances: DataFrame) -> DataFrame:

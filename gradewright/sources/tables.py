@@ -23,10 +23,11 @@ def write_published_split(df: DataFrame, path: str, split: str = "test") -> None
 
 
 def write_final_results(features: DataFrame, path: str) -> None:
-    """Enhanced features as a distributed table, and one row of counts beside it."""
+    """Enhanced features as a distributed table, and one row of counts of that table beside it."""
     features.write.mode("overwrite").json(f"{path}/results")
+    stored = features.sparkSession.read.schema(features.schema).json(f"{path}/results")
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
-    counts = results_metadata(features).withColumn("generated_at", stamp)
+    counts = results_metadata(stored).withColumn("generated_at", stamp)
     counts.write.mode("overwrite").json(f"{path}/metadata")
 
 
@@ -43,11 +44,14 @@ def upsert_keyed_cache(
     return last_per_key(both, list(keys), ["_order"]).drop("_order")
 
 
-def append_batch(df: DataFrame, path: str, batch: int | str) -> None:
+def append_batch(df: DataFrame, path: str, batch: int) -> None:
     """Write one batch of a keyed table; writing the same batch again replaces it.
 
-    Batches are separate folders, so an update costs its own size, not that of the table.
+    Batches are separate folders, so an update costs its own size, not that of the table. They are whole numbers:
+    as text, 10 would come before 9.
     """
+    if isinstance(batch, bool) or not isinstance(batch, int) or batch < 0:
+        raise ValueError(f"a batch is a whole number, not {batch!r}")
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
@@ -84,6 +88,6 @@ def load_results(
     return results, results.select("agent", "instance_id").distinct()
 
 
-def store_test_logs(df: DataFrame, path: str, batch: int | str = 0) -> None:
+def store_test_logs(df: DataFrame, path: str, batch: int = 0) -> None:
     """Logs keyed by (instance_id, phase); read back with :func:`read_keyed`."""
     append_batch(df.select("instance_id", "phase", "log"), path, batch)

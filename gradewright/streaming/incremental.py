@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,12 +18,14 @@ def stream_upsert_keyed(
 ) -> StreamingQuery:
     """Keep a keyed table up to date; read it with ``read_keyed``.
 
-    Every micro-batch lands in its own folder named by the batch id, so a batch that is repeated
-    after a failure replaces itself.
+    Every micro-batch lands in its own folder, numbered on from the batches that the table had when this stream
+    began; that number is kept beside the checkpoint. So a batch that is repeated after a failure replaces itself,
+    and a stream with a new checkpoint never replaces a batch of another writer.
     """
+    first = _first_batch(stream.sparkSession, path, checkpoint)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        append_batch(last_per_key(batch, list(keys), [order_col]), path, batch_id)
+        append_batch(last_per_key(batch, list(keys), [order_col]), path, first + batch_id)
 
     return (
         stream.writeStream.foreachBatch(upsert)
@@ -32,6 +35,26 @@ def stream_upsert_keyed(
     )
 
 
+def _stored(read: Callable[[], DataFrame]) -> int | None:
+    """The number in a table of one row and column; None where there is no such table yet."""
+    try:
+        return read().first()[0]
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _first_batch(spark: SparkSession, path: str, checkpoint: str) -> int:
+    kept = f"{checkpoint.rstrip('/')}-first-batch"
+    first = _stored(lambda: spark.read.schema("first long").json(kept))
+    if first is None:
+        last = _stored(lambda: spark.read.option("basePath", path).parquet(path).agg(F.max("batch")))
+        first = 0 if last is None else last + 1
+        spark.range(1).select(F.lit(first).alias("first")).write.json(kept)
+    return first
+
+
 def stream_new_releases(stream: DataFrame, valid: Column, delay: str = "30 days") -> DataFrame:
     """Valid releases, each (repo, tag) once.
 

@@ -20,7 +20,7 @@ def test_skew_join_equals_join(spark, hot, how):
 
 
 def test_hot_keys_are_spread(spark, hot):
-    assert [r.k for r in layout.heavy_keys(hot, ["k"], 100).collect()] == ["hot"]
+    assert [r["_excess"] for r in layout.heavy_keys(hot, ["k"], 100).collect()] == [10]
     right = spark.createDataFrame([("hot", 1)], "k string, v int")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -33,6 +33,26 @@ def test_hot_keys_are_spread(spark, hot):
     assert len(sizes) == 4 and max(r["count"] for r in sizes) < 600
 
 
+def test_no_hot_key_is_missed(spark):
+    keys = spark.range(2_000 * 12).select((F.col("id") % 2_000).alias("k"))  # more hot keys than any old bound
+    assert layout.heavy_keys(keys, ["k"], 5).count() > 1_900
+
+
+def test_identical_rows_of_a_hot_key_are_spread(spark):
+    same = spark.range(3000).select(F.lit("hot").alias("k"))
+    right = spark.createDataFrame([("hot", 1)], "k string, v int")
+    assert layout.skew_join(same, right, ["k"], "inner", heavy_rows=100, salts=16).count() == 3000
+    ids = same.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(16)).alias("s"))
+    assert ids.distinct().count() == 16
+
+
+def test_numbered_keeps_null_keys(spark, hot):
+    got = layout.numbered(hot, ["k"], "id", segment=70)
+    assert got.count() == hot.count()
+    nulls = sorted(r["_number"] for r in got.where("k IS NULL").collect())
+    assert nulls == list(range(len(nulls)))
+
+
 def test_numbered_equals_row_number(spark, hot):
     from pyspark.sql import Window
 

@@ -44,7 +44,7 @@ def test_rank_range(spark):
     df = spark.range(2000).select(F.concat(F.lit("r"), F.lpad("id", 4, "0")).alias("full_name"), (F.col("id") / 2).cast("bigint").alias("stargazers_count"))
     got = curation.rank_range(df, start=1, end=3).orderBy("rank").collect()
     assert [(r.full_name, r.rank) for r in got] == [("r1998", 1), ("r1999", 2), ("r1996", 3)]
-    assert curation.rank_range(df, end=5000).count() == 1000
+    assert curation.rank_range(df, end=5000).count() == df.count() > 1000
 
 
 def test_counts_and_totals(spark):

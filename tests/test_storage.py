@@ -98,6 +98,20 @@ def test_stream_upsert_continues(spark, tmp_path):
     assert sorted(map(tuple, tables.read_keyed(spark, out, ["k"], "v").collect())) == [("a", 0), ("b", 5)]
 
 
+def test_a_new_stream_replaces_no_batch_of_another(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    ddl = "k string, v int"
+    tables.append_batch(spark.createDataFrame([("x", 1), ("a", 0)], ddl), out, 0)
+    for state, batch in (("one", [("a", 1)]), ("one", [("b", 1)]), ("two", [("c", 3)])):
+        spark.createDataFrame(batch, ddl).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(ddl).parquet(src)
+        incremental.stream_upsert_keyed(stream, out, str(tmp_path / state), ["k"], "v").awaitTermination()
+    got = sorted(map(tuple, tables.read_keyed(spark, out, ["k"], "v").collect()))
+    assert got == [("a", 1), ("b", 1), ("c", 3), ("x", 1)]
+    with pytest.raises(ValueError, match="whole number"):
+        tables.append_batch(spark.createDataFrame([("x", 1)], ddl), out, "b10")
+
+
 class FakeSession:
     """The two settings that decide where scratch folders go."""
 
