@@ -49,6 +49,11 @@ def parse_test_log(logs: DataFrame, log: str = "log") -> DataFrame:
     )
 
 
+def log_order(batch: Column, pos: Column) -> Column:
+    """Order of all lines of an instance: by log, then by place. A log, being one text, has fewer than 2 ** 31 lines."""
+    return (batch.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + pos).cast("decimal(38,0)")
+
+
 def last_status_per_test(
     outcomes: DataFrame, keys: Sequence[str] = ("instance_id", "phase"), pos: str = "pos"
 ) -> DataFrame:

@@ -7,6 +7,7 @@ the data and have no hot key of their own.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.layout import spread
 from ..schemas import FILE_CHANGES
@@ -179,6 +180,32 @@ def test_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def label_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test logs as runs of both kinds: of the changed tests and of the whole suite."""
+    kinds = F.explode(F.array(F.lit("f2p"), F.lit("p2p"))).alias("kind")
+    return test_logs(spark, sf_dir).select("*", kinds)
+
+
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of five test files per order; two of the four tests in each change with three of four orders."""
+    body = "transform(sequence(0, 3), t -> concat('def test_', t, '():\\n    return ', {}, '\\n'))"
+    new = "CASE WHEN o_orderkey % 4 > 0 AND (t = o_custkey % 4 OR t = (o_custkey + 1) % 4) THEN 1 ELSE 0 END"
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('i', o_orderkey) AS instance_id",
+        f"array_join({body.format(0)}, '\\n') AS before", f"array_join({body.format(new)}, '\\n') AS after",
+        "explode(array(concat('tests/t_', o_orderkey % 5, '.py'), concat('tests/t_', (o_orderkey + 1) % 5, '.py'))) AS path",
+    )
+
+
+def changed_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests that ``changed_files`` changes."""
+    return table(spark, sf_dir, "orders").where("o_orderkey % 4 > 0").selectExpr(
+        "concat('i', o_orderkey) AS instance_id",
+        "explode(flatten(transform(array(o_orderkey % 5, (o_orderkey + 1) % 5), f -> transform("
+        "array(o_custkey % 4, (o_custkey + 1) % 4), t -> concat('tests/t_', f, '.py::test_', t))))) AS selector",
+    )
+
+
 def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eval_results_of(table(spark, sf_dir, "events"))
 

@@ -53,18 +53,19 @@ def _(spark, sf):
                             F.size("test_patch").alias("n_test"))
 
 
-@query("mine_labels", f"""WITH {COMBINED}, {F2P}, {P2P}, todo AS (SELECT o_orderkey, 'i' || o_orderkey AS instance_id FROM (
-    SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)
-   WHERE r <= 8 AND o_orderkey % 3 > 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+@query("mine_labels", f"""WITH {COMBINED}, {F2P}, {P2P},
+ todo AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey % 4 > 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)),
  f AS (SELECT instance_id, string_agg(test, ', ' ORDER BY test) AS x FROM f2p GROUP BY 1),
  p AS (SELECT instance_id, string_agg(test, ', ' ORDER BY test) AS y FROM p2p GROUP BY 1)
- SELECT 'i' || o.o_orderkey AS instance_id, CASE WHEN t.o_orderkey IS NULL THEN {FAIL.replace('o_orderkey', 'o.o_orderkey')} ELSE x END AS FAIL_TO_PASS,
+ SELECT 'i' || o.o_orderkey AS instance_id,
+   CASE WHEN t.o_orderkey IS NULL THEN {FAIL.replace('o_orderkey', 'o.o_orderkey')} ELSE x END AS FAIL_TO_PASS,
    CASE WHEN t.o_orderkey IS NULL THEN {PASS.replace('o_orderkey', 'o.o_orderkey')} ELSE y END AS PASS_TO_PASS,
-   t.o_orderkey IS NOT NULL OR o.o_orderkey % 3 = 0 AS processed
- FROM orders o LEFT JOIN todo t ON t.o_orderkey = o.o_orderkey LEFT JOIN f ON f.instance_id = t.instance_id
- LEFT JOIN p ON p.instance_id = t.instance_id""")
+   t.o_orderkey IS NOT NULL OR o.o_orderkey % 3 = 0 OR o.o_orderkey % 4 = 0 AS processed
+ FROM orders o LEFT JOIN todo t ON t.o_orderkey = o.o_orderkey LEFT JOIN f ON f.instance_id = 'i' || t.o_orderkey
+ LEFT JOIN p ON p.instance_id = 'i' || t.o_orderkey""")
 def _(spark, sf):
-    specs, _rest = jobs.mine_labels(carriers.specs(spark, sf), carriers.test_logs(spark, sf), per_repo=8)
+    specs, _more = jobs.mine_labels(
+        carriers.specs(spark, sf), carriers.changed_files(spark, sf), carriers.label_logs(spark, sf))
     return specs.select("instance_id", "FAIL_TO_PASS", "PASS_TO_PASS", "processed")
 
 
@@ -78,11 +79,11 @@ def evaluated(spark, sf):
     key = ["event_type AS agent", "concat('e', event_id) AS instance_id"]
     runs = events.selectExpr(
         *key, "concat('m', user_id % 3) AS model", "'t/a.py::f, t/b.py::g[x]' AS FAIL_TO_PASS", "'t/c.py::p' AS PASS_TO_PASS")
-    logs = events.selectExpr(*key, r"""explode(array(
+    logs = events.selectExpr(*key, "0 AS batch", r"""explode(array(
         named_struct('kind', 'f2p', 'log', concat('== short test summary info ==\nPASSED t/a.py::f[1]\n',
           CASE WHEN value > 20 THEN 'PASSED' ELSE 'FAILED' END, ' t/a.py::f[2] - x\nPASSED t/b.py::g[x]\n')),
         named_struct('kind', 'p2p', 'log', concat(CASE WHEN event_id % 2 = 0 THEN 'PASSED' ELSE 'SKIPPED' END,
-          ' t/c.py::p\nFAILED t/a.py::f')))) AS l""").select("agent", "instance_id", "l.*")
+          ' t/c.py::p\nFAILED t/a.py::f')))) AS l""").select("agent", "instance_id", "batch", "l.*")
     errors = events.where("event_type = 'error'").selectExpr(*key, "'no patch' AS error")
     return jobs.evaluate_runs(runs, logs, carriers.agent_logs(spark, sf), PARSERS, errors)
 

@@ -36,7 +36,13 @@ COMBINED = LAST + """, combined AS (
 def parsed(spark, sf):
     """Parsed lines whose ``pos`` orders all lines of an instance."""
     lines = testlogs.parse_test_log(carriers.test_logs(spark, sf))
-    return lines.withColumn("pos", F.col("batch") * 64 + F.col("pos")).drop("batch")
+    return lines.withColumn("pos", testlogs.log_order(F.col("batch"), F.col("pos"))).drop("batch")
+
+
+def derived(spark, sf):
+    """Labels of the changed tests; the parsed lines stand for the runs of both kinds."""
+    kinds = F.explode(F.array(F.lit("f2p"), F.lit("p2p"))).alias("kind")
+    return labels.derive_labels(carriers.changed_selectors(spark, sf), parsed(spark, sf).select("*", kinds))
 
 
 def outcomes(spark, sf):
@@ -137,15 +143,21 @@ def _(spark, sf):
     return testlogs.assign_batches(asked, base_len=100, limit=40_000).drop("selector")
 
 
-F2P = """f2p AS (SELECT b.instance_id, b.test FROM last b JOIN last a USING (instance_id, test)
-  WHERE b.phase = 'before' AND a.phase = 'after' AND b.status IN ('FAILED', 'ERROR') AND a.status = 'PASSED')"""
+# The changed tests have no exact line in the logs, so all their parameters decide.
+F2P = """sel AS (SELECT 'i' || o_orderkey AS instance_id,
+    'tests/t_' || ((o_orderkey + f) % 5) || '.py::test_' || ((o_custkey + t) % 4) AS test
+    FROM orders, (VALUES (0), (1)) AS v(f), (VALUES (0), (1)) AS w(t) WHERE o_orderkey % 4 > 0),
+ f2p AS (SELECT s.instance_id, s.test FROM sel s JOIN combined b ON b.instance_id = s.instance_id AND b.base_test = s.test
+    JOIN combined a ON a.instance_id = s.instance_id AND a.base_test = s.test
+  WHERE b.phase = 'before' AND a.phase = 'after' AND b.status = 'FAILED' AND a.status = 'PASSED')"""
 P2P = """p2p AS (SELECT b.instance_id, b.base_test AS test FROM combined b JOIN combined a USING (instance_id, base_test)
   WHERE b.phase = 'before' AND a.phase = 'after' AND b.status = 'PASSED' AND a.status = 'PASSED')"""
 
 
 def f2p(spark, sf):
-    found = outcomes(spark, sf)
-    return labels.fail_to_pass(phase(found, "before"), phase(found, "after"))
+    found, asked = outcomes(spark, sf), carriers.changed_selectors(spark, sf)
+    sides = [testlogs.resolve_test_status(asked, phase(found, name)) for name in ("before", "after")]
+    return labels.fail_to_pass(*sides, test="selector")
 
 
 def p2p(spark, sf):
@@ -153,7 +165,7 @@ def p2p(spark, sf):
     return labels.pass_to_pass(phase(found, "before"), phase(found, "after"), test="base_test")
 
 
-@query("fail_to_pass", f"WITH {LAST}, {F2P} SELECT * FROM f2p")
+@query("fail_to_pass", f"WITH {COMBINED}, {F2P} SELECT * FROM f2p")
 def _(spark, sf):
     return f2p(spark, sf)
 
@@ -166,17 +178,16 @@ def _(spark, sf):
 @query("derive_labels", f"""WITH {COMBINED}, {F2P}, {P2P}
  SELECT instance_id, 'f2p' AS kind, test FROM f2p UNION ALL SELECT instance_id, 'p2p', test FROM p2p""")
 def _(spark, sf):
-    return labels.derive_labels(parsed(spark, sf))
+    return derived(spark, sf)
 
 
 @query("label_strings", f"""WITH {COMBINED}, {F2P}, {P2P}
- SELECT coalesce(f.instance_id, p.instance_id) AS instance_id, FAIL_TO_PASS, PASS_TO_PASS FROM
+ SELECT coalesce(f.instance_id, p.instance_id) AS instance_id, 0 AS chunk, FAIL_TO_PASS, PASS_TO_PASS FROM
   (SELECT instance_id, string_agg(test, ', ' ORDER BY test) AS FAIL_TO_PASS FROM f2p GROUP BY 1) f
   FULL JOIN (SELECT instance_id, string_agg(test, ', ' ORDER BY test) AS PASS_TO_PASS FROM p2p GROUP BY 1) p
   ON f.instance_id = p.instance_id""")
 def _(spark, sf):
-    texts, _rest = labels.label_strings(labels.derive_labels(parsed(spark, sf)))
-    return texts
+    return labels.label_strings(derived(spark, sf))
 
 
 @query("encode_test_list", """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 < 2 THEN NULL
@@ -221,7 +232,7 @@ PASS = "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'tests/c.py::p' END"
    l.instance_id IS NOT NULL OR o_orderkey % 3 = 0 AS processed
  FROM orders LEFT JOIN l ON l.instance_id = 'i' || o_orderkey""")
 def _(spark, sf):
-    texts, _rest = labels.label_strings(labels.derive_labels(parsed(spark, sf)))
+    texts = labels.label_strings(derived(spark, sf)).where("chunk = 0")
     new = labels.update_labels(carriers.specs(spark, sf), texts)
     return new.select("instance_id", "FAIL_TO_PASS", "PASS_TO_PASS", "processed")
 
@@ -250,7 +261,7 @@ def _(spark, sf):
    NOT coalesce(p, false) AS success_p2p, NOT (coalesce(f, false) OR coalesce(p, false)) AS success
  FROM orders LEFT JOIN m ON m.instance_id = 'i' || o_orderkey""")
 def _(spark, sf):
-    expected = labels.derive_labels(parsed(spark, sf))
+    expected = derived(spark, sf)
     ran = carriers.table(spark, sf, "lineitem").where("l_linenumber < 6").selectExpr(
         "concat('i', l_orderkey) AS instance_id",
         "concat('tests/t_', l_partkey % 5, '.py::test_', l_suppkey % 4) AS test").distinct()

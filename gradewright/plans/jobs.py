@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_test_list
-from ..operators import curation, judging, labels, repos, testlogs, transform, usage
+from ..operators import curation, judging, labels, repos, symbols, testlogs, transform, usage
 from ..operators.layout import skew_join
+from ..session import scratch_dir
 
 
 def curate_releases(
@@ -23,7 +24,7 @@ def curate_releases(
 ) -> tuple[DataFrame, DataFrame]:
     """Repositories worth mining with their number of valid releases, and their top releases.
 
-    Cheap filters come first; listings are asked only for repositories that are left.
+    Listings are aggregated once, for all repositories.
     """
     wanted = curation.filter_excluded_topics(candidates, topics)
     valid = releases.where(curation.is_valid_release(min_date=min_date))
@@ -43,25 +44,48 @@ def transform_results(results: DataFrame, deduplicate: bool = True) -> tuple[Dat
     return (transform.dedup_keep_last(instances) if deduplicate else instances), rejected
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the scratch folder and read again, for what a job uses more than once."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mine_labels(
-    specs: DataFrame, logs: DataFrame, per_repo: int = 100, pos: str = "pos"
+    specs: DataFrame, test_files: DataFrame, logs: DataFrame, per_repo: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Specs with the labels that their stored logs show, and label lists too long for a text.
+    """Specs with the labels that their stored logs show, and the further chunks of labels too many for one text.
 
-    ``logs`` has (instance_id, phase, batch, log), where ``batch`` orders the logs of an instance
-    and a log has fewer than 2**20 lines. Only the logs of pending specs are parsed; a pending
-    spec without labels ends processed with null labels.
+    ``test_files`` has (instance_id, path, before, after): the texts of test files around the test patch. ``logs``
+    has (instance_id, kind, phase, batch, log), where ``batch`` orders the logs of an instance, kind and phase. Specs
+    whose tests did not change are marked processed and keep their labels; changed ones with logs get labels, null
+    where there are none, and are processed; changed ones without logs wait. ``per_repo`` limits the specs of a
+    repository that are looked at; by default all are.
     """
-    pending = labels.filter_pending_specs(judging.limit_per_repo(specs, per_repo))
-    ids = pending.select("instance_id")
-    own = skew_join(logs, ids, ["instance_id"], "left_semi")
-    lines = testlogs.parse_test_log(own).withColumn(pos, F.col("batch") * 2**20 + F.col(pos))
-    texts, rest = labels.label_strings(labels.derive_labels(lines.drop("batch"), pos))
+    listed = specs if per_repo is None else judging.limit_per_repo(specs, per_repo)
+    pending = labels.filter_pending_specs(listed).select("instance_id")
+    code = skew_join(test_files, pending, ["instance_id"], "left_semi")
+    keys = ["instance_id", "path"]
+    sides = [
+        symbols.parse_code_elements(code.select(*keys, F.col(side).alias("content"))).drop("content")
+        for side in ("before", "after")
+    ]
+    changes = _stored(symbols.filter_pytest_changes(symbols.diff_code_elements(*sides)), "label-changes")
+    selectors = testlogs.build_test_selectors(changes).select("instance_id", "selector")
+    marked = _stored(labels.mark_changed(pending, changes), "label-specs")
+    changed = marked.where("changed").select("instance_id")
+    own = skew_join(logs, changed, ["instance_id"], "left_semi")
+    lines = testlogs.parse_test_log(own)
+    lines = lines.withColumn("pos", testlogs.log_order(F.col("batch"), F.col("pos"))).drop("batch")
+    long = _stored(labels.derive_labels(selectors, lines), "labels")
+    texts = _stored(labels.label_strings(long), "label-texts")
     logged = own.select("instance_id").distinct()
-    found = logged.join(texts, "instance_id", "left").join(
-        rest.select("instance_id").distinct(), "instance_id", "left_anti"
-    )
-    return labels.update_labels(specs, found), rest
+    found = logged.join(texts.where("chunk = 0"), "instance_id", "left")
+    new = labels.update_labels(specs, found)
+    skipped = marked.where("NOT changed").select("instance_id", F.lit(True).alias("_skipped"))
+    done = F.col("processed") | F.col("_skipped").isNotNull()
+    new = new.join(skipped, "instance_id", "left").withColumn("processed", done).select(*specs.columns)
+    return new, texts.where("chunk > 0")
 
 
 def evaluate_runs(
@@ -73,7 +97,8 @@ def evaluate_runs(
 ) -> DataFrame:
     """Result rows of (agent, model, instance_id, FAIL_TO_PASS, PASS_TO_PASS) runs.
 
-    ``test_logs`` has (agent, instance_id, kind, log) for the kinds 'f2p' and 'p2p'.
+    ``test_logs`` has (agent, instance_id, kind, batch, log) for the kinds 'f2p' and 'p2p'; ``batch`` orders the logs
+    of a run and kind. An agent without a parser is an error.
     """
     keys = ["agent", "instance_id", "kind"]
     expected = runs.select(
@@ -90,7 +115,9 @@ def evaluate_runs(
         .select("agent", "instance_id", "_l.kind", F.explode("_l.tests").alias("selector"))
         .distinct()
     )
-    outcomes = testlogs.last_status_per_test(testlogs.parse_test_log(test_logs), keys)
+    lines = testlogs.parse_test_log(test_logs)
+    lines = lines.withColumn("pos", testlogs.log_order(F.col("batch"), F.col("pos")))
+    outcomes = testlogs.last_status_per_test(lines, keys)
     passed = testlogs.query_tests(selectors, outcomes, ("PASSED",), keys)
     tokens = usage.token_usage_by_agent(agent_logs, parsers, on_unknown="null")
     return judging.build_eval_result(

@@ -54,10 +54,58 @@ def test_labels(spark):
     assert {r.test for r in labels.fail_to_pass(before, after).collect()} == {"a", "d"}
     assert {r.test for r in labels.pass_to_pass(before, after).collect()} == {"b"}
     lines = before.withColumn("phase", F.lit("before")).unionByName(after.withColumn("phase", F.lit("after")))
-    found = labels.derive_labels(lines.withColumn("pos", F.lit(1)))
+    kinds = F.explode(F.array(F.lit("f2p"), F.lit("p2p"))).alias("kind")
+    asked = spark.createDataFrame([("i", s) for s in "abcdez"], "instance_id string, selector string")
+    found = labels.derive_labels(asked, lines.select("*", F.lit(1).alias("pos"), kinds))
     assert {(r.kind, r.test) for r in found.collect()} == {("f2p", "a"), ("f2p", "d"), ("p2p", "b")}
 
 
+def test_labels_are_of_changed_tests_with_all_their_parameters(spark):
+    """A half-fixed test is no fail-to-pass; a test that was not changed is none either; a kind has its own logs."""
+    rows = [("f2p", "before", "f[1]", "FAILED"), ("f2p", "before", "f[2]", "FAILED"), ("f2p", "after", "f[1]", "PASSED"),
+            ("f2p", "after", "f[2]", "FAILED"), ("f2p", "before", "g[1]", "ERROR"), ("f2p", "before", "g[2]", "PASSED"),
+            ("f2p", "after", "g[1]", "PASSED"), ("f2p", "after", "g[2]", "SKIPPED"), ("f2p", "before", "u", "FAILED"),
+            ("f2p", "after", "u", "PASSED"), ("p2p", "before", "v", "PASSED"), ("p2p", "after", "v", "PASSED"),
+            ("f2p", "before", "new", "ERROR"), ("f2p", "before", "w", "PASSED"), ("f2p", "after", "w", "PASSED")]
+    lines = spark.createDataFrame([("i", 1, *r) for r in rows], "instance_id string, pos int, kind string, phase string, test string, status string")
+    asked = spark.createDataFrame([("i", s) for s in ("f", "g", "f[1]", "new", "v")], "instance_id string, selector string")
+    found = labels.derive_labels(asked, lines)
+    assert {(r.kind, r.test) for r in found.collect()} == {("f2p", "g"), ("f2p", "f[1]"), ("p2p", "v")}
+    for phase in ("before", "after"):
+        last = lines.where(f"kind = 'f2p' AND phase = '{phase}'").select("instance_id", "test", "status")
+        status = {r.selector: r.status for r in testlogs.resolve_test_status(asked, last).collect()}
+        assert (status["g"], status["f[1]"], status["f"]) == (("FAILED", "FAILED", "FAILED") if phase == "before" else ("PASSED", "PASSED", "FAILED"))
+
+
+def test_order_of_lines_never_mixes_logs(spark):
+    df = spark.createDataFrame([(1, 2**31 - 1), (2, 0), (2**62, 5)], "batch long, pos int")
+    order = [r[0] for r in df.select(testlogs.log_order(F.col("batch"), F.col("pos"))).collect()]
+    assert order == sorted(order) and len(set(order)) == 3
+
+
+def test_mining_labels_marks_each_pending_spec(spark, monkeypatch):
+    from gradewright.plans import jobs
+
+    specs = spark.createDataFrame(
+        [("a", None, None, None), ("same", "x", "y", False), ("wait", None, None, False), ("done", "x", "y", True)],
+        "instance_id string, FAIL_TO_PASS string, PASS_TO_PASS string, processed boolean")
+    body = "def test_f():\n    return {}\n"
+    files = spark.createDataFrame(
+        [(i, "t.py", body.format(0), body.format(int(i != "same"))) for i in ("a", "same", "wait", "done")],
+        "instance_id string, path string, before string, after string")
+    suite = "\n".join(f"PASSED t.py::s{k}" for k in range(25))
+    rows = [("a", kind, phase, 0, text) for kind, phase, text in (
+        ("f2p", "before", "FAILED t.py::test_f"), ("f2p", "after", "PASSED t.py::test_f"), ("p2p", "before", suite), ("p2p", "after", suite))]
+    logs = spark.createDataFrame(rows, "instance_id string, kind string, phase string, batch long, log string")
+    monkeypatch.setattr(labels.label_strings, "__defaults__", (10,))
+    new, more = jobs.mine_labels(specs, files, logs)
+    got = {r.instance_id: r for r in new.collect()}
+    assert got["a"].processed and got["a"].FAIL_TO_PASS == "t.py::test_f" and got["a"].PASS_TO_PASS.count(",") == 9
+    assert [(r.chunk, r.PASS_TO_PASS.count(",") + 1) for r in more.orderBy("chunk").collect()] == [(1, 10), (2, 5)]
+    assert (got["same"].FAIL_TO_PASS, got["same"].processed) == ("x", True)
+    assert not got["wait"].processed and got["done"].PASS_TO_PASS == "y"
+
+
 def test_update_labels_overwrites_with_null(spark):
     ddl = "instance_id string, FAIL_TO_PASS string, PASS_TO_PASS string, processed boolean"
     specs = spark.createDataFrame([("a", "x", "y", None), ("b", "x", "y", None)], ddl)

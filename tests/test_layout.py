@@ -72,12 +72,12 @@ def test_chunks_hold_everything_in_order(spark, hot):
     assert all(r.ids == sorted(r.ids) for r in nested)
 
 
-def test_oversize_label_lists_stay_rows(spark):
-    rows = [("big", "f2p", f"t{i}") for i in range(30)] + [("small", "f2p", "b"), ("small", "f2p", "a"), ("small", "p2p", "c")]
+def test_long_label_lists_go_on_in_chunks(spark):
+    rows = [("big", "f2p", f"t{i:02d}") for i in range(30)] + [("small", "f2p", "b"), ("small", "f2p", "a"), ("small", "p2p", "c")]
     df = spark.createDataFrame(rows, "instance_id string, kind string, test string")
-    texts, rest = labels.label_strings(df, max_tests=10)
-    assert [tuple(r) for r in texts.collect()] == [("small", "a, b", "c")]
-    assert rest.count() == 30
+    texts = {(r.instance_id, r.chunk): (r.FAIL_TO_PASS, r.PASS_TO_PASS) for r in labels.label_strings(df, size=10).collect()}
+    assert texts["small", 0] == ("a, b", "c")
+    assert ", ".join(texts["big", k][0] for k in range(3)) == ", ".join(f"t{i:02d}" for i in range(30)) and len(texts) == 4
 
 
 def test_last_per_key_ignores_partitioning(spark, hot):

@@ -1,5 +1,7 @@
 """Physical plans: what must and must not be in them."""
 
+import re
+
 import pytest
 
 from gradewright.plans import QUERIES
@@ -11,6 +13,8 @@ SYNTAX = {
     "diff_code_elements", "modified_elements", "filter_pytest_changes", "build_test_selectors",
     "skip_unchanged_specs", "gate_pr",
 }
+# The job that reads Python syntax into a table before it builds its plan.
+STORED = {"mine_labels"}
 # Queries that run streams or write files when they are built.
 EAGER = {
     "read_results_document", "read_instances_json", "read_instances_published", "write_published_split",
@@ -24,7 +28,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER - STORED))
 def test_no_cross_joins_and_no_stray_python(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text
@@ -49,7 +53,27 @@ def test_labels_read_the_logs_once(spark):
     df = QUERIES["derive_labels"](spark, SF)
     df.collect()
     text = plan(df).split("== Initial Plan ==")[0]
-    assert text.count("FileScan") == 1 and "ReusedExchange" in text
+    assert text.count("lineitem.parquet") == 1 and "ReusedExchange" in text
+
+
+def test_mining_reads_its_tables_once_or_twice(spark):
+    text = plan(QUERIES["mine_labels"](spark, SF))
+    assert text.count("FileScan") <= 7 and text.count("lineitem.parquet") <= 2
+    assert len(re.findall("Exchange hashpartitioning", text)) <= 12
+
+
+@pytest.mark.parametrize("name", [
+    "dedup_keep_last", "last_per_key", "pick_readme", "upsert_keyed_cache", "leaderboard", "feature_type_counts", "transform_results",
+])
+def test_rows_are_not_sorted_in_aggregates(spark, name):
+    assert "SortAggregate" not in plan(QUERIES[name](spark, SF))
+
+
+def test_totals_expand_counts(spark):
+    for name in ("leaderboard", "feature_type_counts"):
+        text = plan(QUERIES[name](spark, SF))
+        assert text.index("Expand") < text.rindex("HashAggregate") and text.index("Expand") < text.index("FileScan")
+        assert "HashAggregate" in text[text.index("Expand") :]
 
 
 def test_statuses_use_hash_aggregation(spark):
