@@ -204,6 +204,11 @@ def sources(spark, sf, side):
     return carriers.code_pairs(spark, sf).select("instance_id", "path", F.col(side).alias("content"))
 
 
+def both_sides(spark, sf):
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("content")) for s in ("before", "after")])
+    return carriers.code_pairs(spark, sf).select("instance_id", "path", F.inline(sides))
+
+
 def symbol_changes(spark, sf):
     before, after = (symbols.parse_code_elements(sources(spark, sf, s)) for s in ("before", "after"))
     return symbols.diff_code_elements(before, after)
@@ -226,14 +231,14 @@ DEFINITIONS = f"""defs AS (SELECT 'p' || {P} AS instance_id, 'tests/test_' || p_
     AND (n <> 'test_new' OR s = 'after' AND {P} % 3 = 0))"""
 
 
-@query("extract_definitions", f"WITH {DEFINITIONS} SELECT instance_id, path, n AS qualname FROM defs WHERE s = 'after'")
+@query("extract_definitions", f"WITH {DEFINITIONS} SELECT instance_id, path, s AS side, n AS qualname FROM defs")
 def _(spark, sf):
-    return symbols.extract_definitions(sources(spark, sf, "after"))
+    return symbols.extract_definitions(both_sides(spark, sf))
 
 
-@query("parse_code_elements", f"WITH {ELEMENTS} SELECT instance_id, path, kind, name FROM elements WHERE s = 'after'")
+@query("parse_code_elements", f"WITH {ELEMENTS} SELECT instance_id, path, s AS side, kind, name FROM elements")
 def _(spark, sf):
-    return symbols.parse_code_elements(sources(spark, sf, "after")).drop("body_hash")
+    return symbols.parse_code_elements(both_sides(spark, sf)).drop("body_hash")
 
 
 @query("diff_definitions", f"""WITH {DEFINITIONS} SELECT instance_id, path, n AS qualname,

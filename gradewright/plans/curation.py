@@ -94,19 +94,18 @@ def _(spark, sf):
     )
 
 
-@query("extract_version_from_urls", r"""SELECT page_id, array_to_string(
-  regexp_extract_all(regexp_extract(url, '([0-9]+)(?:\s*[.\-_]\s*[0-9]+)*', 0), '[0-9]+'), '.') AS version_key
- FROM pages WHERE regexp_matches(url, '[0-9]')""")
+@query("extract_version_from_urls", r"""SELECT page_id, CASE WHEN regexp_matches(url, '[0-9]') THEN array_to_string(
+  regexp_extract_all(regexp_extract(url, '([0-9]+)(?:\s*[.\-_]\s*[0-9]+)*', 0), '[0-9]+'), '.') END AS version_key
+ FROM pages""")
 def _(spark, sf):
     version = text.extract_version(F.col("url"))
-    pages = carriers.table(spark, sf, "pages").where(version.isNotNull())
-    return pages.select("page_id", text.version_key(version).alias("version_key"))
+    return carriers.table(spark, sf, "pages").select("page_id", text.version_key(version).alias("version_key"))
 
 
-@query("version_key", f"SELECT o_orderkey AS pos, {VERSION_KEY} AS version_key FROM orders WHERE o_orderkey % 6 < 5")
+@query("version_key", f"SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 6 < 5 THEN {VERSION_KEY} END AS version_key FROM orders")
 def _(spark, sf):
-    tagged = carriers.releases(spark, sf).withColumn("version", text.extract_version(F.col("tag_name")))
-    return tagged.where("version IS NOT NULL").select("pos", text.version_key(F.col("version")).alias("version_key"))
+    version = text.extract_version(F.col("tag_name"))
+    return carriers.releases(spark, sf).select("pos", text.version_key(version).alias("version_key"))
 
 
 TOP = f"""SELECT * FROM (
