@@ -146,8 +146,8 @@ def skip_cached(
 ) -> tuple[DataFrame, DataFrame]:
     """Candidates not yet in the cache, and the cached rows that stand in for the others."""
     keys = list(keys)
-    fresh = candidates.join(cache.select(*keys).distinct(), keys, "left_anti")
-    cached = cache.join(candidates.select(*keys).distinct(), keys, "left_semi")
+    fresh = skew_join(candidates, cache.select(*keys).distinct(), keys, "left_anti")
+    cached = skew_join(cache, candidates.select(*keys).distinct(), keys, "left_semi")
     return fresh, cached
 
 

@@ -10,7 +10,7 @@ from ..functions.text import (
     build_pr_links, extract_pr_number, pr_references, render_template, truncate_readme,
 )
 from ..schemas import FEATURE_REPLY
-from .layout import skew_join
+from .layout import heavy_keys, skew_join
 
 # Own short defaults; pass the templates of a project for its real prompts.
 RELEASE_TEMPLATE = "{readme_context}Sort the changes of release {tag_name}.\n{release_body}"
@@ -202,7 +202,9 @@ def commits_with_default(prs: DataFrame, commits: DataFrame) -> DataFrame:
             F.col("sha").alias(f"{side}_sha"),
             F.struct("sha", "message", "date", "author").alias("_commit"),
         )
-        joined = skew_join(out, known, ["repo", f"{side}_sha"], "left")
+        on = ["repo", f"{side}_sha"]
+        # hot keys are counted on the input, not on what the join before gave
+        joined = skew_join(out, known, on, "left", heavy=heavy_keys(prs, on))
         blank = F.lit("")
         default = F.struct(
             F.col(f"{side}_sha").alias("sha"), blank.alias("message"), blank.alias("date"),

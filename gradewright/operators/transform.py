@@ -116,11 +116,9 @@ def file_membership(
 ) -> tuple[DataFrame, DataFrame]:
     """Test and source rows of a long table of file changes; a null name is a source row."""
     on = [*keys, "filename"]
-    names = test_files.select(*on).distinct()
-    return (
-        skew_join(file_changes, names, on, "left_semi"),
-        skew_join(file_changes, names, on, "left_anti"),
-    )
+    names = test_files.select(*on).distinct().withColumn("_named", F.lit(True))
+    marked = skew_join(file_changes, names, on, "left").select(*file_changes.columns, "_named")
+    return marked.where("_named").drop("_named"), marked.where("_named IS NULL").drop("_named")
 
 
 def nest_release_results(features: DataFrame, analyses: DataFrame, size: int = 10_000) -> DataFrame:

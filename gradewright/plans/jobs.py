@@ -79,7 +79,7 @@ def mine_labels(
     lines = lines.withColumn("pos", testlogs.log_order(F.col("batch"), F.col("pos"))).drop("batch")
     long = _stored(labels.derive_labels(selectors, lines), "labels")
     texts = _stored(labels.label_strings(long), "label-texts")
-    logged = own.select("instance_id").distinct()
+    logged = changed.join(logs.select("instance_id").distinct(), "instance_id", "left_semi")
     found = logged.join(texts.where("chunk = 0"), "instance_id", "left")
     new = labels.update_labels(specs, found)
     skipped = marked.where("NOT changed").select("instance_id", F.lit(True).alias("_skipped"))

@@ -64,6 +64,7 @@ def test_mining_reads_its_tables_once_or_twice(spark):
 
 @pytest.mark.parametrize("name", [
     "dedup_keep_last", "last_per_key", "pick_readme", "upsert_keyed_cache", "leaderboard", "feature_type_counts", "transform_results",
+    "gate_pr", "diff_code_elements", "modified_elements", "file_membership", "commits_with_default",
 ])
 def test_rows_are_not_sorted_in_aggregates(spark, name):
     assert "SortAggregate" not in plan(QUERIES[name](spark, SF))
