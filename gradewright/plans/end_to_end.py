@@ -85,7 +85,7 @@ def evaluated(spark, sf):
         named_struct('kind', 'p2p', 'log', concat(CASE WHEN event_id % 2 = 0 THEN 'PASSED' ELSE 'SKIPPED' END,
           ' t/c.py::p\nFAILED t/a.py::f')))) AS l""").select("agent", "instance_id", "batch", "l.*")
     errors = events.where("event_type = 'error'").selectExpr(*key, "'no patch' AS error")
-    return jobs.evaluate_runs(runs, logs, carriers.agent_logs(spark, sf), PARSERS, errors)
+    return jobs.evaluate_runs(runs, logs, carriers.agent_logs(spark, sf), PARSERS, errors, on_unknown="null")
 
 
 @query("evaluate_runs", f"""WITH {RUNS} SELECT agent, model, instance_id, CASE WHEN NOT broken THEN f END AS success_f2p,
@@ -105,6 +105,27 @@ def _(spark, sf):
     return judging.leaderboard(evaluated(spark, sf)).select("agent", "model", "n", "resolved_rate")
 
 
+PAIRS = """w AS (SELECT o_orderkey AS k, agent FROM orders, (VALUES ('click'), ('view')) AS v(agent)),
+ d AS (SELECT DISTINCT event_type AS agent, user_id AS k FROM events WHERE event_type IN ('click', 'view')),
+ p AS (SELECT * FROM w EXCEPT SELECT k, agent FROM d)"""
+
+
+def scheduled(spark, sf):
+    return jobs.schedule_evaluations(
+        carriers.specs(spark, sf), carriers.eval_results(spark, sf), ["click", "view", "purchase"], only=["view", "click", "x"])
+
+
+@query("schedule_evaluations", f"WITH {PAIRS} SELECT agent, 'i' || k AS instance_id FROM p")
+def _(spark, sf):
+    return scheduled(spark, sf)[0]
+
+
+@query("scheduled_progress", f"""WITH {PAIRS} SELECT (SELECT count(*) FROM d) AS completed,
+  (SELECT count(*) FROM d) + (SELECT count(*) FROM p) AS total""")
+def _(spark, sf):
+    return scheduled(spark, sf)[1]
+
+
 @query("save_results", "SELECT event_id, event_type AS agent, CASE WHEN event_type = 'click' THEN 'a' ELSE 'b' END AS run_id FROM events")
 def _(spark, sf):
     path = scratch_dir(spark, "runs")

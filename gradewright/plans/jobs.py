@@ -88,17 +88,37 @@ def mine_labels(
     return new, texts.where("chunk > 0")
 
 
+def schedule_evaluations(
+    specs: DataFrame,
+    results: DataFrame,
+    agents: Sequence[str],
+    only: Sequence[str] | None = None,
+    per_repo: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The (agent, instance) pairs still to run, and one row of how many of the chosen agents' pairs are done.
+
+    ``only`` chooses among the configured agents, ``per_repo`` limits the specs of a repository (all by default);
+    ``results`` are stored runs, of which those of chosen agents count.
+    """
+    chosen = [a for a in dict.fromkeys(agents) if only is None or a in only]
+    listed = specs if per_repo is None else judging.limit_per_repo(specs, per_repo)
+    done = judging.select_agents(results, chosen).select("agent", "instance_id").distinct()
+    pending = judging.pending_evaluations(listed, done, chosen)
+    return pending, judging.evaluation_progress(pending, done)
+
+
 def evaluate_runs(
     runs: DataFrame,
     test_logs: DataFrame,
     agent_logs: DataFrame,
     parsers: Mapping[str, usage.Parser],
     errors: DataFrame,
+    on_unknown: str = "error",
 ) -> DataFrame:
     """Result rows of (agent, model, instance_id, FAIL_TO_PASS, PASS_TO_PASS) runs.
 
     ``test_logs`` has (agent, instance_id, kind, batch, log) for the kinds 'f2p' and 'p2p'; ``batch`` orders the logs
-    of a run and kind. An agent without a parser is an error.
+    of a run and kind. An agent without a parser is an error unless ``on_unknown`` is 'null'.
     """
     keys = ["agent", "instance_id", "kind"]
     expected = runs.select(
@@ -119,7 +139,7 @@ def evaluate_runs(
     lines = lines.withColumn("pos", testlogs.log_order(F.col("batch"), F.col("pos")))
     outcomes = testlogs.last_status_per_test(lines, keys)
     passed = testlogs.query_tests(selectors, outcomes, ("PASSED",), keys)
-    tokens = usage.token_usage_by_agent(agent_logs, parsers, on_unknown="null")
+    tokens = usage.token_usage_by_agent(agent_logs, parsers, on_unknown)
     return judging.build_eval_result(
         expected, passed.withColumnRenamed("selector", "test"), tokens, errors
     )
