@@ -8,7 +8,7 @@ forms' controls and the head never become blocks.
 Training: pages whose own markup says where the article is label themselves. A page with exactly one ``article`` or
 ``main`` element (or ``itemprop=articleBody``) is a labelled page: blocks in it are content unless they are in a part
 that names itself as something else (navigation, header or footer of a page, aside, advert, form, comments, notice).
-The first ``TRAINING_PAGES`` labelled pages by a hash of their html train the model (a documented bound; labelled rows
+``TRAINING_PAGES`` different labelled pages, chosen by a hash of their html, train the model (a documented bound; labelled rows
 only fit weights, every page is decoded). For half of them, by the same hash, the marks of the article itself are
 hidden, so that the model also learns from text and neighbours and works on pages without such marks. Built-in
 examples of each kind of part are always added, so that parts that no page of the corpus has are known. Training
@@ -288,7 +288,10 @@ def fit(pages: DataFrame, bound: int = TRAINING_PAGES, epochs: int = EPOCHS) ->
     """A chain trained on ``bound`` self-labelled pages, chosen by a hash of their html, and the built-in ones."""
     marked = pages.where(F.lower("html").rlike("<(article|main)[\\s>]|itemprop=.?articlebody|role=.?main"))
     hashed = marked.select(F.xxhash64("html").alias("_hash"), "html")
-    chosen = hashed.orderBy("_hash").limit(bound)  # the bound of the training sample
+    # equal pages count once; about twice the bound passes the threshold, so that much at most is moved
+    different = hashed.agg(F.approx_count_distinct("_hash")).first()[0] or 1
+    below = int(min(1.0, 2 * bound / different) * (1 << 32))
+    chosen = hashed.where(F.pmod(F.col("_hash"), F.lit(1 << 32)) < below).dropDuplicates(["_hash"]).orderBy("_hash").limit(bound)
     rows = [p for r in chosen.collect() if (p := labelled(r["html"], bool(r["_hash"] & 1)))]
     built = [p for k, html in enumerate(examples()) for hide in (False, True) if (p := labelled(html, hide))]
     return train(built + rows, epochs)
