@@ -109,9 +109,10 @@ class Model:
             self.pairs[key] = found
         return found
 
-    def walk(self, text: str, start: int, before: str | None, stop: int) -> dict[int, int]:
+    def walk(self, text: str, start: int, before: str | None, stop: int, goal: int = -1) -> dict[int, int]:
         """Ends of all pieces on paths of weight 0 from ``start`` up to the first end at or behind ``stop``, with
-        their starts. The paths from one state to one end are one, so a start per end is the whole lattice."""
+        their starts. The paths from one state to one end are one, so a start per end is the whole lattice, and the
+        walk may end at ``goal`` once it gets there. Long pieces go first."""
         found: dict[int, int] = {}
         waiting, size, number, beginnings, pairs = [start], len(text), self.number, self.beginnings, self.pairs
         while waiting:
@@ -130,6 +131,8 @@ class Model:
                     if not (self.step(last, piece) if fits is None else fits):
                         continue
                 found[end] = at
+                if end == goal:
+                    return found
                 waiting.append(end)
         return found
 
@@ -137,8 +140,9 @@ class Model:
         """Pieces of the path of weight 0 from ``start`` to ``end`` (``stop`` unless given)."""
         if stop == start:
             return []
-        found = self.walk(text, start, before, stop)
-        pieces, at = [], stop if end is None else end
+        at = stop if end is None else end
+        found = self.walk(text, start, before, stop, at)
+        pieces = []
         while at > start:
             pieces.append(text[found[at] : at])
             at = found[at]
