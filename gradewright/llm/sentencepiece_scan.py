@@ -36,7 +36,7 @@ from .registry import documents, query, table, written
 
 CHUNK = 16_384
 FAN = 64
-MEMORY = 400_000
+MEMORY = 150_000  # words, and pairs of pieces, that a worker remembers
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 ROWS_AT_ONCE = 256
@@ -268,6 +268,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in runs of few rows, so that what is made of them stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(k, ROWS_AT_ONCE)
+
+
 def _chunk(row: dict, path: str, size: int) -> Chunk:
     if size <= 2 * model(path).longest:
         raise ValueError("a chunk must be longer than two pieces")
@@ -345,12 +352,12 @@ def encoded(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
     """doc_id, n_chunks and ``ids`` (little-endian unsigned 32-bit integers) of each whole text."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             ids = [model(path).encode_words(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "doc", "at", "n")), pa.array(ids, pa.binary())], names=["doc_id", "doc", "at", "n", "ids"])
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             ids = []
             for row in batch.to_pylist():
                 part = _chunk(row, path, size)
@@ -373,7 +380,7 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
     """doc_id, n_chunks, n_tokens, ids_crc32 and ``text`` of ``ids``."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             raw = batch["ids"].to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
