@@ -53,7 +53,7 @@ def normalised(text: Column) -> Column:
 def directory(rows: DataFrame, depth: int = DEPTH, slack: int = SLACK, least: int = LEAST) -> DataFrame:
     """``_cell`` (first ``depth`` bits of ``_hash``), ``_bucket`` (local depth and prefix in one number), ``_pages``.
 
-    Every cell appears, also those without rows. At most ``2 ** depth`` rows.
+    Every cell that has rows appears: at most ``2 ** depth``.
     """
     cells = rows.groupBy(_cell(F.col("_hash"), depth).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
     room = F.lit(max(least, -(-rows.count() * slack // (1 << depth))))
