@@ -9,7 +9,8 @@ k-mers in text order. Likeness of two fingerprints is the share of anchors they
 Everything is a column expression; texts are shuffled once, by doc_id, to meet the next document.
 
 Edge cases: a null text is empty; a text without words has the empty fingerprint, two of these are alike (1), one is
-not like any other (0); fewer words than a k-mer are one k-mer; a null doc_id orders behind all others; rows that
+not like any other (0); fewer words than a k-mer are one k-mer; of a text without a chosen k-mer (5 to 7 words only)
+all k-mers are anchors; a null doc_id orders behind all others; rows that
 share a doc_id each get a result, and the next document is then the one of the next smaller doc_id (of several rows
 with that id the one with the smallest text hash); a table of one doc_id is its own next document; an empty table
 gives no row.
@@ -40,7 +41,8 @@ def anchors(text: Column, words: int = WORDS) -> Column:
         size = F.size(hashes)
         ends = lambda i: F.least(F.get(hashes, i - 1), F.get(hashes, i + (words - 2)))
         edge = lambda i: (size < words) | (F.array_min(F.slice(hashes, i, words)) == ends(i))
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), size - (words - 1))), edge)
+        every = F.sequence(F.lit(1), F.greatest(F.lit(1), size - (words - 1)))
+        starts = _let(F.filter(every, edge), lambda some: F.when(F.size(some) > 0, some).otherwise(every))
         anchor = lambda i: F.struct(i.alias("pos"), F.shiftright(F.xxhash64(F.slice(hashes, i, words)), 32).cast("int").alias("anchor"))
         none = F.expr("array()").cast("array<struct<pos: int, anchor: int>>")
         return F.when(size > 0, F.transform(starts, anchor)).otherwise(none)

@@ -160,3 +160,11 @@ def test_fingerprints_of_repeated_and_missing_ids(spark):
     assert len(got) == 5 and {r.n_chars for r in got if r.doc_id == 7} == {0}
     assert len({(r.fingerprint, r.edited_fingerprint) for r in got if r.n_chars == 1}) == 1
     assert fingerprints.fingerprints(df.limit(0)).count() == 0
+
+
+def test_texts_with_words_never_have_an_empty_fingerprint(spark):
+    random.seed(6)
+    rows = [(k, " ".join(f"w{random.randint(0, 10_000)}" for _ in range(5 + k % 4))) for k in range(400)]
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.fingerprint for r in got) and all(r.edited_fingerprint for r in got)
+    assert all(r.near_next == 0 for r in got)
