@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +30,7 @@ from .registry import documents, fresh, query, row_key, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-ROUNDS = 3
+SETTLED = 1e-3  # the change of a candidate's confidence that ends the rounds
 SUPPORT = 3  # distinct instances that a trusted pattern has at least
 SMOOTHING = 1.0
 TRUST, ACCEPT = 0.5, 0.8
@@ -42,6 +44,10 @@ DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PLUS = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 AT = re.compile(r"@|[\[(] ?at ?[\])]", re.IGNORECASE)
 GROUPED = re.compile(r"[0-9][0-9().\x20/-]*")
+BOUNDS = (re.compile(r"/"), re.compile(r"\x20{2,}"))
+GROUP = re.compile(r"[0-9]+")
+UNBROKEN = re.compile(r"[^\x20]+")
+GAP = 3  # most characters between two groups of digits of one number
 COLONS = re.compile(r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}")
 WORD = re.compile(r"[^\s]+")
 STRIP = ".,;!?\"'"
@@ -103,29 +109,101 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _kinds(digits: int) -> int:
+    return (7 <= digits <= 15) << PHONE | (12 <= digits <= 19) << CARD
+
+
+def _dealt(sizes: list[int]) -> list[int]:
+    """How many groups of digits make each number: the largest repeated unit of 7 to 19 digits, else 10 digits or more."""
+    for unit in range(min(len(sizes) // 2, 19), 0, -1):
+        if len(sizes) % unit == 0 and _kinds(sum(sizes[:unit])) and sizes == sizes[:unit] * (len(sizes) // unit):
+            return [unit] * (len(sizes) // unit)
+    found, held, digits = [], 0, 0
+    for size in sizes:
+        if held and digits + size > 19:
+            found.append(held)
+            held = digits = 0
+        held, digits = held + 1, digits + size
+        if digits >= 10:
+            found.append(held)
+            held = digits = 0
+    return [*found, held] if held else found
+
+
+def numbers(text: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, kinds) of the numbers in a run of digits and marks.
+
+    A run with too many digits or characters for one number is cut at slashes, at several blanks, at single blanks and
+    at last at bounds of digit groups; at slashes and several blanks also where each part is a number of its own.
+    """
+    groups = [m.span() for m in GROUP.finditer(text, start, end)]
+    if not groups:
+        return
+    start, end = groups[0][0], groups[-1][1]
+    digits = sum(b - a for a, b in groups)
+    fits = digits <= 19 and end - start <= 64
+    if fits and not _kinds(digits):
+        return
+    for bound in BOUNDS:
+        cuts = [m.span() for m in bound.finditer(text, start, end)]
+        parts = list(zip([start, *[b for _, b in cuts]], [*[a for a, _ in cuts], end]))
+        if cuts and (not fits or all(sum(c.isdigit() for c in text[a:b]) >= 7 for a, b in parts)):
+            for a, b in parts:
+                yield from numbers(text, a, b)
+            return
+    if fits:
+        yield start, end, _kinds(digits)
+        return
+    words = [(m.start(), m.end()) for m in UNBROKEN.finditer(text, start, end)]
+    if len(words) > 1 and all(sum(c.isdigit() for c in text[a:b]) >= 7 for a, b in words):
+        for a, b in words:
+            yield from numbers(text, a, b)
+        return
+    near: list[list[tuple[int, int]]] = []
+    for group in groups:
+        if not near or group[0] - near[-1][-1][1] > GAP:
+            near.append([])
+        near[-1].append(group)
+    for some in near:
+        at = 0
+        sizes = [b - a for a, b in some]
+        for n in _dealt(sizes) if sum(sizes) > 19 else [len(sizes)]:
+            if kinds := _kinds(sum(sizes[at : at + n])):
+                yield some[at][0], some[at + n - 1][1], kinds
+            at += n
+
+
 def candidate_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, kinds as a bit set) of what looks like an identifier outside the base spans."""
     found: list[tuple[int, int, int]] = []
+    taken = sorted((s, e) for s, _, e in base)
+    k = 0
     for run in GROUPED.finditer(text):
-        shown = run[0].rstrip("().\x20/-")
-        digits = sum(c.isdigit() for c in shown) if len(shown) <= 64 else 0
-        kinds = (7 <= digits <= 15) << PHONE | (12 <= digits <= 19) << CARD
-        if kinds:
-            found.append((run.start(), run.start() + len(shown), kinds))
+        at, stop = run.span()
+        while k < len(taken) and taken[k][1] <= at:
+            k += 1
+        j = k
+        while j < len(taken) and taken[j][0] < stop:  # base spans are cut out of the run
+            found += numbers(text, at, taken[j][0])
+            at = max(at, taken[j][1])
+            j += 1
+        found += numbers(text, at, stop)
+        k = max(k, j - 1)
     if ":" in text:
         found += [(m.start(), m.end(), 1 << IP) for m in COLONS.finditer(text) if sum(c.isalnum() for c in m[0]) >= 4]
+    past = 0  # no local part reaches over the mark before
     for mark in AT.finditer(text):
         start, end = mark.span()
-        start -= start > 0 and text[start - 1] == " "
+        start -= start > past and text[start - 1] == " "
         end += text[end : end + 1] == " "
-        before = LOCAL_BACK.match(text[max(0, start - 64) : start][::-1]).end()
-        after = LOCAL_BACK.match(text[end : end + 64]).end()
+        before = LOCAL_BACK.match(text[past:start][::-1]).end()
+        after = LOCAL_BACK.match(text, end).end() - end
+        past = mark.end()
         if before and after:
             found.append((start - before, end + after, 1 << EMAIL))
     if not found:
         return []
     free: list[tuple[int, int, int]] = []
-    taken = sorted((s, e) for s, _, e in base)
     k = last = 0  # base spans before k begin left of the candidate's end; last is the furthest of their ends
     for start, end, kinds in sorted(found):
         while k < len(taken) and taken[k][0] < end:
@@ -187,8 +265,11 @@ def scanned(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(scan, SCANNED)
 
 
-def discovered(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST, accept: float = ACCEPT) -> DataFrame:
-    """``value`` and ``kind`` of the candidates that trusted contexts make identifiers."""
+def discovered(seen: DataFrame, support: int = SUPPORT, trust: float = TRUST, accept: float = ACCEPT) -> DataFrame:
+    """``value`` and ``kind`` of the candidates that trusted contexts make identifiers.
+
+    Confidences only grow from round to round; rounds end when no acceptance changes and none moves by ``SETTLED``.
+    """
     edges = written(
         seen.select("value", "seed", "kinds", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(
             F.max("seed").alias("seed"), F.bit_or("kinds").alias("kinds")
@@ -197,7 +278,9 @@ def discovered(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, tr
     )
     none = [F.lit(0.0).alias(f"c{k}") for k in range(4)]
     believed = edges.where("seed is null").select("value").distinct().select("value", *none)
-    for _ in range(rounds):
+    best = F.greatest("c0", "c1", "c2", "c3")
+    moving = True
+    while moving:
         held = edges.join(believed, "value", "left")
         mass = [F.sum(F.when(F.col("seed") == k, 1.0).otherwise(F.coalesce(f"c{k}", F.lit(0.0)))) for k in range(4)]
         scored = held.groupBy("pattern").agg(*[m.alias(f"m{k}") for k, m in enumerate(mass)], F.count(F.lit(1)).alias("n"))
@@ -210,8 +293,11 @@ def discovered(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, tr
             (1 - F.exp(F.sum(F.when(F.col("kinds").bitwiseAND(1 << k) > 0, F.log1p(-F.col(f"s{k}"))).otherwise(0.0)))).alias(f"c{k}")
             for k in range(4)
         ])
-        believed = written(open_, "pii-believed")
-    best = F.greatest("c0", "c1", "c2", "c3")
+        before, believed = believed, written(open_, "pii-believed")
+        was = before.select("value", *[F.col(f"c{k}").alias(f"b{k}") for k in range(4)])
+        old = [F.coalesce(f"b{k}", F.lit(0.0)) for k in range(4)]
+        moves = [F.abs(F.col(f"c{k}") - b) > SETTLED for k, b in enumerate(old)] + [(F.col(f"c{k}") >= accept) != (b >= accept) for k, b in enumerate(old)]
+        moving = not believed.join(was, "value", "left").where(reduce(or_, moves)).isEmpty()
     kind = F.coalesce(*[F.when(F.col(f"c{k}") == best, k) for k in range(4)]).cast("long")
     return believed.where(best >= accept).select("value", kind.alias("kind"))
 

@@ -196,3 +196,30 @@ def test_marginals_equal_enumeration():
     chain = html_extraction.Chain({"a": 0.4, "b": -0.7, "c": 0.1}, pair)
     best = max(product((0, 1), repeat=4), key=lambda y: sum((2 * v - 1) * sum(chain.single[f] for f in r) for r, v in zip(rows, y)) + sum(pair[a, b] for a, b in zip(y, y[1:])))
     assert chain.decode(rows) == [bool(v) for v in best]
+
+
+def test_numbers_side_by_side_are_candidates_of_their_own():
+    def shown(text):
+        return [text[s:e] for s, e, _ in pii.candidate_spans(text, pii.base_spans(text))]
+
+    assert shown("555-123-4567 / 555-765-4321") == ["555-123-4567", "555-765-4321"]
+    assert shown("+1 555 123 4567 / 555 765 4321") == ["555 765 4321"]
+    assert shown("555 765 4321 / +1 555 123 4567 / 555 111 2222") == ["555 765 4321", "555 111 2222"]
+    assert shown("555-123-4567 555-765-4321 555-111-2222") == ["555-123-4567", "555-765-4321", "555-111-2222"]
+    assert shown("555 123 4567 555 765 4321") == ["555 123 4567", "555 765 4321"]
+    assert shown("1111 2222 3333 4444 1111 2222 3333 4445") == ["1111 2222 3333 4444", "1111 2222 3333 4445"]
+    assert shown("555-123-4567  555-765-4321  5") == ["555-123-4567", "555-765-4321"]
+    assert shown("call 212-555-9876, 12/05/2021 or 1" + "0" * 30) == ["212-555-9876", "12/05/2021"]
+    long = "a" * 100 + " [at] " + "b" * 90 + ".example"
+    assert shown(f"x {long} y") == [long]
+
+
+def test_discovery_goes_on_until_nothing_changes(spark):
+    seen, near = [], lambda k: f"chain{k} _"
+    for k in range(12):  # each context is trusted only by what the one before it makes likely
+        for n in range(12):
+            value = f"v{k}n{n}"
+            seen.append((value, pii.PHONE if k == 0 else None, 1 << pii.PHONE, [near(k), near(k + 1)]))
+    df = spark.createDataFrame(seen, "value string, seed long, kinds long, patterns array<string>")
+    got = {r.value for r in pii.discovered(df, trust=0.3, accept=0.4).collect()}
+    assert {f"v{k}n{n}" for k in range(1, 8) for n in range(12)} <= got
