@@ -1,17 +1,21 @@
-"""Operator 5: cross-entropy difference of matched trigram models of characters.
+"""Operator 5: cross-entropy difference of matched bigram models of words.
 
-Target and background model share one vocabulary: the most frequent characters of the whole corpus, one sign for all
-others, and one for the edge of a text. Both are trigram models of the same order and smoothing (each order backs off
-to the next by a Dirichlet prior). Background counts come from all documents, target counts from all documents that
-are labelled good. A document's score is the mean over its tokens (every character and the end) of the target's loss
-minus the background's, in bits: below zero reads more like the target.
+Tokens are the words of a text (between white space) and its end. Target and background model share one vocabulary, all
+words of the corpus by their 64-bit hashes, and have the same order and smoothing (a bigram backs off to the word by a
+Dirichlet prior, the word to the uniform distribution). Background counts come from all documents, target counts from
+all documents that are labelled good. A document's score is the mean over its tokens of the target's loss minus the
+background's, in bits: below zero reads more like the target.
 
-Counting is one Spark aggregate over (model, trigram): tasks count their texts with numpy, Spark sums. Vocabulary
-size bounds the tables (``VOCABULARY ** 3`` cells, 7 MB a model), so the table of differences may go to all tasks.
+Bigrams are counted within each document first. The tables of bigrams and words are Spark tables that grow with the
+input; nothing caps them and nothing of them reaches the driver but totals. A document's bigrams meet the table in a
+shuffled join, where a hot bigram has one row for each document that holds it and one of the table, so that its rows
+can be split.
+
+``cross_entropy_difference`` is the smaller model of before, character trigrams under a capped vocabulary; no query uses it.
 
 Edge cases: a null or empty text has the end as its only token; no target text leaves the target model at its prior,
 the uniform distribution; labels that are null or not 1 make no target, a doc_id labelled twice counts once; a null
-doc_id is scored and never a target; an empty table gives no row.
+doc_id is scored and never a target; an empty table gives no row; rows equal in doc_id and text each get a row.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import documents, query, table, written
@@ -28,6 +32,7 @@ from .registry import documents, query, table, written
 VOCABULARY = 120
 PRIOR = 5.0  # weight, in tokens, of the next lower order
 EDGE, OTHER = 0, 1
+MIX = np.uint64(0x9E3779B97F4A7C15)
 TOKENS_AT_ONCE = 1 << 20
 
 
@@ -144,6 +149,61 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = VOC
     return scored(docs, coder, losses(target, coder.size) - losses(background, coder.size))
 
 
+def bigrams(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, ``_key`` (of doc_id and text), ``_good`` and the bigrams of each row: arrays ``_b``, ``_c`` (word hashes), ``_n``."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            first, second, often = [], [], []
+            for text in batch.column(3).cast(pa.binary()):
+                line = np.array([EDGE, *[digest(w, 42) for w in text.as_py().split()], EDGE], "u8")
+                pairs, n = np.unique(line[:-1] * MIX ^ line[1:], return_index=True, return_counts=True)[1:]
+                first.append(line[:-1][pairs].view("i8"))
+                second.append(line[1:][pairs].view("i8"))
+                often.append(n)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, second, often)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:3] + lists, names=["doc_id", "_key", "_good", "_b", "_c", "_n"])
+
+    # always the shuffle join: below the broadcast threshold the plan would differ from that of large inputs
+    good = labels.where("quality = 1").select("doc_id").distinct().withColumn("_good", F.lit(1)).hint("merge")
+    rows = documents(docs).join(good, "doc_id", "left").select("doc_id", F.xxhash64("doc_id", "text").alias("_key"), F.coalesce("_good", F.lit(0)).alias("_good"), "text")
+    return rows.mapInArrow(counted, "doc_id long, _key long, _good int, _b array<long>, _c array<long>, _n array<long>")
+
+
+def _smoothed(kind: str, prior: float) -> Column:
+    """A model's probability of word ``_c`` after ``_b``: ``kind`` tells the columns of its counts."""
+    p1 = (F.col(f"{kind}1") + prior / F.col("_v")) / (F.col(f"{kind}0") + prior)
+    return (F.col(f"{kind}2") + prior * p1) / (F.col(f"{kind}b") + prior)
+
+
+def word_differences(cells: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """``_b``, ``_c`` and ``_loss`` (target's bits minus the background's) of all bigrams; cells: ``_b``, ``_c``, ``_n``, ``_good``."""
+    two = written(
+        cells.groupBy("_b", "_c").agg(F.sum(F.col("_n") * F.col("_good")).alias("t2"), F.sum("_n").alias("a2")), "lm-bigrams"
+    )
+    words = written(two.groupBy("_c").agg(F.sum("t2").alias("t1"), F.sum("a2").alias("a1")), "lm-words")
+    before = two.groupBy("_b").agg(F.sum("t2").alias("tb"), F.sum("a2").alias("ab"))
+    totals = words.agg(F.sum("t1").alias("t0"), F.sum("a1").alias("a0"), F.count(F.lit(1)).alias("_v"))
+    counts = two.join(words, "_c").join(before, "_b").crossJoin(F.broadcast(totals))  # one row
+    return counts.select("_b", "_c", (F.log2(_smoothed("a", prior)) - F.log2(_smoothed("t", prior))).alias("_loss"))
+
+
+def word_cross_entropy(docs: DataFrame, labels: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """doc_id, n_tokens and score (target loss minus background loss per token, in bits) of each document."""
+    rows = written(bigrams(docs, labels), "lm-rows")
+    cells = rows.select("_key", "_good", F.explode(F.arrays_zip("_b", "_c", "_n")).alias("_x")).select("_key", "_good", "_x._b", "_x._c", "_x._n")
+    differences = written(word_differences(cells, prior), "lm-differences")
+    # rows that share a key are equal, so the mean is that of each
+    means = cells.join(differences.hint("merge"), ["_b", "_c"]).groupBy("_key").agg(
+        (F.sum(F.col("_n") * F.col("_loss")) / F.sum("_n")).alias("score")
+    )
+    sizes = rows.select("doc_id", "_key", F.aggregate("_n", F.lit(0).cast("long"), lambda x, n: x + n).alias("n_tokens"))
+    return sizes.join(means, "_key").select("doc_id", "n_tokens", "score")
+
+
 @query("op5_cross_entropy")
 def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return word_cross_entropy(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

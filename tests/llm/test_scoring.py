@@ -223,3 +223,35 @@ def test_discovery_goes_on_until_nothing_changes(spark):
     df = spark.createDataFrame(seen, "value string, seed long, kinds long, patterns array<string>")
     got = {r.value for r in pii.discovered(df, trust=0.3, accept=0.4).collect()}
     assert {f"v{k}n{n}" for k in range(1, 8) for n in range(12)} <= got
+
+
+def test_word_models_equal_brute_force(spark):
+    rows = [(1, "one two one  three"), (2, "two two 你好 ñandú"), (3, None), (4, ""), (None, "three one"), (5, "x y " * 50), (5, "x"), (6, "two one"), (6, "two one")]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (5, None), (6, 1), (None, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n int")
+    pairs = lambda t: list(zip(["", *(t or "").split()], [*(t or "").split(), ""]))
+    size = len({c for _, t in rows for _, c in pairs(t)})
+
+    def loss(texts):
+        two = collections.Counter(x for t in texts for x in pairs(t))
+        one, before = collections.Counter(), collections.Counter()
+        for (b, c), n in two.items():
+            one[c] += n
+            before[b] += n
+        p = lm_scoring.PRIOR
+        p1 = lambda c: (one[c] + p / size) / (sum(one.values()) + p)
+        return lambda b, c: -math.log2((two[b, c] + p * p1(c)) / (before[b] + p))
+
+    target, background = loss([rows[0][1], rows[7][1], rows[8][1]]), loss([t for _, t in rows])
+    want = sorted((len(g), sum(target(*x) - background(*x) for x in g) / len(g)) for g in (pairs(t) for _, t in rows))
+    got = sorted((r.n_tokens, r.score) for r in lm_scoring.word_cross_entropy(docs, labels).collect())
+    assert [n for n, _ in got] == [n for n, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
+    assert lm_scoring.word_cross_entropy(docs.limit(0), labels).count() == 0
+    assert lm_scoring.word_cross_entropy(docs, labels.limit(0)).count() == len(rows)
+
+
+def test_word_tables_grow_with_the_input(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"字{k}" for k in range(5000))), (2, " ".join(f"語{k}" for k in range(5000)))], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in lm_scoring.word_cross_entropy(docs, labels).collect()}
+    assert got[1] < 0 < got[2]
