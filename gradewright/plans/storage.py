@@ -89,20 +89,28 @@ def _(spark, sf):
 
 
 # Payloads of a crawler.
-@query("ingest_releases_payload", f"""SELECT {REPO} AS repo, 'v' || {K} AS tag_name, '2025' AS published_at,
-   CASE WHEN {K} % 3 > 0 THEN 'dev' END AS login, 0 AS pos FROM orders WHERE {K} % 5 > 0
- UNION ALL SELECT {REPO}, 'w' || {K}, NULL, NULL, 1 FROM orders WHERE {K} % 5 > 0""")
-def _(spark, sf):
-    landing = carriers.table(spark, sf, "orders").selectExpr(
+def release_pages(spark, sf):
+    return carriers.table(spark, sf, "orders").selectExpr(
         f"{carriers.ORDER_REPO} AS repo",
         """CASE WHEN o_orderkey % 5 = 0 THEN '{"message": "rate limited"' ELSE concat(
              '[{"tag_name": "v', o_orderkey, '", "id": 7, "published_at": "2025", "author": ',
              CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '{"login": "dev", "id": 1}' END,
              '}, {"tag_name": "w', o_orderkey, '"}]') END AS payload""")
-    rows = payloads.ingest_releases_payload(landing)
+
+
+@query("ingest_releases_payload", f"""SELECT {REPO} AS repo, 'v' || {K} AS tag_name, '2025' AS published_at,
+   CASE WHEN {K} % 3 > 0 THEN 'dev' END AS login, 0 AS pos FROM orders WHERE {K} % 5 > 0
+ UNION ALL SELECT {REPO}, 'w' || {K}, NULL, NULL, 1 FROM orders WHERE {K} % 5 > 0""")
+def _(spark, sf):
+    rows = payloads.ingest_releases_payload(release_pages(spark, sf))
     return rows.select("repo", "tag_name", "published_at", F.col("author.login").alias("login"), "pos")
 
 
+@query("rejected_releases_payload", f"""SELECT {REPO} AS repo, '{{"message": "rate limited"' AS payload FROM orders WHERE {K} % 5 = 0""")
+def _(spark, sf):
+    return payloads.rejected_releases_payload(release_pages(spark, sf)).select("repo", "payload")
+
+
 @query("ingest_repo_payload", """SELECT 'o/' || c_custkey AS full_name, c_custkey AS stargazers_count,
    CASE WHEN c_custkey % 2 = 0 THEN 'a|b' ELSE '' END AS topics, CASE WHEN c_custkey % 2 = 0 THEN 'Python' ELSE '' END AS language,
    c_custkey % 2 = 0 AS fork FROM customer WHERE c_custkey % 7 > 0""")

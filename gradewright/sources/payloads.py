@@ -25,15 +25,40 @@ def rejected_payloads(landing: DataFrame, schema: str) -> DataFrame:
     return _parse(landing, schema).where(f"_p.{BAD} IS NOT NULL").drop("_p")
 
 
+def _pages(item: str) -> Column:
+    """A payload as an array of items (a type); null if it cannot be read as one."""
+    return F.from_json("payload", f"array<{item}>")
+
+
+def rejected_pages(landing: DataFrame, item: str) -> DataFrame:
+    """Pages (JSON arrays of the type ``item``) that give no array: broken JSON, no JSON, or no payload at all.
+
+    Each page is either here or read whole by its ``ingest_`` function, where an array without items gives no row.
+    """
+    return landing.where(_pages(item).isNull())
+
+
+def rejected_releases_payload(landing: DataFrame) -> DataFrame:
+    """Pages that ``ingest_releases_payload`` cannot read."""
+    return rejected_pages(landing, f"struct<{RELEASE_PAYLOAD}>")
+
+
+def rejected_pr_files_payload(landing: DataFrame) -> DataFrame:
+    """Pages that ``ingest_pr_files_payload`` cannot read."""
+    return rejected_pages(landing, PR_FILE_PAYLOAD)
+
+
 def _or(column: str, default) -> Column:
     return F.coalesce(F.col(column), F.lit(default))
 
 
 def ingest_releases_payload(landing: DataFrame) -> DataFrame:
-    """Releases of (repo, payload), where a payload is one page: a JSON array of releases."""
+    """Releases of (repo, payload), where a payload is one page: a JSON array of releases.
+
+    What cannot be read is in ``rejected_releases_payload``.
+    """
     pages = landing.select(
-        "repo", F.posexplode(F.from_json("payload", f"array<struct<{RELEASE_PAYLOAD}>>"))
-        .alias("pos", "_r"),
+        "repo", F.posexplode(_pages(f"struct<{RELEASE_PAYLOAD}>")).alias("pos", "_r"),
     )
     return pages.select("repo", "_r.*", "pos")
 
@@ -63,10 +88,13 @@ def ingest_pr_payload(landing: DataFrame) -> DataFrame:
 
 
 def ingest_pr_files_payload(landing: DataFrame) -> DataFrame:
-    """File changes of (repo, pr_number, payload), where a payload is a JSON array of files."""
+    """File changes of (repo, pr_number, payload), where a payload is a JSON array of files.
+
+    What cannot be read is in ``rejected_pr_files_payload``.
+    """
     files = landing.select(
         "repo", "pr_number",
-        F.posexplode(F.from_json("payload", f"array<{PR_FILE_PAYLOAD}>")).alias("pos", "_f"),
+        F.posexplode(_pages(PR_FILE_PAYLOAD)).alias("pos", "_f"),
     )
     return files.select(
         "repo", "pr_number", "pos",

@@ -156,3 +156,14 @@ def test_streamed_progress_waits_for_complete_windows(spark, tmp_path):
         incremental.append_to(windows, out, state).awaitTermination()
     rows = [(r.agent, r.n, r.resolved) for r in spark.read.parquet(out).collect()]
     assert rows == [("a", 3, 1)]  # the last batch came too late, the window of b is still open
+
+
+def test_pages_are_read_or_rejected(spark):
+    pages = ['[{"tag_name": "a"}, {"tag_name": "b"}]', '[{"tag_name": "a"}, {"tag', "<html>", "", None, "[]", '{"message": "rate limited"']
+    landing = spark.createDataFrame([(f"r{k}", str(k), p) for k, p in enumerate(pages)], "repo string, pr_number string, payload string")
+    for ingest, rejected in (
+        (payloads.ingest_releases_payload, payloads.rejected_releases_payload),
+        (payloads.ingest_pr_files_payload, payloads.rejected_pr_files_payload),
+    ):
+        assert sorted(r.repo for r in ingest(landing).collect()) == ["r0", "r0"]
+        assert sorted(r.repo for r in rejected(landing).collect()) == ["r1", "r2", "r3", "r4", "r6"]  # r5 has no items
