@@ -483,6 +483,37 @@ def _(spark, sf):
     return prompts.render_pr_prompt(rows)
 
 
+# The whole of what the queries above and extract_pr_number read in part: all files, whole patches, every link.
+WHOLE_SUMMARY = f"""'- src/a_' || {K} || '.py (modified): +' || ({K} % 4) || '/-1' || chr(10) || '  @@ -1,2 +1,'
+  || CASE WHEN {K} % 10 = 0 THEN 9 ELSE 1 + {K} % 4 END || ' @@' || chr(10) || ' ctx' || chr(10) || '-old'
+  || repeat(chr(10) || '+new', {K} % 4) || chr(10) || '...'
+  || CASE {K} % 3 WHEN 0 THEN chr(10) || '- docs/n_' || {K} || '.md (renamed): +0/-0'
+       WHEN 1 THEN chr(10) || '- old/r_' || {K} || '.py (removed): +0/-1' || chr(10) || '  @@ -1 +0,0 @@' || chr(10) || '-gone...'
+       ELSE '' END"""
+
+
+@query("summarise_all_file_changes", f"SELECT 'i' || {K} AS instance_id, {WHOLE_SUMMARY} AS summary FROM orders")
+def _(spark, sf):
+    return carriers.patch_lists(spark, sf).select("instance_id", prompts.summarise_file_changes(F.col("patches")).alias("summary"))
+
+
+@query("render_pr_prompt_of_all_files", f"""SELECT 'i' || {K} || '#7' AS prompt_key, 'Feature: F' || chr(10) || 'Title: T' || chr(10)
+  || chr(10) || {WHOLE_SUMMARY} AS prompt FROM orders""")
+def _(spark, sf):
+    rows = carriers.patch_lists(spark, sf).select(
+        F.col("instance_id").alias("repo"), F.lit("7").alias("pr_number"), F.lit("F").alias("feature_description"),
+        F.lit("T").alias("title"), F.lit(None).cast("string").alias("body"), F.col("patches").alias("file_changes"))
+    return prompts.render_pr_prompt(rows)
+
+
+@query("extract_pr_numbers", f"""SELECT {K} AS pos, x AS link_pos, CAST(({K} + x) % 100 AS VARCHAR) AS pr_number
+ FROM orders, (VALUES (0), (1)) AS v(x) WHERE x < {K} % 3
+ UNION ALL SELECT {K}, {K} % 3, NULL FROM orders WHERE {K} % 7 = 0""")
+def _(spark, sf):
+    links = carriers.features(spark, sf).select("pos", F.posexplode("pr_links").alias("link_pos", "_link"))
+    return links.select("pos", "link_pos", text.extract_pr_number(F.col("_link")).alias("pr_number"))
+
+
 @query("render_feature_prompt", f"""SELECT {REPO} || '#v' || ({K} % 5) || '#new_feature#' || {K} AS prompt_key,
   'new_feature: adds ' || {K} || chr(10) || chr(10) || 'PR #1: T' || {K} || chr(10) || '- Status: closed (merged: True)'
   || chr(10) || '- Files changed: 3' || chr(10) || '- User benefits: good' || chr(10) || chr(10) || chr(10)
