@@ -1,9 +1,9 @@
 """Operator 6: documents packed into sequences by the sum-of-squares rule.
 
 Only documents longer than a sequence are cut, into full pieces and one rest. Pieces are dealt evenly to tasks; each
-task takes its pieces from long to short and puts each where the sum over gaps of (open sequences with that gap)
-squared becomes smallest: into an open sequence that has room, or into a new one. Ties go to the smallest gap that
-is left. A task of 100,000 pieces leaves a few open sequences; these are all that dealing the work costs.
+task takes its pieces from long to short and puts each into the open sequence with room where the sum over gaps of
+(open sequences with that gap) squared becomes smallest; a new one is opened only if none has room. Ties go to the
+smallest gap that is left. A task of 100,000 pieces leaves a few open sequences; these are all that dealing the work costs.
 
 Edge cases: a null or empty text is the separator alone, one piece of length 1; repeated rows are packed each; an
 empty table gives no row.
@@ -60,11 +60,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
         rest = gaps - length
         # (c - 1)^2 - c^2 at the old gap; (c + 1)^2 - c^2 at the new one unless the sequence is full then
         change = 1 - 2 * count[gaps] + np.where(rest > 0, 2 * count[rest] + 1, 0)
-        left = capacity - length
-        fresh = 2 * count[left] + 1 if left else 0
-        at = int(np.argmin(change)) if len(gaps) else -1
-        if at >= 0 and change[at] <= fresh:
-            gap = int(gaps[at])
+        if len(gaps):
+            gap = int(gaps[np.argmin(change)])
             number = open_by_gap[gap].pop()
             count[gap] -= 1
         else:

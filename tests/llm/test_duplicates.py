@@ -132,7 +132,7 @@ def kmers(text, k=5):
     if not hashes:
         return []
     parts = [tuple(hashes[i : i + k]) for i in range(max(1, len(hashes) - k + 1))]
-    return [p for p in parts if len(hashes) < k or min(p) in (p[0], p[-1])]
+    return [p for p in parts if len(hashes) < k or min(p) in (p[0], p[-1])] or parts
 
 
 def dice(a, b):

@@ -103,7 +103,7 @@ def test_sum_of_squares_is_greedy_and_close_to_the_bound():
     gaps: list[int] = []
     for length, k, at in zip(lengths, number, offset):
         before = [g for g in gaps]
-        options = [cost(gaps[:j] + [g - length] + gaps[j + 1 :]) for j, g in enumerate(gaps) if g >= length] + [cost([*gaps, 20 - length])]
+        options = [cost(gaps[:j] + [g - length] + gaps[j + 1 :]) for j, g in enumerate(gaps) if g >= length] or [cost([*gaps, 20 - length])]
         if k == len(gaps):
             gaps.append(20)
         assert 20 - gaps[k] == at
