@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradewright.llm import exact_dedup, near_copies as near_dedup, packing, pii, quality
+from gradewright.llm import exact_dedup, packing, pii, quality, simhash
 from gradewright.llm.registry import table, written
 from gradewright.llm.tokens import default_path
 
@@ -24,8 +24,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 or more of its five-word shingles."""
-    return near_dedup.deduplicated(docs)
+    """One document of each group that SimHash links: fingerprints of three-word shingles, 3 bits apart at most."""
+    return simhash.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
