@@ -1,6 +1,18 @@
 """Importing this module registers all queries of the subpackage."""
 
-from . import binary_output, exact_dedup, fingerprints, html_extraction, lm_scoring, packing, pii, quality, sentencepiece_scan, simhash  # noqa: F401
+from . import (  # noqa: F401
+    binary_output,
+    exact_dedup,
+    fingerprints,
+    html_extraction,
+    lm_scoring,
+    merkle,
+    packing,
+    pii,
+    quality,
+    sentencepiece_scan,
+    simhash,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
