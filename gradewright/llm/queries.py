@@ -10,6 +10,7 @@ from . import (  # noqa: F401
     packing,
     pii,
     quality,
+    resampling,
     sentencepiece_scan,
     simhash,
 )
