@@ -13,6 +13,7 @@ from . import (  # noqa: F401
     resampling,
     sentencepiece_scan,
     simhash,
+    token_counts,
 )
 from .registry import ORACLES, QUERIES
 
