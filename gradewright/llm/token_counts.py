@@ -99,7 +99,8 @@ class Transducer:
         self.end = model["end_of_word_suffix"]
         self.vocabulary = frozenset(model["vocab"])
         self.prefixes = frozenset(t[:k] for t in (v.removesuffix(self.end) for v in model["vocab"]) for k in range(len(t)))
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in file["added_tokens"]) or "(?!)")
+        specials = [t["content"] for t in file["added_tokens"]]
+        self.special, self.reach = re.compile("|".join(map(re.escape, specials)) or "(?!)"), max(map(len, specials), default=0)
         signs = ByteLevel(add_prefix_space=False, use_regex=False)
         self.signs_of = functools.lru_cache(100_000)(lambda c: signs.pre_tokenize_str(c)[0][0])
         self.kind = functools.lru_cache(100_000)(self._kind)
@@ -334,9 +335,10 @@ class Transducer:
         return list({s.name(): s for s in (self.run(self.start, before[k:])[0] for k in starts)}.values())
 
 
-def cuts(text: str, special: re.Pattern, size: int) -> Iterator[tuple[int, int]]:
-    """Bounds of chunks: behind the last blank that fits, else where neither a special string nor a normal form is cut."""
-    start, reach = 0, max((len(s) for s in special.pattern.replace("\\", "").split("|")), default=0)
+def cuts(text: str, special: re.Pattern, reach: int, size: int) -> Iterator[tuple[int, int]]:
+    """Bounds of chunks: behind the last blank that fits, else where neither a special string (of at most ``reach``
+    characters) nor a normal form is cut."""
+    start = 0
     while len(text) - start > size:
         stop = max(text.rfind(b, start, start + size) for b in BLANKS) + 1
         if stop <= start:
@@ -373,7 +375,7 @@ def chunks(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
                     rows.append((key, doc_id, len(raw), 0, 1, machine.count(raw), True, True, None, None))
                     continue
                 text = raw.decode()
-                bounds = list(cuts(text, machine.special, size))
+                bounds = list(cuts(text, machine.special, machine.reach, size))
                 for k, (a, b) in enumerate(bounds):
                     fresh = a == 0 or text[a - 1] in BLANKS
                     before = None if fresh else text[max(0, a - GUESS) : a]
