@@ -13,7 +13,8 @@ from ..functions.diffs import (
 from ..functions.paths import is_test_patch
 from ..functions.text import let
 from ..schemas import FILE_CHANGES
-from .layout import nest_in_chunks
+from .layout import components, nest_in_chunks
+from .patch_chains import patched_in_order
 
 LINES = "array<string>"
 
@@ -113,90 +114,113 @@ def applied_files(applied: DataFrame, id: str = "instance_id", size: int = 10_00
     return nest_in_chunks(done, [id], "pos", F.col("filename"), "applied_files", size)
 
 
-def _patched(lines: Column, patch: Column) -> Column:
-    """``struct<out, cursor, ok>`` of applying all hunks of a patch to the lines of a file."""
-    hunks = F.transform(split_hunks(F.coalesce(patch, F.lit(""))), read_hunk)
-    start = F.struct(
-        F.array().cast(LINES).alias("out"), F.lit(0).alias("cursor"), F.lit(True).alias("ok")
-    )
+def _patched(lines: Column, hunks: Column) -> Column:
+    """``struct<out, cursor, ok>`` of applying all hunks to the lines of a file, each line copied once.
+
+    A hunk's place follows from its header alone, so the text between two hunks is known without a running state.
+    """
+    # a hunk without old lines stands after its line, any other on it
+    first = lambda h: F.greatest(F.coalesce(h["old_start"], F.lit(0)) - F.least(F.size(h["old"]), F.lit(1)), F.lit(0))
+    placed = F.transform(hunks, lambda h: F.struct(
+        first(h).alias("first"), (first(h) + F.size(h["old"])).alias("end"), h["old"].alias("old"), h["new"].alias("new"), h["sound"].alias("sound")
+    ))
+
+    def apply(placed: Column) -> Column:
+        def before(i: Column) -> Column:
+            return F.when(i == 0, F.lit(0)).otherwise(F.get(placed, i - 1)["end"])
+
+        def piece(h: Column, i: Column) -> Column:
+            gap = F.greatest(h["first"] - before(i), F.lit(0))
+            return F.concat(F.slice(lines, before(i) + 1, gap), h["new"])
+
+        def fits(h: Column, i: Column) -> Column:
+            here = F.slice(lines, h["first"] + 1, F.size(h["old"]))
+            whole = h["sound"] & (h["first"] >= before(i)) & (h["first"] <= F.size(lines)) & (here == h["old"])
+            return F.coalesce(whole, F.lit(False))
 
-    def step(acc: Column, hunk: Column) -> Column:
-        given = F.coalesce(hunk["old_start"], F.lit(0))
-        # a hunk without old lines stands after its line, any other on it
-        first = F.greatest(given - F.least(F.size(hunk["old"]), F.lit(1)), F.lit(0))
+        return F.struct(
+            F.flatten(F.transform(placed, piece)).cast(LINES).alias("out"),
+            F.when(F.size(placed) > 0, F.get(placed, F.size(placed) - 1)["end"]).otherwise(F.lit(0)).alias("cursor"),
+            F.forall(F.transform(placed, fits), lambda ok: ok).alias("ok"),
+        )
 
-        def place(first: Column) -> Column:
-            gap = F.greatest(first - acc["cursor"], F.lit(0))
-            here = F.slice(lines, first + 1, F.size(hunk["old"]))
-            fits = (first >= acc["cursor"]) & (first <= F.size(lines)) & (here == hunk["old"])
-            return F.struct(
-                F.concat(acc["out"], F.slice(lines, acc["cursor"] + 1, gap), hunk["new"]).alias("out"),
-                (first + F.size(hunk["old"])).alias("cursor"),
-                F.coalesce(acc["ok"] & hunk["sound"] & fits, F.lit(False)).alias("ok"),
-            )
+    return let(placed, apply)
 
-        return let(first, place)
 
-    return F.aggregate(hunks, start, step)
+def lineages(patch_files: DataFrame) -> DataFrame:
+    """(instance_id, path, root): paths that renames of an instance connect, each with the smallest path among them."""
+    moved = patch_files.where("status = 'renamed' AND old_filename IS NOT NULL")
+    edges = moved.select("instance_id", F.col("old_filename").alias("a"), F.col("filename").alias("b"))
+    return components(edges, ["instance_id"]).withColumnRenamed("node", "path")
 
 
 def apply_hunks(files: DataFrame, patch_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply parsed patches at their exact places: files afterwards, and success per patched file.
+    """Apply parsed patches at their exact places, in the order of ``pos``: files afterwards, and success per patch.
 
-    ``files`` has (instance_id, path, content), ``patch_files`` one row per file of a diff. A file
-    and its hunks meet in one row by one join; the hunks are then applied inside that row. A patch
-    whose context differs anywhere leaves its file as it was.
+    ``files`` has (instance_id, path, content), ``patch_files`` one row per file of a diff; ``pos`` orders all patches
+    of an instance, so those of a second diff go on counting where the first ended. Paths that renames connect are
+    one lineage, whose files and patches meet in one task; a patch sees what those before it left. A patch whose
+    context differs anywhere, that adds or renames to a file that is there, or changes one that isn't, fails and
+    leaves everything as it was; later ones go on.
+
+    A lineage of at most one file and one patch, as most are, is patched by column expressions. Longer ones are
+    streamed through their task in order, so that of a chain only the files in their present state are held.
     """
-    patches = patch_files.select(
-        "instance_id",
-        F.when(F.col("status") == "renamed", F.coalesce("old_filename", "filename"))
-        .otherwise(F.col("filename"))
-        .alias("path"),
-        "pos",
-        "filename",
-        "status",
-        "patch",
+    source = F.when(F.col("status") == "renamed", F.coalesce("old_filename", "filename")).otherwise(F.col("filename"))
+    hunks = F.transform(split_hunks(F.coalesce("patch", F.lit(""))), read_hunk)
+    # where the hunks reach the end of the file, a marker behind a new line leaves its end open
+    marked = F.coalesce("patch", F.lit("")).rlike(r"(?:^|\n)[ +][^\n]*\n\\")
+    position = patch_files.schema["pos"].dataType
+    rows = files.select(
+        "instance_id", "path", F.lit(None).cast(position).alias("pos"), F.lit(None).cast("string").alias("filename"),
+        F.lit(None).cast("string").alias("status"), "content", F.lit(None).cast("string").alias("patch"), F.lit(True).alias("_file"),
+    ).unionByName(patch_files.select(
+        "instance_id", source.alias("path"), "pos", "filename", "status", F.lit(None).cast("string").alias("content"), "patch",
+        F.lit(False).alias("_file"),
+    ))
+    rows = rows.join(lineages(patch_files), ["instance_id", "path"], "left").withColumn("_root", F.coalesce("root", "path")).drop("root")
+    key = ["instance_id", "_root"]
+    sizes = rows.groupBy(*key).agg(F.count_if("_file").alias("_files"), F.count_if(~F.col("_file")).alias("_patches"))
+    same = F.col("r.instance_id").eqNullSafe(F.col("s.instance_id")) & F.col("r._root").eqNullSafe(F.col("s._root"))
+    rows = rows.alias("r").join(sizes.alias("s"), same).select("r.*", "s._files", "s._patches")
+    names = ["instance_id", "path", "pos", "filename", "status", "content", "ok"]
+    untouched = rows.where("_patches = 0").withColumn("ok", F.lit(None).cast("boolean")).select(*names)
+    alone = rows.where("_patches = 1 AND _files <= 1").groupBy(*key).agg(
+        F.first(F.when(F.col("_file"), F.struct("path", F.coalesce("content", F.lit("")).alias("content"))), ignorenulls=True).alias("_old"),
+        F.first(F.when(~F.col("_file"), F.struct("path", "pos", "filename", "status", "patch")), ignorenulls=True).alias("_new"),
+    )
+    chains = rows.where("_patches > 1 OR _patches = 1 AND _files > 1").withColumns({"_hunks": hunks, "_marked": marked})
+    done = untouched.unionByName(_patched_alone(alone, marked).select(*names)).unionByName(patched_in_order(chains, names))
+    status = done.where("ok IS NOT NULL").select("instance_id", "pos", "filename", "status", "ok")
+    after = done.where("content IS NOT NULL OR ok IS NULL").select("instance_id", "path", "content")
+    return after, status
+
+
+def _patched_alone(alone: DataFrame, marked: Column) -> DataFrame:
+    """Lineages of one patch and at most one file: ``content`` and ``path`` are those afterwards, null if there is none."""
+    rows = alone.select(
+        "instance_id", F.col("_new.pos").alias("pos"), F.col("_new.filename").alias("filename"), F.col("_new.status").alias("status"),
+        F.col("_new.patch").alias("patch"), F.col("_old.path").alias("_path"), F.col("_old.content").alias("_content"),
+        (F.col("_old.path") == F.col("_new.path")).alias("_here"),
     )
-    both = files.withColumn("_file", F.lit(True)).join(patches, ["instance_id", "path"], "full_outer")
-    exists = F.col("_file").isNotNull()
-    text = F.coalesce("content", F.lit(""))
+    exists = F.coalesce("_here", F.lit(False))
+    text = F.coalesce(F.when(exists, F.col("_content")), F.lit(""))
     ends = (text == "") | text.endswith("\n")
     lines = F.split(text, "\n")
     lines = F.when(ends, F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
-    ready = both.withColumn("_exists", exists).withColumn("_lines", lines).withColumn("_ends", ends)
-    done = ready.withColumn("_r", _patched(F.col("_lines"), F.col("patch")))
-    rest = F.slice("_lines", F.col("_r.cursor") + 1, F.size("_lines"))
-    out = F.concat("_r.out", rest)
-    fits = F.when(F.col("status") == "added", ~F.col("_exists")).otherwise(F.col("_exists"))
+    hunks = F.transform(split_hunks(F.coalesce("patch", F.lit(""))), read_hunk)
+    ready = rows.withColumns({"_lines": lines, "_ends": ends}).withColumn("_r", _patched(F.col("_lines"), hunks))
+    out = F.concat("_r.out", F.slice("_lines", F.col("_r.cursor") + 1, F.size("_lines")))
+    # a rename to a file that is there has two files in its lineage, or one that isn't its source
+    free = F.col("_path").isNull()
+    fits = F.when(F.col("status") == "added", free).otherwise(exists)
     emptied = (F.col("status") != "removed") | (F.size(out) == 0)
-    # where the hunks reach the end of the file, a marker behind a new line leaves its end open
-    marked = F.coalesce(F.col("patch"), F.lit("")).rlike(r"(?:^|\n)[ +][^\n]*\n\\")
-    at_end = F.col("_r.cursor") == F.size("_lines")
-    open_end = F.when(at_end, marked).otherwise(~F.col("_ends"))
-    body = F.array_join(out, "\n")
+    open_end = F.when(F.col("_r.cursor") == F.size("_lines"), marked).otherwise(~F.col("_ends"))
     new_text = F.when(F.size(out) == 0, F.lit("")).otherwise(
-        F.concat(body, F.when(open_end, F.lit("")).otherwise(F.lit("\n")))
-    )
-    result = done.select(
-        "instance_id",
-        "path",
-        "pos",
-        "filename",
-        "status",
-        "content",
-        "_exists",
-        (F.col("_r.ok") & fits & emptied).alias("ok"),
-        new_text.alias("_new"),
-    )
-    status = result.where("filename IS NOT NULL").select(
-        "instance_id", "pos", "filename", "status", "ok"
+        F.concat(F.array_join(out, "\n"), F.when(open_end, F.lit("")).otherwise(F.lit("\n")))
     )
-    applied = F.col("filename").isNotNull() & F.col("ok")
-    after = result.where(
-        (~applied & F.col("_exists")) | (applied & (F.col("status") != "removed"))
-    ).select(
-        "instance_id",
-        F.when(applied, F.col("filename")).otherwise(F.col("path")).alias("path"),
-        F.when(applied, F.col("_new")).otherwise(F.col("content")).alias("content"),
-    )
-    return after, status
+    result = ready.withColumn("ok", F.coalesce(F.col("_r.ok") & fits & emptied, F.lit(False))).withColumn("_text", new_text)
+    return result.withColumns({
+        "path": F.when(F.col("ok"), F.col("filename")).otherwise(F.col("_path")),
+        "content": F.when(F.col("ok"), F.when(F.col("status") != "removed", F.col("_text"))).otherwise(F.col("_content")),
+    })

@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 HEAVY_ROWS = 1_000_000
 BUCKETS = 65_536
 SALTS = 64
@@ -146,3 +148,37 @@ def nest_in_chunks(
         .agg(items.alias("_items"))
         .select(*keys, "chunk", F.transform("_items", lambda i: i["value"]).alias(name))
     )
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the scratch folder and read again: cuts lineage and survives lost executors."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The smallest node (``root``) that edges (``a``, ``b``) of the same ``keys`` reach, for each ``node`` at an edge.
+
+    Every round joins a node with the smallest around it and renames the edges' ends; edges inside one node go. The
+    rounds grow with the logarithm of the longest way, each is stored.
+    """
+    keys = list(keys)
+    left = stored(edges.select(*keys, "a", "b").where("a <> b").distinct(), "edges")
+    roots = left.select(*keys, F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    while not left.isEmpty():
+        ways = left.unionByName(left.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+        near = stored(ways.groupBy(*keys, "a").agg(F.min("b").alias("_b")).select(*keys, "a", F.least("a", "_b").alias("to")), "near")
+        far = near.select(*keys, F.col("a").alias("to"), F.col("to").alias("_far"))
+        moves = stored(near.join(far, [*keys, "to"]).select(*keys, F.col("a").alias("_from"), F.col("_far").alias("_to")), "moves")
+        known = roots.withColumnRenamed("root", "_from").join(moves, [*keys, "_from"], "left")
+        known = known.select(*keys, "node", F.coalesce("_to", "_from").alias("root"))
+        first = moves.select(*keys, F.col("_from").alias("node"), F.col("_to").alias("root"))
+        new = first.join(roots.select(*keys, "node"), [*keys, "node"], "left_anti")
+        roots = stored(known.unionByName(new), "roots")
+        for end in ("a", "b"):
+            left = left.join(moves, [F.col(end) == F.col("_from"), *[left[k].eqNullSafe(moves[k]) for k in keys]]).select(
+                *[left[k] for k in keys], *[F.col("_to").alias(c) if c == end else F.col(c) for c in ("a", "b")]
+            )
+        left = stored(left.where("a <> b").distinct(), "edges")
+    return roots

@@ -184,6 +184,60 @@ def _(spark, sf):
     return diffs.applied_files(status).withColumn("applied_files", F.array_join("applied_files", "|"))
 
 
+# Several patches of the same files: edits on edits, a rename between two edits, a file added, edited and removed again, and
+# patches that fail because of what others left.
+def chain_files(spark, sf):
+    return carriers.table(spark, sf, "orders").selectExpr(
+        "concat('i', o_orderkey) AS instance_id",
+        r"""inline(array_compact(array(
+          named_struct('path', 'src/c.py', 'content', concat('one\ntwo\nthree ', o_orderkey, '\n')),
+          named_struct('path', 'README.md', 'content', concat('# ', o_orderkey)),
+          CASE WHEN o_orderkey % 4 = 0 THEN named_struct('path', 'src/d.py', 'content', 'x') END)))""",
+    )
+
+
+def chain_patches(spark, sf):
+    def patch(pos: int, filename: str, status: str, patch: str, old: str = "NULL") -> str:
+        return (f"named_struct('pos', {pos}, 'filename', {filename}, 'status', '{status}', "
+                f"'old_filename', cast({old} AS string), 'patch', {patch})")
+
+    moved, rows = "CASE WHEN o_orderkey % 3 = 0 THEN 'lib/c.py' ELSE 'src/c.py' END", carriers.spread(carriers.table(spark, sf, "orders"))
+    return rows.selectExpr(
+        "concat('i', o_orderkey) AS instance_id",
+        f"""inline(array_compact(array(
+          {patch(0, "'src/c.py'", "modified", "concat('@@ -1 +1,2 @@\\n-one\\n+ONE\\n+', o_orderkey)")},
+          CASE WHEN o_orderkey % 3 = 0 THEN {patch(1, "'lib/c.py'", "renamed", "''", "'src/c.py'")} END,
+          {patch(2, moved, "modified", "concat('@@ -4 +4 @@\\n-three ', o_orderkey, '\\n+3')")},
+          {patch(3, "'src/c.py'", "modified", "'@@ -1 +1 @@\\n-one\\n+late'")},
+          {patch(4, "'new.py'", "added", "'@@ -0,0 +1 @@\\n+v'")},
+          {patch(5, "'new.py'", "modified", "concat('@@ -1 +1,2 @@\\n v\\n+', o_orderkey, '\\n\\\\ No newline at end of file')")},
+          CASE WHEN o_orderkey % 5 = 0 THEN {patch(6, "'new.py'", "removed", "concat('@@ -1,2 +0,0 @@\\n-v\\n-', o_orderkey)")} END,
+          CASE WHEN o_orderkey % 4 = 0 THEN {patch(7, "'lib/c.py'", "renamed", "'@@ -1 +1 @@\\n-x\\n+y'", "'src/d.py'")} END)))""",
+    )
+
+
+@query("apply_patch_chains", f"""SELECT 'i' || {K} AS instance_id, CASE WHEN {K} % 3 = 0 THEN 'lib/c.py' ELSE 'src/c.py' END AS path,
+   'ONE' || chr(10) || {K} || chr(10) || 'two' || chr(10) || '3' || chr(10) AS content FROM orders
+ UNION ALL SELECT 'i' || {K}, 'README.md', '# ' || {K} FROM orders
+ UNION ALL SELECT 'i' || {K}, CASE WHEN {K} % 3 = 0 THEN 'src/d.py' ELSE 'lib/c.py' END,
+   CASE WHEN {K} % 3 = 0 THEN 'x' ELSE 'y' || chr(10) END FROM orders WHERE {K} % 4 = 0
+ UNION ALL SELECT 'i' || {K}, 'new.py', 'v' || chr(10) || {K} FROM orders WHERE {K} % 5 <> 0""")
+def _(spark, sf):
+    after, _status = diffs.apply_hunks(chain_files(spark, sf), chain_patches(spark, sf))
+    return after
+
+
+@query("apply_patch_chains_status", f"""SELECT 'i' || {K} AS instance_id, pos, CASE pos WHEN 0 THEN 'src/c.py' WHEN 1 THEN 'lib/c.py'
+   WHEN 2 THEN CASE WHEN {K} % 3 = 0 THEN 'lib/c.py' ELSE 'src/c.py' END WHEN 3 THEN 'src/c.py' WHEN 7 THEN 'lib/c.py' ELSE 'new.py' END AS filename,
+   CASE pos WHEN 1 THEN 'renamed' WHEN 4 THEN 'added' WHEN 6 THEN 'removed' WHEN 7 THEN 'renamed' ELSE 'modified' END AS status,
+   pos <> 3 AND NOT (pos = 7 AND {K} % 3 = 0) AS ok
+ FROM orders, (SELECT unnest(range(8))::INT AS pos) p
+ WHERE (pos <> 1 OR {K} % 3 = 0) AND (pos <> 6 OR {K} % 5 = 0) AND (pos <> 7 OR {K} % 4 = 0)""")
+def _(spark, sf):
+    _after, status = diffs.apply_hunks(chain_files(spark, sf), chain_patches(spark, sf))
+    return status
+
+
 # Python sources of parts: which elements are there before and after, and which differ.
 P = "p_partkey"
 ELEMENTS = f"""side AS (SELECT {P} AS p, 'p' || {P} AS instance_id, 'tests/test_' || p_size || '.py' AS path, s

@@ -1,5 +1,6 @@
 import ast
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -110,6 +111,86 @@ def test_apply_hunks_edges(spark):
     assert {r.filename for r in status.collect() if not r.ok} == {"there", "missing"}
 
 
+PATCHES = "instance_id string, pos int, filename string, status string, old_filename string, patch string"
+FILES = "instance_id string, path string, content string"
+
+
+def test_patches_of_one_file_build_on_each_other(spark):
+    f = spark.createDataFrame([("i", "a.py", "one\ntwo\nthree\n"), ("i", "o", "x\n"), ("i", "both", "1\n"), ("i", "z", "z"), ("j", "a.py", "q")], FILES)
+    rows = [
+        ("i", 0, "a.py", "modified", None, "@@ -1 +1 @@\n-one\n+ONE"),
+        ("i", 7, "a.py", "modified", None, "@@ -3 +3 @@\n-three\n+THREE"),
+        ("i", 1, "n", "renamed", "o", ""),
+        ("i", 2, "n", "modified", None, "@@ -1 +1 @@\n-x\n+y\n\\ No newline at end of file"),
+        ("i", 3, "new", "added", None, "@@ -0,0 +1 @@\n+v"),
+        ("i", 4, "new", "modified", None, "@@ -1 +1,2 @@\n v\n+w"),
+        ("i", 5, "both", "removed", None, "@@ -1 +0,0 @@\n-1"),
+        ("i", 6, "both", "added", None, "@@ -0,0 +1 @@\n+2"),
+        ("i", 8, "z", "renamed", "n", ""),  # there is a file
+        ("i", 9, "a.py", "modified", None, "@@ -1 +1 @@\n-one\n+late"),
+    ]
+    after, status = diffs.apply_hunks(f, spark.createDataFrame(rows, PATCHES))
+    assert {(r.instance_id, r.path): r.content for r in after.collect()} == {
+        ("i", "a.py"): "ONE\ntwo\nTHREE\n", ("i", "n"): "y", ("i", "new"): "v\nw\n", ("i", "both"): "2\n", ("i", "z"): "z", ("j", "a.py"): "q"}
+    assert {r.pos for r in status.collect() if not r.ok} == {8, 9} and status.count() == len(rows)
+
+
+def line_by_line(held, patch):
+    """One patch on a dict of path to text, by the plainest reading of its hunks; whether it fits."""
+    _, _, name, status, old_name, text = patch
+    source = old_name if status == "renamed" else name
+    if (source in held) == (status == "added") or (status == "renamed" and name != source and name in held):
+        return False
+    content = held.get(source, "")
+    lines, out, at, open_end = content.split("\n"), [], 0, content != "" and not content.endswith("\n")
+    if not open_end:
+        lines.pop()
+    for hunk in re.findall(r"@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@((?:\n(?!@@).*)*)", text):
+        start = int(hunk[0]) - (0 if hunk[1] == "0" else 1)
+        out, at = out + lines[at:start], start
+        for line in hunk[2].split("\n")[1:]:
+            if line[:1] in " -":
+                if at >= len(lines) or lines[at] != line[1:]:
+                    return False
+                at += 1
+            if line[:1] in " +":
+                out.append(line[1:])
+    if at == len(lines):
+        open_end = "\n\\" in text
+    out += lines[at:]
+    if status == "removed" and out:
+        return False
+    held.pop(source, None)
+    if status != "removed":
+        held[name] = "\n".join(out) + ("" if open_end or not out else "\n")
+    return True
+
+
+def test_chains_equal_line_by_line(spark):
+    rng = random.Random(11)
+    files, patches, want, fits = [], [], {}, {}
+    for i in range(40):
+        held = {f"f{k}": "".join(rng.choice("abc") + "\n" for _ in range(rng.randint(1, 9))) for k in range(rng.randint(0, 3))}
+        files += [(f"i{i}", p, c) for p, c in held.items()]
+        for pos in range(rng.randint(0, 12)):
+            status = rng.choice(["modified"] * 5 + ["renamed", "added", "removed"])
+            there = sorted(held) if rng.random() < 0.9 else [f"f{k}" for k in range(5)]
+            name = rng.choice(there or ["f0"])
+            old = held.get(name, "a\n").split("\n")[:-1]
+            new = [] if status == "removed" else [x for x in old if rng.random() > 0.2] + [rng.choice("xyz")]
+            if status == "added":
+                name, old = f"f{rng.randint(0, 5)}", []
+            text = unified(old, new) if old != new else ""
+            patch = (f"i{i}", pos, f"f{rng.randint(0, 6)}" if status == "renamed" else name, status, name if status == "renamed" else None, text)
+            patches.append(patch)
+            fits[f"i{i}", pos] = line_by_line(held, patch)
+        want |= {(f"i{i}", p): c for p, c in held.items()}
+    assert 0.3 < sum(fits.values()) / len(fits) < 0.95
+    after, status = diffs.apply_hunks(spark.createDataFrame(files, FILES), spark.createDataFrame(patches, PATCHES).repartition(5))
+    assert {(r.instance_id, r.pos): r.ok for r in status.collect()} == fits
+    assert {(r.instance_id, r.path): r.content for r in after.collect()} == want
+
+
 SOURCE = """
 class C:
     def m(self):

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -83,3 +85,24 @@ def test_long_label_lists_go_on_in_chunks(spark):
 def test_last_per_key_ignores_partitioning(spark, hot):
     want = {tuple(r) for r in layout.last_per_key(hot, ["k"], ["id"]).collect()}
     assert want == {tuple(r) for r in layout.last_per_key(hot.repartition(7), ["k"], ["id"]).collect()}
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(2)
+    edges = [(rng.choice("pq"), f"n{rng.randint(0, 60)}", f"n{rng.randint(0, 60)}") for _ in range(70)] + [("p", f"c{k:03}", f"c{k + 1:03}") for k in range(100)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for k, a, b in edges:
+        parent[root((k, a))] = root((k, b))
+    least = {}
+    for x in list(parent):
+        least[root(x)] = min(least.get(root(x), x), x)
+    want = {x: least[root(x)][1] for x in parent if sum(root(y) == root(x) for y in parent) > 1}
+    got = layout.components(spark.createDataFrame(edges, "k string, a string, b string"), ["k"])
+    assert {(r.k, r.node): r.root for r in got.collect()} == want
+    assert layout.components(spark.createDataFrame([], "k string, a string, b string"), ["k"]).count() == 0

@@ -13,6 +13,8 @@ SYNTAX = {
     "diff_code_elements", "modified_elements", "filter_pytest_changes", "build_test_selectors",
     "skip_unchanged_specs", "gate_pr",
 }
+# Queries that hand chains of patches, each on what the one before it left, through a task in order.
+CHAINS = {"apply_hunks", "apply_hunks_status", "patch_application_summary", "applied_files", "apply_patch_chains", "apply_patch_chains_status"}
 # The job that reads Python syntax into a table before it builds its plan.
 STORED = {"mine_labels"}
 # Queries that run streams or write files when they are built.
@@ -34,7 +36,7 @@ def test_no_cross_joins_and_no_stray_python(spark, name):
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
     python = any(node in text for node in ("MapInArrow", "InPandas", "EvalPython"))
-    assert python == (name in SYNTAX)
+    assert python == (name in SYNTAX | CHAINS)
 
 
 def test_filters_reach_the_scan(spark):
