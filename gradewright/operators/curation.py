@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import string_array
 from ..functions.text import extract_version, strip, version_key
-from .layout import skew_join
+from .layout import ranged, skew_join
 
 # Accounts that publish generated releases, and topics of repositories to leave out.
 BOTS = ("github-actions[bot]", "dependabot[bot]", "renovate[bot]", "greenkeeper[bot]")
@@ -128,10 +128,18 @@ def rank_range(
     start: int = 0,
     end: int = 100,
 ) -> DataFrame:
-    """Rows with 1-based rank in [start, end] by ``by`` descending; the numbering window sees the first ``end`` only."""
-    top = df.orderBy(F.desc(by), tie).limit(end)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), tie)))
-    return ranked.where(F.col("rank") >= start)
+    """Rows with 1-based rank in [start, end] by ``by`` descending; ``tie`` should tell equal rows apart.
+
+    Rows are dealt by ranges of the order and stored range by range. The ranges' sizes, one row each, give every range
+    the rank of its first row, and only ranges that reach into [start, end] are read again.
+    """
+    laid = ranged(df, [F.desc(by), F.asc(tie)], "rank-range", by_range=True)
+    sizes = laid.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_size")  # one row per range
+    wanted = sizes.withColumn("_before", before).where((F.col("_before") < end) & (F.col("_before") + F.col("_size") >= start))
+    placed = laid.join(F.broadcast(wanted.select("_range", "_before")), "_range")
+    rank = (F.col("_before") + F.col("_place") + 1).cast("int")
+    return placed.withColumn("rank", rank).where(F.col("rank").between(start, end)).select(*df.columns, "rank")
 
 
 def release_context(releases: DataFrame, repos: DataFrame) -> DataFrame:

@@ -55,17 +55,19 @@ def skew_join(
     """Equi-join of many rows (left) to at most one row per key (right), safe for hot keys.
 
     Buckets of keys with too many rows on the left are found by a counting aggregate, or given as ``heavy`` where a
-    cheaper table than the left side tells them. Their left rows are spread over ``salts`` sub-keys at most, by a
-    number of the row and not of its content, and their right rows are copied to each, so no task holds a whole hot
-    key; all other keys join as they are. The list of buckets is broadcast: it has at most ``BUCKETS`` rows. Null
-    keys match nothing and are spread too.
+    cheaper table than the left side tells them. Their left rows are spread over ``salts`` sub-keys at most and their
+    right rows are copied to each, so no task holds a whole hot key; all other keys join as they are. A row's sub-key
+    comes from a hash of all its columns (maps and variants aside), so a task that runs again after an executor was
+    lost deals its rows as before, in whatever order they come; rows equal in all columns go together. The list of
+    buckets is broadcast: it has at most ``BUCKETS`` rows. Null keys match nothing and are spread too.
     """
     on = list(on)
     if heavy is None:
         heavy = heavy_keys(left, on, heavy_rows)
     many = F.least(F.lit(salts), 2 * F.col("_excess"))
     spread_over = F.when(F.col("_excess").isNotNull(), many).when(~_all_present(on), F.lit(salts))
-    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), spread_over).cast("int")
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(left)])
+    dealt = F.when(spread_over.isNotNull(), F.pmod(content, spread_over)).cast("int")  # hashed for rows to be spread alone
     left_salted = (
         left.withColumn("_bucket", _bucket(on)).join(F.broadcast(heavy), "_bucket", "left")
         .withColumn("_salt", F.coalesce(dealt, F.lit(0))).drop("_excess", "_bucket")
@@ -134,6 +136,42 @@ def numbered(
     )
 
 
+#: ``monotonically_increasing_id`` has the row's place in its partition in these bits, the partition above.
+PLACE_BITS = 33
+
+
+def ranged(df: DataFrame, order: Sequence[Column], name: str, by_range: bool = False) -> DataFrame:
+    """``df`` dealt by ranges of ``order`` and stored as it lies, with ``_range`` and ``_place`` (0-based, inside the range).
+
+    ``by_range`` stores each range in a folder of its own, so that a later filter on ``_range`` reads only what it needs.
+    """
+    at = F.monotonically_increasing_id()
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at).select(
+        *df.columns, F.shiftright("_at", PLACE_BITS).cast("int").alias("_range"), F.col("_at").bitwiseAND((1 << PLACE_BITS) - 1).alias("_place")
+    )
+    if not by_range:
+        return stored(laid, name)
+    path = scratch_dir(df.sparkSession, name)
+    laid.write.partitionBy("_range").parquet(path)
+    return df.sparkSession.read.schema(laid.schema).parquet(path)
+
+
+def numbered_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Add ``_number``, the 0-based place in ``order`` within the key.
+
+    Rows are dealt by ranges of key and order, so a hot key lies in many ranges; what one key brings together is its
+    row count in each range.
+    """
+    keys = list(keys)
+    laid = ranged(df, [F.col(c) for c in [*keys, *order]], name)
+    parts = laid.groupBy(*keys, "_range").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_range")
+    parts = parts.withColumn("_before", F.sum("_size").over(before) - F.col("_size") - F.col("_first"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*keys, "_range"]]
+    joined = laid.alias("l").join(parts.alias("p"), reduce(and_, same)).select("l.*", "p._before")
+    return joined.withColumn("_number", F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
 def nest_in_chunks(
     df: DataFrame, keys: Sequence[str], pos: str, value: Column, name: str, size: int = 10_000
 ) -> DataFrame:

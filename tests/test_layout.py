@@ -82,6 +82,28 @@ def test_long_label_lists_go_on_in_chunks(spark):
     assert ", ".join(texts["big", k][0] for k in range(3)) == ", ".join(f"t{i:02d}" for i in range(30)) and len(texts) == 4
 
 
+def test_labels_of_a_hot_instance_are_spread(spark):
+    rows = [("big", "f2p", f"t{i:04d}") for i in range(2000)] + [(f"s{i % 50}", "p2p", f"u{i}") for i in range(400)]
+    df = spark.createDataFrame(rows + rows[:5], "instance_id string, kind string, test string")
+    placed = layout.numbered_in_order(df.distinct(), ["instance_id", "kind"], ["test"], "test-order")
+    assert sorted(r._number for r in placed.where("instance_id = 'big'").collect()) == list(range(2000))
+    assert all(int(r.test[1:]) == r._number for r in placed.where("instance_id = 'big'").collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    try:
+        laid = layout.ranged(df, [F.col("instance_id"), F.col("kind"), F.col("test")], "test-ranges")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert laid.where("instance_id = 'big'").select("_range").distinct().count() >= 3
+    plan = labels.label_strings(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_size" in line for line in plan.splitlines() if "Window" in line)  # over counts alone
+
+
+def test_salts_do_not_depend_on_the_order_of_rows(spark, hot):
+    right = spark.createDataFrame([("hot", 1)], "k string, v int")
+    plan = layout.skew_join(hot, right, ["k"], heavy_rows=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" not in plan and "xxhash64(k" in plan
+
+
 def test_last_per_key_ignores_partitioning(spark, hot):
     want = {tuple(r) for r in layout.last_per_key(hot, ["k"], ["id"]).collect()}
     assert want == {tuple(r) for r in layout.last_per_key(hot.repartition(7), ["k"], ["id"]).collect()}
