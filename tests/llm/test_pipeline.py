@@ -46,5 +46,5 @@ def test_query_equals_sql(spark, name):
 def test_all_operators_are_registered():
     import __spark_entry__ as entry
 
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
