@@ -33,13 +33,16 @@ from pyspark.sql import functions as F
 from .ordering import ranked
 from .registry import query, table, written
 from .shipping import ship
+from .tokens import slices
 
 BUCKETS = 10_000
 LEAST_WORDS = 20
 PERCENT = 25
 SEED = 7
 HALVINGS = 4
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 20
+TEXT_BYTES = 4 << 20
+ROWS_AT_ONCE = 1_000
 LEAST_LONG = -(1 << 63)
 SCORED = "doc_id long, n_features long, weight long, score long, _enough boolean, _row long"
 
@@ -80,7 +83,7 @@ def bucket_arrays(docs: DataFrame, buckets: int = BUCKETS, key: str = "doc_id")
     ship(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, most=TEXT_BYTES)):
             words, ids, counts = [], [], []
             for text in batch.column(1):
                 n, total, found = 0, None, (np.zeros(0, "i8"), np.zeros(0, "i8"))
@@ -98,11 +101,18 @@ def bucket_arrays(docs: DataFrame, buckets: int = BUCKETS, key: str = "doc_id")
                 ids.append(found[0])
                 counts.append(found[1])
             cuts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([*x, np.zeros(0, "i8")]), t)) for x, t in ((ids, pa.int32()), (counts, pa.int64()))]
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([*x, np.zeros(0, "i8")]).astype("i4"))) for x in (ids, counts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), *lists], names=["doc_id", "_words", "_buckets", "_counts"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(counted, "doc_id long, _words long, _buckets array<int>, _counts array<long>")
+    return rows.mapInArrow(counted, "doc_id long, _words long, _buckets array<int>, _counts array<int>")
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows that hold ``ROWS_AT_ONCE`` arrays at most."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(start, ROWS_AT_ONCE)
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +127,7 @@ def totals(arrays: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, "i8")
-        for batch in batches:
+        for batch in _small(batches):
             ids, counts, _ = _flat(batch)
             np.add.at(total, ids, counts)
         seen = np.flatnonzero(total)
@@ -152,7 +162,7 @@ def scored(arrays: DataFrame, gain: np.ndarray, least_words: int = LEAST_WORDS,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in _small(batches):
             ids, counts, cuts = _flat(batch)
             features, worth = (np.concatenate([[0], np.cumsum(x)])[cuts] for x in (counts, gain[ids] * counts))
             features, worth = np.diff(features), np.diff(worth)
