@@ -38,6 +38,23 @@ def _(spark, sf):
     return rows.select("repository", "release", "pos", F.size("enhanced_new_features").alias("features"))
 
 
+# Documents of a thousand orders each: several entries in every file, so that places count and blocks have borders.
+def many_entries(spark, sf):
+    return carriers.results_document(spark, sf).withColumn("document", F.expr("pos div 4000"))
+
+
+@query("read_results_blocks", f"""SELECT CASE WHEN {K} % 19 = 0 THEN '' ELSE {REPO} END AS repository, 'v' || ({K} % 5) AS release,
+  row_number() OVER (PARTITION BY {K} // 4000 ORDER BY {K}) - 1 AS pos, 1 + CAST({K} % 3 > 0 AS INT) AS features FROM orders""")
+def _(spark, sf):
+    entry = F.struct("pos", "repository", "release", "analyzed_at", "enhanced_new_features")
+    entries = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.dropFields("pos"))
+    one = F.struct(F.struct(F.lit("now").alias("generated_at")).alias("metadata"), entries.alias("results"))
+    documents_of = many_entries(spark, sf).groupBy("document").agg(F.to_json(one).alias("value")).select("value")
+    path = written_text(spark, documents_of, "result-blocks", records=1)
+    rows = documents.read_results_blocks(spark, path, 65_536)
+    return rows.select("repository", "release", "pos", F.size("enhanced_new_features").alias("features"))
+
+
 @query("read_instances_json", f"""WITH {FLAT} SELECT {INSTANCE} AS instance_id, base_commit, CAST(k % 4 + j AS BIGINT) AS number,
   2 AS n_patch, 1 AS n_test FROM good""")
 def _(spark, sf):
