@@ -41,13 +41,15 @@ from .tokens import default_path, slices
 CHUNK = 1 << 16  # characters
 FAN = 64
 LIMIT = 2_048
-KEPT_WORDS = 150_000
-KEPT_STATES = 100_000
+KEPT_WORDS = 300_000
+KEPT_STATES = 200_000
 KEPT_PAIRS = 500_000
 GUESS = 192  # characters before a cut inside a word
 BLANKS = " \t\n\v\f\r"
 BLANK = re.compile("[ \t-\r]")
-WORD_START = ((0, None, 0),)
+#: Texts of letters below U+0180 that are their own normal form and have a lower case of one letter, and of ASCII.
+PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-įıĴ-ľŁ-ňŊ-ž]*")
+WORD_START = ((None, 0),)
 NEVER = 1 << 60
 MAP = "key long, chunk long, entry string, exit string, n long, stuck_chunk long, stuck_state string"
 CHUNKS = "key long, doc_id long, n_bytes long, chunk long, n_chunks long, n long, fresh boolean, last boolean, before string, text string"
@@ -71,7 +73,7 @@ def _parts(character: str) -> bool:
 
 class State:
     """A state of the transducer: the word pattern's mode, the last sign of a word, which is not yet fed, the suffix of
-    the fed signs that may still grow, and its places from which it may: (place, token before it, tokens fewer)."""
+    the fed signs that may still grow, and for each place in it from which it may: (token before it, tokens fewer)."""
 
     __slots__ = ("parts", "arcs")
 
@@ -101,6 +103,7 @@ class Transducer:
         self.prefixes = frozenset(t[:k] for t in (v.removesuffix(self.end) for v in model["vocab"]) for k in range(len(t)))
         specials = [t["content"] for t in file["added_tokens"]]
         self.special, self.reach = re.compile("|".join(map(re.escape, specials)) or "(?!)"), max(map(len, specials), default=0)
+        self.specials_start_so = all("<" in special for special in specials)
         signs = ByteLevel(add_prefix_space=False, use_regex=False)
         self.signs_of = functools.lru_cache(100_000)(lambda c: signs.pre_tokenize_str(c)[0][0])
         self.kind = functools.lru_cache(100_000)(self._kind)
@@ -110,7 +113,7 @@ class Transducer:
         self.older: dict[bytes, int] = {}
 
     def _forget(self) -> None:
-        self.start = State(("start", "", "", WORD_START))
+        self.start, self.nodes = State(("start", "", "", WORD_START)), {}
         self.states = {self.start.parts: self.start}
 
     def _kind(self, character: str) -> str:
@@ -196,29 +199,33 @@ class Transducer:
             parts = joined
         return parts
 
+    def _node(self, whole: str, last: bool) -> tuple[tuple, tuple, str]:
+        """What follows from the last signs of a word alone: the tokens that may end there, shortest first, with the place
+        each starts from, the places that may still grow, and the signs from the first of these on."""
+        starts = [k for k in range(len(whole)) if whole[k:-1] in self.prefixes]  # as kept when the sign before came
+        ending = self.end if last else ""
+        tokens = tuple((i, whole[k:] + ending) for i, k in enumerate(starts) if whole[k:] + ending in self.vocabulary)[::-1]
+        kept = tuple(i for i, k in enumerate(starts) if whole[k:] in self.prefixes)
+        node = self.nodes[whole, last] = (tokens, kept, whole[starts[kept[0]] :] if kept else "")
+        return node
+
     def _fed(self, suffix: str, places: tuple, sign: str, last: bool = False) -> tuple[str, tuple, int]:
         """The suffix and places behind one sign more, and the tokens it adds."""
-        vocabulary, pairs = self.vocabulary, self.pairs
-        ending = sign + self.end if last else sign
-        for place, before, fewer in places:  # where the last token may start
-            token = suffix[place:] + ending
-            if token in vocabulary:
-                apart = pairs.get((before, token))
-                if self.apart(before, token) if apart is None else apart:
-                    added = 1 - fewer
-                    break
+        pairs, whole = self.pairs, suffix + sign
+        tokens, kept, grown = self.nodes.get((whole, last)) or self._node(whole, last)
+        for i, token in tokens:  # one of them is the last token
+            before, fewer = places[i]
+            apart = pairs.get((before, token))
+            if self.apart(before, token) if apart is None else apart:
+                break
         else:
-            raise ValueError(f"no token ends behind {suffix + sign!r}")
+            raise ValueError(f"no token ends behind {whole!r}")
+        added = 1 - fewer
         if last:
             return "", WORD_START, added
-        whole, prefixes, cut, kept = suffix + sign, self.prefixes, len(suffix) + 1, []
-        for place, before, fewer in places:
-            if whole[place:] in prefixes:
-                if not kept:
-                    cut = place
-                kept.append((place - cut, before, fewer + added))
-        kept.append((len(whole) - cut, token, 0))
-        return whole[cut:], tuple(kept), added
+        if added:
+            return grown, (*[(places[i][0], places[i][1] + added) for i in kept], (token, 0)), added
+        return grown, (*[places[i] for i in kept], (token, 0)), added
 
     def _word(self, signs: str) -> int:
         """Tokens of a whole word."""
@@ -283,7 +290,7 @@ class Transducer:
     def run(self, state: State, text: str) -> tuple[State, int]:
         """Through a raw text without special strings."""
         n = 0
-        for character in text.lower() if text.isascii() else self.normalise(text):
+        for character in text.lower() if PLAIN.fullmatch(text) else self.normalise(text):
             arc = state.arcs.get(character)
             if arc is None:
                 arc = state.arcs[character] = self._arc(state, character)
@@ -294,6 +301,8 @@ class Transducer:
     def through(self, state: State, text: str) -> tuple[State, int]:
         """Through a raw text without blanks, which may have special strings."""
         n = 0
+        if "<" not in text and self.specials_start_so:
+            return self.run(state, text)
         for k, part in enumerate(self.special.split(text)):
             if k:
                 n, state = n + self.finish(state) + 1, self.start
