@@ -69,6 +69,15 @@ def _(spark, sf):
     return specs.select("instance_id", "FAIL_TO_PASS", "PASS_TO_PASS", "processed")
 
 
+@query("labels_of_statuses", f"""WITH {COMBINED}, {F2P}, {P2P}
+ SELECT instance_id, 'f2p' AS kind, test FROM f2p UNION ALL SELECT instance_id, 'p2p', test FROM p2p""")
+def _(spark, sf):
+    path, logs = scratch_dir(spark, "statuses"), carriers.label_logs(spark, sf)
+    for number, part in enumerate(("batch % 3 = 0", "batch % 3 > 0")):  # logs of one test come in both updates
+        jobs.store_statuses(logs.where(part), path, number, buckets=16)
+    return jobs.labels_of_statuses(spark, path, carriers.changed_selectors(spark, sf))
+
+
 # Runs of events: t/a.py::f fails for low values, t/c.py::p is skipped in odd events.
 RUNS = f"""r AS (SELECT event_type AS agent, 'm' || (user_id % 3) AS model, 'e' || event_id AS instance_id,
    event_type = 'error' AS broken, value > 20 AS f, event_id % 2 = 0 AS p, {N} AS n FROM events)"""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_test_list
 from ..operators import curation, judging, labels, repos, symbols, testlogs, transform, usage
 from ..operators.layout import skew_join
 from ..session import scratch_dir
+from ..sources import keyed
 
 
 def curate_releases(
@@ -88,6 +89,26 @@ def mine_labels(
     return new, texts.where("chunk > 0")
 
 
+STATUS_KEYS = ["instance_id", "kind", "phase", "test"]
+
+
+def store_statuses(logs: DataFrame, path: str, batch: int = 0, buckets: int = keyed.BUCKETS) -> None:
+    """Reduce new logs to the last status of every test and merge these into the table at ``path``.
+
+    ``logs`` as for :func:`mine_labels`; the logs' own ``batch`` orders them whenever they come, ``batch`` here numbers
+    the update. Logs that were stored before are not read again.
+    """
+    lines = testlogs.parse_test_log(logs)
+    lines = lines.withColumn("pos", testlogs.log_order(F.col("batch"), F.col("pos"))).drop("batch")
+    # told apart by their order alone, so an update that is repeated or late changes nothing
+    keyed.upsert_buckets(lines.select(*STATUS_KEYS, "status", "pos"), path, STATUS_KEYS, "pos", batch, by_batch=False, buckets=buckets)
+
+
+def labels_of_statuses(spark: SparkSession, path: str, selectors: DataFrame) -> DataFrame:
+    """Both kinds of labels from the stored statuses: those of all logs at once, without reading any."""
+    return labels.derive_labels(selectors, keyed.read_buckets(spark, path))
+
+
 def schedule_evaluations(
     specs: DataFrame,
     results: DataFrame,

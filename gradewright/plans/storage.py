@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import diffs, layout
 from ..schemas import INSTANCE_COLUMNS
 from ..session import scratch_dir
-from ..sources import documents, payloads, tables
+from ..sources import documents, keyed, payloads, tables
 from ..streaming import incremental
 from . import carriers
 from .changes import FILES, FLAT, INSTANCE, diff_texts, instances
@@ -224,6 +224,31 @@ def _(spark, sf):
     return tables.read_keyed(spark, path, ["repo"], "seq").drop("seq")
 
 
+@query("upsert_buckets", LATEST)
+def _(spark, sf):
+    path = scratch_dir(spark, "buckets")
+    for batch, condition in enumerate(("o_orderstatus = 'F'", "o_orderstatus <> 'F'", "o_orderstatus = 'O'")):  # the last is a part once more
+        keyed.upsert_buckets(versions(spark, sf, condition), path, ["repo"], "seq", min(batch, 1), buckets=16)
+    return keyed.read_buckets(spark, path).drop("seq")
+
+
+@query("stream_upsert_buckets", f"SELECT {REPO} AS repo, max({K}) AS value FROM orders GROUP BY 1")
+def _(spark, sf):
+    rows = carriers.stream_table(spark, sf, "orders").selectExpr(f"{carriers.ORDER_REPO} AS repo", "o_orderkey AS value")
+    path = scratch_dir(spark, "upsert-buckets")
+    incremental.stream_upsert_buckets(rows, path, scratch_dir(spark, "state"), ["repo"], "value", buckets=16).awaitTermination()
+    return keyed.read_buckets(spark, path)
+
+
+@query("stream_eval_results", """SELECT event_type AS agent, count(*) AS n, count(*) FILTER (WHERE success) AS resolved FROM (
+   SELECT event_type, user_id, arg_max(event_type <> 'error' AND value > 20, ts) AS success FROM events GROUP BY 1, 2) GROUP BY 1""")
+def _(spark, sf):
+    rows = carriers.eval_results_of(carriers.stream_table(spark, sf, "events"))
+    path = scratch_dir(spark, "eval-results")
+    incremental.stream_eval_results(rows, path, scratch_dir(spark, "state"), buckets=16).awaitTermination()
+    return incremental.progress_of(keyed.read_buckets(spark, path))
+
+
 @query("load_results", "SELECT DISTINCT event_type AS agent, 'i' || user_id AS instance_id FROM events")
 def _(spark, sf):
     path = scratch_dir(spark, "results")
@@ -266,7 +291,7 @@ def _(spark, sf):
     rows = carriers.releases_of(carriers.stream_table(spark, sf, "orders"))
     rows = rows.withColumn("tag_name", (F.col("pos") % 5).cast("string"))
     path = scratch_dir(spark, "releases")
-    fresh = incremental.stream_new_releases(rows, valid(), "4000 days").select("repo", "tag_name", "published")
+    fresh = incremental.stream_new_releases(rows, valid()).select("repo", "tag_name", "published")
     incremental.append_to(fresh, path, scratch_dir(spark, "state")).awaitTermination()
     return spark.read.parquet(path).select("repo", F.col("tag_name").cast("bigint").alias("tag"))
 

@@ -7,7 +7,8 @@ import pytest
 
 from gradewright import session
 from gradewright.operators.curation import is_valid_release
-from gradewright.sources import documents, payloads, tables
+from gradewright.plans import jobs
+from gradewright.sources import documents, keyed, payloads, tables
 from gradewright.streaming import incremental
 
 
@@ -167,3 +168,78 @@ def test_pages_are_read_or_rejected(spark):
     ):
         assert sorted(r.repo for r in ingest(landing).collect()) == ["r0", "r0"]
         assert sorted(r.repo for r in rejected(landing).collect()) == ["r1", "r2", "r3", "r4", "r6"]  # r5 has no items
+
+
+def folders(path):
+    return {p.name: max(f.stat().st_mtime_ns for f in p.glob("*.parquet")) for p in path.glob("buckets=*/bucket=*")}
+
+
+def test_an_update_rewrites_the_buckets_it_touches(spark, tmp_path):
+    path = tmp_path / "t"
+    rows = spark.range(400).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("v"), F.lit(1).alias("seq"))
+    keyed.upsert_buckets(rows, str(path), ["k"], "seq", 0, buckets=8)
+    before = folders(path)
+    new = spark.createDataFrame([("k3", 1000, 1), ("k3", 1001, 2), ("new", 5, 1)], "k string, v long, seq int")
+    keyed.upsert_buckets(new, str(path), ["k"], "seq", 1, buckets=8)
+    after = folders(path)
+    assert len(before) == 8 and 1 <= sum(after[b] != before[b] for b in before) <= 2
+    want = {f"k{i}": i for i in range(400)} | {"k3": 1001, "new": 5}
+    assert {r.k: r.v for r in keyed.read_buckets(spark, str(path)).collect()} == want
+    keyed.upsert_buckets(new, str(path), ["k"], "seq", 1, buckets=8)  # once more
+    keyed.upsert_buckets(rows.where("id < 9"), str(path), ["k"], "seq", 0, buckets=8)  # and an old one
+    assert {r.k: r.v for r in keyed.read_buckets(spark, str(path)).collect()} == want
+    assert keyed.read_buckets(spark, str(path)).columns == ["k", "v", "seq"] and keyed.next_batch(spark, str(path)) == 2
+    with pytest.raises(ValueError, match="8 buckets"):
+        keyed.upsert_buckets(new, str(path), ["k"], "seq", 2, buckets=4)
+
+
+def test_statuses_in_two_updates_equal_one_run(spark, tmp_path):
+    lines = "== short test summary info ==\n"
+    logs = [("i", "p2p", phase, b, f"{lines}{status} t.py::a\nPASSED t.py::b[{b}]\n") for b, (phase, status) in enumerate(
+        [("before", "FAILED"), ("after", "FAILED"), ("before", "PASSED"), ("after", "PASSED"), ("before", "PASSED")])]
+    df = spark.createDataFrame(logs, "instance_id string, kind string, phase string, batch long, log string")
+    asked = spark.createDataFrame([("i", "t.py::a")], "instance_id string, selector string")
+    found = []
+    for name, parts in (("one", ["true"]), ("two", ["batch < 2", "batch >= 2", "batch < 2"]), ("late", ["batch >= 2", "batch < 2"])):
+        for number, part in enumerate(parts):
+            jobs.store_statuses(df.where(part), str(tmp_path / name), number, buckets=4)
+        found.append(sorted(map(tuple, jobs.labels_of_statuses(spark, str(tmp_path / name), asked).collect())))
+    assert found[0] == found[1] == found[2] == [("i", "p2p", "t.py::a"), ("i", "p2p", "t.py::b")]
+
+
+def test_streamed_buckets_go_on_from_other_updates(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    ddl = "k string, v int"
+    keyed.upsert_buckets(spark.createDataFrame([("x", 1), ("a", 9)], ddl), out, ["k"], "v", 4, buckets=4)
+    for batch in ([("a", 1), ("a", 2), ("b", 1)], [("a", 0), ("b", 5)]):
+        spark.createDataFrame(batch, ddl).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(ddl).parquet(src)
+        incremental.stream_upsert_buckets(stream, out, str(tmp_path / "state"), ["k"], "v", buckets=4).awaitTermination()
+    assert sorted(map(tuple, keyed.read_buckets(spark, out).collect())) == [("a", 0), ("b", 5), ("x", 1)]
+
+
+def test_a_second_result_replaces_the_first(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    ddl = "agent string, instance_id string, finished_at timestamp, success boolean"
+    at = lambda minute: datetime.datetime(2025, 1, 1, 0, minute)
+    batches = [[("a", "i", at(1), True), ("a", "j", at(2), False), ("b", "i", at(1), None)], [("a", "i", at(9), False), ("a", "j", at(1), True)]]
+    for batch in batches:
+        spark.createDataFrame(batch, ddl).write.mode("append").parquet(src)
+        incremental.stream_eval_results(spark.readStream.schema(ddl).parquet(src), out, state, 4).awaitTermination()
+    rows = incremental.progress_of(keyed.read_buckets(spark, out)).collect()
+    assert sorted((r.agent, r.n, r.resolved) for r in rows) == [("a", 2, 0), ("b", 1, 0)]
+
+
+def test_late_first_arrivals_pass_and_repeats_do_not(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    ddl = "repo string, tag_name string, published_at string"
+    for batch in (
+        [("r", "v1", "2025-06-01T00:00:00Z"), ("r", "v1", "2025-05-01T00:00:00Z"), ("r", "v2", None)],
+        [("r", "v0", "1999-01-01T00:00:00Z"), ("r", "v1", "2026-01-01T00:00:00Z"), ("r", "v2", "2025-01-01T00:00:00Z")],
+    ):  # the second run starts again from the checkpoint
+        spark.createDataFrame(batch, ddl).write.mode("append").parquet(src)
+        fresh = incremental.stream_new_releases(spark.readStream.schema(ddl).parquet(src), F.lit(True))
+        incremental.append_to(fresh.select("repo", "tag_name", "published"), out, state).awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r.repo, r.tag_name) for r in rows) == [("r", "v0"), ("r", "v1"), ("r", "v2")]
+    assert {r.published and r.published.year for r in rows} == {1999, 2025, None}
