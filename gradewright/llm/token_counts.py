@@ -51,6 +51,7 @@ BLANK = re.compile("[ \t-\r]")
 PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-įıĴ-ľŁ-ňŊ-ž]*")
 WORD_START = ((None, 0),)
 NEVER = 1 << 60
+MARKS = '.,!?;:*$%&#|()"'  # ASCII signs that are neither letters nor digits; the apostrophe may join
 MAP = "key long, chunk long, entry string, exit string, n long, stuck_chunk long, stuck_state string"
 CHUNKS = "key long, doc_id long, n_bytes long, chunk long, n_chunks long, n long, fresh boolean, last boolean, before string, text string"
 
@@ -111,6 +112,9 @@ class Transducer:
         self._forget()
         self.counts: dict[bytes, int] = {}
         self.older: dict[bytes, int] = {}
+        self.cores: dict[str, int] = {}
+        self.older_cores: dict[str, int] = {}
+        self.marks = functools.lru_cache(10_000)(lambda marks: self._word(marks))
 
     def _forget(self) -> None:
         self.start, self.nodes = State(("start", "", "", WORD_START)), {}
@@ -315,15 +319,32 @@ class Transducer:
         words, counts = text.split(), self.counts
         for word in set(words).difference(counts):
             n = self.older.get(word)
-            if n is None:
-                state, n = self.through(self.start, word.decode())
-                n += self.finish(state)
-            counts[word] = n
+            counts[word] = self._whole(word.decode()) if n is None else n
         total = sum(map(counts.__getitem__, words))
         if len(counts) > KEPT_WORDS:
             self.counts, self.older = {}, counts
+        if len(self.cores) > KEPT_WORDS:
+            self.cores, self.older_cores = {}, self.cores
         return total
 
+    def _whole(self, word: str) -> int:
+        """Tokens between two blanks. Marks behind a letter or digit are a word of their own, so what stands before
+        them is kept as a transition too, in lower case."""
+        if PLAIN.fullmatch(word) and "<" not in word:
+            word = word.lower()
+            core = word.rstrip(MARKS)
+            if core and core[-1].isalnum():
+                n = self.cores.get(core)
+                if n is None:
+                    n = self.older_cores.get(core)
+                    if n is None:
+                        state, n = self.run(self.start, core)
+                        n += self.finish(state)
+                    self.cores[core] = n
+                return n + (self.marks(word[len(core) :]) if len(core) < len(word) else 0)
+        state, n = self.through(self.start, word)
+        return n + self.finish(state)
+
     def chunk(self, state: State, text: str, last: bool) -> tuple[State, int]:
         """Through one chunk; the last one of a text ends it."""
         first = BLANK.search(text)
