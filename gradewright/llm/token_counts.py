@@ -23,6 +23,7 @@ that share a doc_id, or are equal, each get a row; an empty table gives no row.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import os
 import re
@@ -117,6 +118,8 @@ class Transducer:
         self.marks = functools.lru_cache(10_000)(lambda marks: self._word(marks))
 
     def _forget(self) -> None:
+        self.states = self.start = None
+        gc.collect()  # states point to each other
         self.start, self.nodes = State(("start", "", "", WORD_START)), {}
         self.states = {self.start.parts: self.start}
 
@@ -204,11 +207,11 @@ class Transducer:
         return parts
 
     def _node(self, whole: str, last: bool) -> tuple[tuple, tuple, str]:
-        """What follows from the last signs of a word alone: the tokens that may end there, shortest first, with the place
+        """What follows from the last signs of a word alone: the tokens that may end there, longest first, with the place
         each starts from, the places that may still grow, and the signs from the first of these on."""
         starts = [k for k in range(len(whole)) if whole[k:-1] in self.prefixes]  # as kept when the sign before came
         ending = self.end if last else ""
-        tokens = tuple((i, whole[k:] + ending) for i, k in enumerate(starts) if whole[k:] + ending in self.vocabulary)[::-1]
+        tokens = tuple((i, whole[k:] + ending) for i, k in enumerate(starts) if whole[k:] + ending in self.vocabulary)
         kept = tuple(i for i, k in enumerate(starts) if whole[k:] in self.prefixes)
         node = self.nodes[whole, last] = (tokens, kept, whole[starts[kept[0]] :] if kept else "")
         return node
@@ -393,6 +396,13 @@ def chunks(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
     """One row per chunk; texts of one chunk are counted at once (``n``) and not handed on."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # it would go through all compiled states time and again; what is forgotten is collected then
+        try:
+            yield from rows_of(batches)
+        finally:
+            gc.enable()
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, key = transducer(path), TaskContext.get().partitionId() << 40
         names = [c.split()[0] for c in CHUNKS.split(", ")]
         types = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
