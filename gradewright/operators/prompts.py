@@ -81,6 +81,20 @@ def pr_block(prs: Column) -> Column:
     return F.array_join(F.transform(prs, one), "\n")
 
 
+def with_prs(features: DataFrame, pull_requests: DataFrame) -> DataFrame:
+    """Features with ``prs``, the known pull requests that their links name, in the order of the links.
+
+    ``pull_requests`` has (repo, pr_number) and the fields of :func:`pr_block`, one row each. A feature's array is at most
+    as long as its own list of links; features without any known one are left out.
+    """
+    key = ["repo", "tag", "feature_type", "pos"]
+    links = features.select(*key, F.posexplode("pr_links").alias("link_pos", "_link")).withColumn("pr_number", extract_pr_number(F.col("_link")))
+    found = skew_join(links.drop("_link"), pull_requests, ["repo", "pr_number"], "inner")
+    fields = F.struct("link_pos", "pr_number", "title", "state", "merged", "files", "detailed_description")
+    blocks = found.groupBy(*key).agg(F.array_sort(F.collect_list(fields)).alias("prs"))
+    return features.join(blocks, key)
+
+
 def render_feature_prompt(df: DataFrame, template: str = FEATURE_TEMPLATE) -> DataFrame:
     """(prompt_key, prompt) of features whose ``prs`` array has the analysed pull requests."""
     slots = {

@@ -268,14 +268,18 @@ def symbol_changes(spark, sf):
     return symbols.diff_code_elements(before, after)
 
 
-@query("normalise_code", """SELECT 'p' || p_partkey AS instance_id, 'import os' || chr(10) || 'class TestA:' || chr(10)
-  || 'def test_m(self):' || chr(10) || 'return ' || p_size || chr(10) || 'async def helper(self):' || chr(10)
-  || 'pass' || chr(10) || 'def test_f():' || chr(10) || 'def inner():' || chr(10) || 'return 1' || chr(10)
-  || 'return inner' || chr(10) || 'if os:' || chr(10) || 'def cond():' || chr(10) || 'pass' || chr(10)
-  || 'def gone():' || chr(10) || 'pass' AS code FROM part""")
+CODE = "'import os' || chr(10) || 'class TestA:' || chr(10) || 'def test_m(self):' || chr(10) || 'return ' || p_size"
+MORE_CODE = """chr(10) || 'async def helper(self):' || chr(10) || 'pass' || chr(10) || 'def test_f():' || chr(10) || 'def inner():'
+  || chr(10) || 'return 1' || chr(10) || 'return inner' || chr(10) || 'if os:' || chr(10) || 'def cond():' || chr(10) || 'pass'"""
+GONE = "chr(10) || 'def gone():' || chr(10) || 'pass'"
+
+
+@query("normalise_code", f"""SELECT 'p' || {P} AS instance_id, 'before' AS side, {CODE} || {MORE_CODE} || {GONE} AS code FROM part
+ UNION ALL SELECT 'p' || {P}, 'after', CASE WHEN {P} % 7 = 0 THEN 'def (:' ELSE {CODE} || CASE WHEN {P} % 2 = 1 THEN ' + 1' ELSE '' END
+   || {MORE_CODE} || CASE WHEN {P} % 5 = 0 THEN '' ELSE {GONE} END
+   || CASE WHEN {P} % 3 = 0 THEN chr(10) || 'def test_new():' || chr(10) || 'pass' ELSE '' END END FROM part""")
 def _(spark, sf):
-    return carriers.code_pairs(spark, sf).select(
-        "instance_id", text.normalise_code(F.col("before")).alias("code"))
+    return both_sides(spark, sf).select("instance_id", "side", text.normalise_code(F.col("content")).alias("code"))
 
 
 DEFINITIONS = f"""defs AS (SELECT 'p' || {P} AS instance_id, 'tests/test_' || p_size || '.py' AS path, {P} AS p, s, n
@@ -515,29 +519,7 @@ def _(spark, sf):
     return prompts.render_release_prompt(rows)
 
 
-SUMMARY = f"""'- src/a_' || {K} || '.py (modified): +' || ({K} % 4) || '/-1'
-  || chr(10) || '  ' || substr('@@ -1,2 +1,' || CASE WHEN {K} % 10 = 0 THEN 9 ELSE 1 + {K} % 4 END || ' @@' || chr(10)
-       || ' ctx' || chr(10) || '-old' || repeat(chr(10) || '+new', {K} % 4) || chr(10), 1, 20) || '...'
-  || CASE {K} % 3 WHEN 2 THEN '' ELSE chr(10) || '... and 1 more files' END"""
-
-
-@query("summarise_file_changes", f"SELECT 'i' || {K} AS instance_id, {SUMMARY} AS summary FROM orders")
-def _(spark, sf):
-    summary = prompts.summarise_file_changes(F.col("patches"), max_files=1, preview=20)
-    return carriers.patch_lists(spark, sf).select("instance_id", summary.alias("summary"))
-
-
-@query("render_pr_prompt", f"""SELECT 'i' || {K} || '#7' AS prompt_key, 'Feature: F' || chr(10) || 'Title: T' || chr(10)
-  || chr(10) || 'No files were modified in this PR.' AS prompt FROM orders""")
-def _(spark, sf):
-    rows = carriers.patch_lists(spark, sf).select(
-        F.col("instance_id").alias("repo"), F.lit("7").alias("pr_number"), F.lit("F").alias("feature_description"),
-        F.lit("T").alias("title"), F.lit(None).cast("string").alias("body"),
-        F.filter("patches", lambda p: p["filename"].startswith("tests/")).alias("file_changes"))
-    return prompts.render_pr_prompt(rows)
-
-
-# The whole of what the queries above and extract_pr_number read in part: all files, whole patches, every link.
+# All files and whole patches.
 WHOLE_SUMMARY = f"""'- src/a_' || {K} || '.py (modified): +' || ({K} % 4) || '/-1' || chr(10) || '  @@ -1,2 +1,'
   || CASE WHEN {K} % 10 = 0 THEN 9 ELSE 1 + {K} % 4 END || ' @@' || chr(10) || ' ctx' || chr(10) || '-old'
   || repeat(chr(10) || '+new', {K} % 4) || chr(10) || '...'
@@ -546,13 +528,22 @@ WHOLE_SUMMARY = f"""'- src/a_' || {K} || '.py (modified): +' || ({K} % 4) || '/-
        ELSE '' END"""
 
 
-@query("summarise_all_file_changes", f"SELECT 'i' || {K} AS instance_id, {WHOLE_SUMMARY} AS summary FROM orders")
+ALL_SUMMARIES = f"SELECT 'i' || {K} AS instance_id, {WHOLE_SUMMARY} AS summary FROM orders"
+ALL_PR_PROMPTS = f"""SELECT 'i' || {K} || '#7' AS prompt_key, 'Feature: F' || chr(10) || 'Title: T' || chr(10)
+  || chr(10) || {WHOLE_SUMMARY} AS prompt FROM orders"""
+ALL_PR_NUMBERS = f"""SELECT {K} AS pos, x AS link_pos, CAST(({K} + x) % 100 AS VARCHAR) AS pr_number
+ FROM orders, (VALUES (0), (1)) AS v(x) WHERE x < {K} % 3
+ UNION ALL SELECT {K}, {K} % 3, NULL FROM orders WHERE {K} % 7 = 0"""
+
+
+@query("summarise_file_changes", ALL_SUMMARIES)
+@query("summarise_all_file_changes", ALL_SUMMARIES)
 def _(spark, sf):
     return carriers.patch_lists(spark, sf).select("instance_id", prompts.summarise_file_changes(F.col("patches")).alias("summary"))
 
 
-@query("render_pr_prompt_of_all_files", f"""SELECT 'i' || {K} || '#7' AS prompt_key, 'Feature: F' || chr(10) || 'Title: T' || chr(10)
-  || chr(10) || {WHOLE_SUMMARY} AS prompt FROM orders""")
+@query("render_pr_prompt", ALL_PR_PROMPTS)
+@query("render_pr_prompt_of_all_files", ALL_PR_PROMPTS)
 def _(spark, sf):
     rows = carriers.patch_lists(spark, sf).select(
         F.col("instance_id").alias("repo"), F.lit("7").alias("pr_number"), F.lit("F").alias("feature_description"),
@@ -560,26 +551,29 @@ def _(spark, sf):
     return prompts.render_pr_prompt(rows)
 
 
-@query("extract_pr_numbers", f"""SELECT {K} AS pos, x AS link_pos, CAST(({K} + x) % 100 AS VARCHAR) AS pr_number
- FROM orders, (VALUES (0), (1)) AS v(x) WHERE x < {K} % 3
- UNION ALL SELECT {K}, {K} % 3, NULL FROM orders WHERE {K} % 7 = 0""")
+@query("extract_pr_number", ALL_PR_NUMBERS)
+@query("extract_pr_numbers", ALL_PR_NUMBERS)
 def _(spark, sf):
     links = carriers.features(spark, sf).select("pos", F.posexplode("pr_links").alias("link_pos", "_link"))
     return links.select("pos", "link_pos", text.extract_pr_number(F.col("_link")).alias("pr_number"))
 
 
-@query("render_feature_prompt", f"""SELECT {REPO} || '#v' || ({K} % 5) || '#new_feature#' || {K} AS prompt_key,
-  'new_feature: adds ' || {K} || chr(10) || chr(10) || 'PR #1: T' || {K} || chr(10) || '- Status: closed (merged: True)'
-  || chr(10) || '- Files changed: 3' || chr(10) || '- User benefits: good' || chr(10) || chr(10) || chr(10)
-  || 'PR #2: U' || chr(10) || '- Status: open (merged: False)' || chr(10) || '- Files changed: 0' || chr(10)
-  || '- User benefits: bad' || chr(10) AS prompt FROM orders WHERE {K} % 4 = 0""")
+# Pull requests of every repository, found by the links of every feature.
+@query("render_feature_prompt", f"""WITH l AS (SELECT {K} AS k, o_custkey AS c, x, ({K} + x) % 100 AS n, {REPO} AS repo FROM orders,
+   (VALUES (0), (1)) AS v(x) WHERE x < {K} % 3),
+ p AS (SELECT k, repo, string_agg(chr(10) || 'PR #' || n || ': T' || c || '-' || n || chr(10) || '- Status: '
+     || CASE WHEN n % 2 = 0 THEN 'closed (merged: True)' ELSE 'open (merged: False)' END || chr(10) || '- Files changed: ' || (n % 5)
+     || chr(10) || '- User benefits: ' || CASE WHEN n % 11 = 0 THEN '' ELSE 'D' || c || '-' || n END || chr(10), chr(10) ORDER BY x) AS block
+   FROM l WHERE n % 3 > 0 AND c IN (SELECT c_custkey FROM customer) GROUP BY k, repo)
+ SELECT repo || '#v' || (k % 5) || '#' || kind || '#' || k AS prompt_key, kind || ': adds ' || k || chr(10) || block AS prompt
+ FROM (SELECT *, ['new_feature', 'improvement', 'bug_fix', 'other'][k % 4 + 1] AS kind FROM p)""")
 def _(spark, sf):
-    rows = carriers.features(spark, sf).where("feature_type = 'new_feature'").withColumn("prs", F.expr(
-        """array(named_struct('pr_number', '1', 'title', concat('T', pos), 'state', 'closed', 'merged', true,
-                   'files', 3, 'detailed_description', 'good'),
-                 named_struct('pr_number', '2', 'title', 'U', 'state', 'open', 'merged', false,
-                   'files', 0, 'detailed_description', 'bad'))"""))
-    return prompts.render_feature_prompt(rows)
+    number = F.col("pr_number").cast("int")
+    known = carriers.pr_analyses(spark, sf).select(
+        "repo", "pr_number", F.concat(F.lit("T"), F.split("repo", "/r")[1], F.lit("-"), "pr_number").alias("title"),
+        F.when(number % 2 == 0, "closed").otherwise("open").alias("state"), (number % 2 == 0).alias("merged"), (number % 5).alias("files"),
+        "detailed_description")
+    return prompts.render_feature_prompt(prompts.with_prs(carriers.features(spark, sf), known))
 
 
 @query("extract_pr_refs", f"""SELECT {K} AS pos, ref_pos, pr_id FROM (
@@ -601,14 +595,6 @@ def _(spark, sf):
     return refs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("extract_pr_number", f"""SELECT {K} AS pos, CASE WHEN {K} % 3 > 0 THEN CAST({K} % 100 AS VARCHAR) END AS pr_number
- FROM orders WHERE {K} % 3 > 0 OR {K} % 7 = 0""")
-def _(spark, sf):
-    first = F.get("pr_links", F.lit(0))
-    return carriers.features(spark, sf).where(F.size("pr_links") > 0).select(
-        "pos", text.extract_pr_number(first).alias("pr_number"))
-
-
 @query("build_pr_links", f"""SELECT {K} AS pos, 'https://h/' || {REPO} || '/pull/' || {K} || '|https://h/' || {REPO}
   || '/pull/7' AS links FROM orders""")
 def _(spark, sf):

@@ -128,50 +128,115 @@ def _(spark, sf):
     return payloads.rejected_releases_payload(release_pages(spark, sf)).select("repo", "payload")
 
 
+def repo_landing(spark, sf):
+    return carriers.table(spark, sf, "customer").selectExpr(
+        """CASE WHEN c_custkey % 7 = 0 THEN '<html>' ELSE concat('{"full_name": "o/', c_custkey, '", "stargazers_count": ',
+             c_custkey, CASE WHEN c_custkey % 2 = 0 THEN ', "topics": ["a", "b"], "language": "Python", "fork": true'
+             ELSE ', "language": null' END, '}') END AS payload""")
+
+
 @query("ingest_repo_payload", """SELECT 'o/' || c_custkey AS full_name, c_custkey AS stargazers_count,
    CASE WHEN c_custkey % 2 = 0 THEN 'a|b' ELSE '' END AS topics, CASE WHEN c_custkey % 2 = 0 THEN 'Python' ELSE '' END AS language,
    c_custkey % 2 = 0 AS fork FROM customer WHERE c_custkey % 7 > 0""")
 def _(spark, sf):
-    landing = carriers.table(spark, sf, "customer").selectExpr(
-        """CASE WHEN c_custkey % 7 = 0 THEN '<html>' ELSE concat('{"full_name": "o/', c_custkey, '", "stargazers_count": ',
-             c_custkey, CASE WHEN c_custkey % 2 = 0 THEN ', "topics": ["a", "b"], "language": "Python", "fork": true'
-             ELSE ', "language": null' END, '}') END AS payload""")
-    rows = payloads.ingest_repo_payload(landing)
+    rows = payloads.ingest_repo_payload(repo_landing(spark, sf))
     return rows.select("full_name", "stargazers_count", F.array_join("topics", "|").alias("topics"), "language", "fork")
 
 
-@query("ingest_pr_payload", f"""SELECT CAST({K} AS VARCHAR) AS pr_number, 'T' || {K} AS title, {K} % 2 = 0 AS merged,
-   'b' || {K} AS base_sha, CASE WHEN {K} % 3 > 0 THEN 'h' || {K} END AS head_sha FROM orders""")
-def _(spark, sf):
-    landing = carriers.table(spark, sf, "orders").selectExpr(
+def pr_landing(spark, sf):
+    return carriers.table(spark, sf, "orders").selectExpr(
         f"{carriers.ORDER_REPO} AS repo", "cast(o_orderkey AS string) AS pr_number",
         """concat('{"number": ', o_orderkey, ', "title": "T', o_orderkey, '", "state": "closed"',
              CASE WHEN o_orderkey % 2 = 0 THEN ', "merged": true' ELSE '' END,
              ', "base": {"sha": "b', o_orderkey, '", "ref": "main"}, "head": ',
              CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE concat('{"sha": "h', o_orderkey, '"}') END, '}') AS payload""")
-    return payloads.ingest_pr_payload(landing).select("pr_number", "title", "merged", "base_sha", "head_sha")
 
 
-@query("ingest_pr_files_payload", f"""SELECT CAST({K} AS VARCHAR) AS pr_number, 0 AS pos, 'f' || {K} AS filename, 'renamed' AS status,
-   CAST(3 AS BIGINT) AS additions, '' AS patch, 'g' || {K} AS old_filename FROM orders
- UNION ALL SELECT CAST({K} AS VARCHAR), 1, '', '', 0, '+x', NULL FROM orders""")
+@query("ingest_pr_payload", f"""SELECT CAST({K} AS VARCHAR) AS pr_number, 'T' || {K} AS title, {K} % 2 = 0 AS merged,
+   'b' || {K} AS base_sha, CASE WHEN {K} % 3 > 0 THEN 'h' || {K} END AS head_sha FROM orders""")
 def _(spark, sf):
-    landing = carriers.table(spark, sf, "orders").selectExpr(
+    return payloads.ingest_pr_payload(pr_landing(spark, sf)).select("pr_number", "title", "merged", "base_sha", "head_sha")
+
+
+def pr_files_landing(spark, sf):
+    return carriers.table(spark, sf, "orders").selectExpr(
         f"{carriers.ORDER_REPO} AS repo", "cast(o_orderkey AS string) AS pr_number",
         """concat('[{"filename": "f', o_orderkey, '", "status": "renamed", "additions": 3, "previous_filename": "g',
              o_orderkey, '"}, {"patch": "+x"}]') AS payload""")
-    return payloads.ingest_pr_files_payload(landing).select(
-        "pr_number", "pos", "filename", "status", "additions", "patch", "old_filename")
 
 
-@query("ingest_commit_payload", f"""SELECT 's' || {K} AS sha, 'M' AS message, CASE WHEN {K} % 2 = 0 THEN 'Ann' ELSE '' END AS author,
-   '' AS date FROM orders""")
+@query("ingest_pr_files_payload", f"""SELECT CAST({K} AS VARCHAR) AS pr_number, 0 AS pos, 'f' || {K} AS filename, 'renamed' AS status,
+   CAST(3 AS BIGINT) AS additions, '' AS patch, 'g' || {K} AS old_filename FROM orders
+ UNION ALL SELECT CAST({K} AS VARCHAR), 1, '', '', 0, '+x', NULL FROM orders""")
 def _(spark, sf):
-    landing = carriers.table(spark, sf, "orders").selectExpr(
+    return payloads.ingest_pr_files_payload(pr_files_landing(spark, sf)).select(
+        "pr_number", "pos", "filename", "status", "additions", "patch", "old_filename")
+
+
+def commit_landing(spark, sf):
+    return carriers.table(spark, sf, "orders").selectExpr(
         f"{carriers.ORDER_REPO} AS repo",
         """concat('{"sha": "s', o_orderkey, '", "commit": {"message": "M"',
              CASE WHEN o_orderkey % 2 = 0 THEN ', "author": {"name": "Ann"}' ELSE '' END, '}}') AS payload""")
-    return payloads.ingest_commit_payload(landing).select("sha", "message", "author", "date")
+
+
+@query("ingest_commit_payload", f"""SELECT 's' || {K} AS sha, 'M' AS message, CASE WHEN {K} % 2 = 0 THEN 'Ann' ELSE '' END AS author,
+   '' AS date FROM orders""")
+def _(spark, sf):
+    return payloads.ingest_commit_payload(commit_landing(spark, sf)).select("sha", "message", "author", "date")
+
+
+# Landed payloads of all five kinds, some cut off (after eight characters) and some never answered.
+PAYLOADS = {
+    "releases": (release_pages, payloads.ingest_releases_payload, payloads.rejected_releases_payload),
+    "repo": (repo_landing, payloads.ingest_repo_payload, payloads.rejected_repo_payload),
+    "pr": (pr_landing, payloads.ingest_pr_payload, payloads.rejected_pr_payload),
+    "pr_files": (pr_files_landing, payloads.ingest_pr_files_payload, payloads.rejected_pr_files_payload),
+    "commit": (commit_landing, payloads.ingest_commit_payload, payloads.rejected_commit_payload),
+}
+
+
+def landed(spark, sf, kind):
+    rows = PAYLOADS[kind][0](spark, sf)
+    number = F.regexp_extract("payload", "([0-9]+)", 1).try_cast("bigint")
+    return rows.withColumn("payload", F.when(number % 9 == 0, F.left("payload", F.lit(8))).when(number % 10 == 1, None).otherwise(F.col("payload")))
+
+
+def rejects(kind: str, sql: str):
+    """The query of what cannot be read of one kind of payload."""
+    @query(f"rejected_{kind}_payloads", sql)
+    def _(spark, sf):
+        rejected = PAYLOADS[kind][2](landed(spark, sf, kind))
+        return rejected.groupBy(F.coalesce("payload", F.lit("none")).alias("payload")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cut_or_none(table: str, key: str, start: str) -> str:
+    return f"""SELECT CASE WHEN {key} % 9 = 0 THEN '{start}' ELSE 'none' END AS payload, count(*) AS n FROM {table}
+ WHERE {key} % 9 = 0 OR {key} % 10 = 1 GROUP BY 1"""
+
+
+rejects("pr", cut_or_none("orders", K, '{"number'))
+rejects("pr_files", cut_or_none("orders", K, '[{"filen'))
+rejects("commit", cut_or_none("orders", K, '{"sha": '))
+rejects("repo", """SELECT CASE WHEN c_custkey % 7 = 0 THEN '<html>' WHEN c_custkey % 9 = 0 THEN '{"full_n' ELSE 'none' END AS payload,
+ count(*) AS n FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 9 = 0 OR c_custkey % 10 = 1 GROUP BY 1""")
+
+
+@query("payload_balance", f"""SELECT kind, n AS payloads, n - bad AS read, bad AS rejected FROM (
+ SELECT 'pr' AS kind, count(*) AS n, count(*) FILTER ({K} % 9 = 0 OR {K} % 10 = 1) AS bad FROM orders
+ UNION ALL SELECT 'commit', count(*), count(*) FILTER ({K} % 9 = 0 OR {K} % 10 = 1) FROM orders
+ UNION ALL SELECT 'repo', count(*), count(*) FILTER (c_custkey % 7 = 0 OR c_custkey % 9 = 0 OR c_custkey % 10 = 1) FROM customer)""")
+def _(spark, sf):
+    sides = []
+    for kind in ("pr", "commit", "repo"):  # one payload, one row
+        _landing, ingest, rejected = PAYLOADS[kind]
+        rows = landed(spark, sf, kind)
+        for side, df in (("payloads", rows), ("read", ingest(rows)), ("rejected", rejected(rows))):
+            sides.append(df.select(F.lit(kind).alias("kind"), F.lit(side).alias("side")))
+    counts = sides[0]
+    for df in sides[1:]:
+        counts = counts.union(df)
+    return counts.groupBy("kind").agg(*[F.count_if(F.col("side") == s).alias(s) for s in ("payloads", "read", "rejected")])
 
 
 @query("ingest_file_contents", "SELECT doc_id, CASE WHEN doc_id % 5 > 1 THEN text END AS content FROM documents")

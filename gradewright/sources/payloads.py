@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import COMMIT_PAYLOAD, PR_FILE_PAYLOAD, PR_PAYLOAD, RELEASE_PAYLOAD, REPO_PAYLOAD
@@ -10,9 +10,8 @@ from ..schemas import COMMIT_PAYLOAD, PR_FILE_PAYLOAD, PR_PAYLOAD, RELEASE_PAYLO
 BAD = "_corrupt_record"
 
 
-def read_landing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The landing table of a crawler: request keys and ``payload``."""
-    return spark.read.format(fmt).load(path)
+def _is_read() -> Column:
+    return F.col("_p").isNotNull() & F.col(f"_p.{BAD}").isNull()
 
 
 def _parse(landing: DataFrame, schema: str) -> DataFrame:
@@ -21,8 +20,26 @@ def _parse(landing: DataFrame, schema: str) -> DataFrame:
 
 
 def rejected_payloads(landing: DataFrame, schema: str) -> DataFrame:
-    """Payloads that are not valid JSON of ``schema``."""
-    return _parse(landing, schema).where(f"_p.{BAD} IS NOT NULL").drop("_p")
+    """Payloads that are not valid JSON of ``schema``, or no payload at all.
+
+    Each payload is either here or a row of its ``ingest_`` function.
+    """
+    return _parse(landing, schema).where(~_is_read()).drop("_p")
+
+
+def rejected_repo_payload(landing: DataFrame) -> DataFrame:
+    """Payloads that ``ingest_repo_payload`` cannot read."""
+    return rejected_payloads(landing, REPO_PAYLOAD)
+
+
+def rejected_pr_payload(landing: DataFrame) -> DataFrame:
+    """Payloads that ``ingest_pr_payload`` cannot read."""
+    return rejected_payloads(landing, PR_PAYLOAD)
+
+
+def rejected_commit_payload(landing: DataFrame) -> DataFrame:
+    """Payloads that ``ingest_commit_payload`` cannot read."""
+    return rejected_payloads(landing, COMMIT_PAYLOAD)
 
 
 def _pages(item: str) -> Column:
@@ -63,11 +80,9 @@ def ingest_releases_payload(landing: DataFrame) -> DataFrame:
     return pages.select("repo", "_r.*", "pos")
 
 
-
-
 def ingest_repo_payload(landing: DataFrame) -> DataFrame:
     """Repositories with the defaults of optional fields."""
-    parsed = _parse(landing, REPO_PAYLOAD).where(f"_p.{BAD} IS NULL").select("_p.*").drop(BAD)
+    parsed = _parse(landing, REPO_PAYLOAD).where(_is_read()).select("_p.*").drop(BAD)
     return parsed.withColumns({
         "topics": F.coalesce("topics", F.array().cast("array<string>")),
         "language": _or("language", ""),
@@ -79,7 +94,7 @@ def ingest_repo_payload(landing: DataFrame) -> DataFrame:
 
 def ingest_pr_payload(landing: DataFrame) -> DataFrame:
     """Pull requests of (repo, pr_number, payload)."""
-    parsed = _parse(landing, PR_PAYLOAD).where(f"_p.{BAD} IS NULL")
+    parsed = _parse(landing, PR_PAYLOAD).where(_is_read())
     return parsed.select(
         "repo", "pr_number", "_p.title", "_p.body", "_p.state",
         _or("_p.merged", False).alias("merged"),
@@ -110,7 +125,7 @@ def ingest_pr_files_payload(landing: DataFrame) -> DataFrame:
 
 def ingest_commit_payload(landing: DataFrame) -> DataFrame:
     """Commits of (repo, payload)."""
-    parsed = _parse(landing, COMMIT_PAYLOAD).where(f"_p.{BAD} IS NULL")
+    parsed = _parse(landing, COMMIT_PAYLOAD).where(_is_read())
     return parsed.select(
         "repo", "_p.sha",
         _or("_p.commit.message", "").alias("message"),
