@@ -1,21 +1,21 @@
-"""Operator 5: cross-entropy difference of matched bigram models of words.
-
-Tokens are the words of a text (between white space) and its end. Target and background model share one vocabulary, all
-words of the corpus by their 64-bit hashes, and have the same order and smoothing (a bigram backs off to the word by a
-Dirichlet prior, the word to the uniform distribution). Background counts come from all documents, target counts from
-all documents that are labelled good. A document's score is the mean over its tokens of the target's loss minus the
-background's, in bits: below zero reads more like the target.
-
-Bigrams are counted within each document first. The tables of bigrams and words are Spark tables that grow with the
-input; nothing caps them and nothing of them reaches the driver but totals. A document's bigrams meet the table in a
-shuffled join, where a hot bigram has one row for each document that holds it and one of the table, so that its rows
-can be split.
-
-``cross_entropy_difference`` is the smaller model of before, character trigrams under a capped vocabulary; no query uses it.
-
-Edge cases: a null or empty text has the end as its only token; no target text leaves the target model at its prior,
-the uniform distribution; labels that are null or not 1 make no target, a doc_id labelled twice counts once; a null
-doc_id is scored and never a target; an empty table gives no row; rows equal in doc_id and text each get a row.
+"""Operator 5: cross-entropy difference of matched n-gram models of words.
+
+A text's events are its word bigrams, from its edge before the first word to its edge behind the last, one per token
+(the words and the end). Target and background are models of the same events under one vocabulary, all bigrams of the
+corpus by their 64-bit hashes. Target counts come from all documents that are labelled good, background counts from
+all documents; the background's are scaled to the target's size (by the bytes of the texts), and both are smoothed
+by the same ``PRIOR`` per event, so that an event that neither has seen says nothing. No document meets its own words: its counts
+are taken out of both models before it is scored. A document's score is the mean over its tokens of the target's loss
+minus the background's, in bits: below zero reads more like the target.
+
+Events are counted within each document first and, for the models, within each task before they are shuffled.
+The table of events is a Spark table that grows with the input; nothing caps it and nothing of it reaches the driver
+but the two sizes. A document's events meet it in a sort-merge join, where a hot event has one row for each document that holds
+it and one of the table, so that Spark can split its rows. Texts are read twice rather than stored as events.
+
+Edge cases: a null or empty text has the end as its only token; no target text scores every document by the background
+alone; labels that are null or not 1 make no target, a doc_id labelled twice counts once; a null doc_id is scored and never a
+target; an empty table gives no row; rows equal in doc_id and text each get a row, and each leaves out one copy.
 """
 
 from __future__ import annotations
@@ -27,181 +27,70 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import documents, query, table, written
+from .registry import documents, query, table
+from .tokens import slices
 
-VOCABULARY = 120
-PRIOR = 5.0  # weight, in tokens, of the next lower order
-EDGE, OTHER = 0, 1
+PRIOR = 0.5  # events that each model adds to every event
+EDGE = 0
 MIX = np.uint64(0x9E3779B97F4A7C15)
-TOKENS_AT_ONCE = 1 << 20
-
+TEXT_BYTES = 4 << 20
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[int]:
-    """Code points of the most frequent characters of all texts, ties by code point; ``size - 2`` at most."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for point, n in zip(*(x.tolist() for x in np.unique(code_points(text), return_counts=True))):
-                    total[point] = total.get(point, 0) + n
-        if total:  # as many entries as there are different characters
-            yield pa.RecordBatch.from_pydict({"point": list(total), "n": list(total.values())})
-
-    counts = documents(docs).select("text").mapInArrow(counted, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    return [r["point"] for r in counts.orderBy(F.desc("n"), "point").limit(size - 2).collect()]
-
-
-class Coder:
-    """Texts as vocabulary numbers."""
-
-    def __init__(self, points: list[int]):
-        self.size = len(points) + 2
-        self.table = np.full(1 << 16, OTHER, np.int64)
-        self.high = {p: k + 2 for k, p in enumerate(points) if p >= 1 << 16}
-        for k, p in enumerate(points):
-            if p < 1 << 16:
-                self.table[p] = k + 2
-
-    def trigrams(self, text: str) -> np.ndarray:
-        """The cell of each token's trigram; two edges stand before the text and one, a token, behind it."""
-        points = code_points(text)
-        numbers = self.table[np.minimum(points, (1 << 16) - 1)]
-        numbers[points >= 1 << 16] = OTHER
-        for point, number in self.high.items():
-            numbers[points == point] = number
-        line = np.concatenate([[EDGE, EDGE], numbers, [EDGE]])
-        return (line[:-2] * self.size + line[1:-1]) * self.size + line[2:]
-
-
-def trigram_counts(docs: DataFrame, labels: DataFrame, coder: Coder) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of target and background, over all documents."""
-    # always the shuffle join: below the broadcast threshold the plan would differ from that of large inputs
-    good = labels.where("quality = 1").select("doc_id").distinct().hint("merge")
-    rows = documents(docs)
-    cells = coder.size**3
-
-    def counter(kind: int):
-        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(cells, np.int64)
-            for batch in batches:
-                held, size = [], 0
-                for text in batch.column(0).to_pylist():
-                    held.append(coder.trigrams(text))
-                    size += len(held[-1])
-                    if size >= TOKENS_AT_ONCE:
-                        total += np.bincount(np.concatenate(held), minlength=cells)
-                        held, size = [], 0
-                if held:
-                    total += np.bincount(np.concatenate(held), minlength=cells)
-            seen = np.flatnonzero(total)
-            for k in range(0, len(seen), 10_000):
-                part = seen[k : k + 10_000]
-                yield pa.RecordBatch.from_pydict({"kind": np.full(len(part), kind), "cell": part, "n": total[part]})
-
-        return counted
-
-    kinds = "kind long, cell long, n long"
-    target = rows.join(good, "doc_id", "left_semi").select("text").mapInArrow(counter(0), kinds)
-    background = rows.select("text").mapInArrow(counter(1), kinds)
-    sums = written(target.union(background).groupBy("kind", "cell").agg(F.sum("n").alias("n")), "lm-counts")
-    found = np.zeros((2, cells))
-    counts = sums.toArrow()  # two tables of at most VOCABULARY ** 3 cells
-    found[counts["kind"].to_numpy(), counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    return found[0], found[1]
-
-
-def losses(counts: np.ndarray, size: int, prior: float = PRIOR) -> np.ndarray:
-    """Bits for each trigram: log2 of one over its smoothed probability."""
-    three = counts.reshape(size, size, size)
-    two, one = three.sum(axis=0), three.sum(axis=(0, 1))
-    p1 = (one + prior / size) / (one.sum() + prior)
-    p2 = (two + prior * p1) / (two.sum(axis=1, keepdims=True) + prior)
-    p3 = (three + prior * p2) / (three.sum(axis=2, keepdims=True) + prior)
-    return -np.log2(p3).ravel()
-
-
-def scored(docs: DataFrame, coder: Coder, difference: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, score."""
-    sent = docs.sparkSession.sparkContext.broadcast(difference.astype("f4"))  # VOCABULARY ** 3 numbers
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss = sent.value
-        for batch in batches:
-            cells = (coder.trigrams(t) for t in batch.column(1).to_pylist())
-            found = [(len(c), float(loss[c].mean(dtype=np.float64))) for c in cells]
-            n, mean = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "score"]
-            )
-
-    return documents(docs).mapInArrow(score, "doc_id long, n_tokens long, score double")
-
-
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens and score (target loss minus background loss per token, in bits) of each document."""
-    coder = Coder(vocabulary(docs, size))
-    target, background = trigram_counts(docs, labels, coder)
-    return scored(docs, coder, losses(target, coder.size) - losses(background, coder.size))
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, ``_key`` (of doc_id and text) and ``_good`` of every row; Spark chooses the join by the labels' size."""
+    good = labels.where("quality = 1").select("doc_id").distinct().withColumn("_good", F.lit(1))
+    rows = documents(docs).join(good, "doc_id", "left")
+    return rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"), F.coalesce("_good", F.lit(0)).alias("_good"))
 
 
-def bigrams(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, ``_key`` (of doc_id and text), ``_good`` and the bigrams of each row: arrays ``_b``, ``_c`` (word hashes), ``_n``."""
+def events(rows: DataFrame) -> DataFrame:
+    """``_key``, ``_event`` (a bigram's hash) and ``_n``: twice its count in the text, and one more if the text is good."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh64_intdigest
-        for batch in batches:
-            first, second, often = [], [], []
-            for text in batch.column(3).cast(pa.binary()):
+        for batch in (part for whole in batches for part in slices(whole, most=TEXT_BYTES)):
+            found, often = [], []
+            for text, good in zip(batch.column(2).cast(pa.binary()), batch.column(1).to_pylist()):
                 line = np.array([EDGE, *[digest(w, 42) for w in text.as_py().split()], EDGE], "u8")
-                pairs, n = np.unique(line[:-1] * MIX ^ line[1:], return_index=True, return_counts=True)[1:]
-                first.append(line[:-1][pairs].view("i8"))
-                second.append(line[1:][pairs].view("i8"))
-                often.append(n)
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, second, often)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:3] + lists, names=["doc_id", "_key", "_good", "_b", "_c", "_n"])
+                event, n = np.unique(line[:-1] * MIX ^ line[1:], return_counts=True)
+                found.append(event.view("i8"))
+                often.append(2 * n + good)
+            if found:
+                keys = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+                columns = [pa.array(keys), pa.array(np.concatenate(found)), pa.array(np.concatenate(often).astype("i8"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_key", "_event", "_n"])
 
-    # always the shuffle join: below the broadcast threshold the plan would differ from that of large inputs
-    good = labels.where("quality = 1").select("doc_id").distinct().withColumn("_good", F.lit(1)).hint("merge")
-    rows = documents(docs).join(good, "doc_id", "left").select("doc_id", F.xxhash64("doc_id", "text").alias("_key"), F.coalesce("_good", F.lit(0)).alias("_good"), "text")
-    return rows.mapInArrow(counted, "doc_id long, _key long, _good int, _b array<long>, _c array<long>, _n array<long>")
+    return rows.select("_key", "_good", "text").mapInArrow(counted, "_key long, _event long, _n long")
 
 
-def _smoothed(kind: str, prior: float) -> Column:
-    """A model's probability of word ``_c`` after ``_b``: ``kind`` tells the columns of its counts."""
-    p1 = (F.col(f"{kind}1") + prior / F.col("_v")) / (F.col(f"{kind}0") + prior)
-    return (F.col(f"{kind}2") + prior * p1) / (F.col(f"{kind}b") + prior)
+def models(cells: DataFrame) -> DataFrame:
+    """``_event`` with its counts in the target (``t``) and in all documents (``a``)."""
+    n, good = F.shiftright("_n", 1), F.col("_n").bitwiseAND(1)
+    return cells.groupBy("_event").agg(F.sum(n * good).alias("t"), F.sum(n).alias("a"))
 
 
-def word_differences(cells: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """``_b``, ``_c`` and ``_loss`` (target's bits minus the background's) of all bigrams; cells: ``_b``, ``_c``, ``_n``, ``_good``."""
-    two = written(
-        cells.groupBy("_b", "_c").agg(F.sum(F.col("_n") * F.col("_good")).alias("t2"), F.sum("_n").alias("a2")), "lm-bigrams"
-    )
-    words = written(two.groupBy("_c").agg(F.sum("t2").alias("t1"), F.sum("a2").alias("a1")), "lm-words")
-    before = two.groupBy("_b").agg(F.sum("t2").alias("tb"), F.sum("a2").alias("ab"))
-    totals = words.agg(F.sum("t1").alias("t0"), F.sum("a1").alias("a0"), F.count(F.lit(1)).alias("_v"))
-    counts = two.join(words, "_c").join(before, "_b").crossJoin(F.broadcast(totals))  # one row
-    return counts.select("_b", "_c", (F.log2(_smoothed("a", prior)) - F.log2(_smoothed("t", prior))).alias("_loss"))
+def _loss(count: Column, prior: float) -> Column:
+    """Bits of an event, up to a constant that both models share."""
+    return -F.log2(count + prior)
 
 
 def word_cross_entropy(docs: DataFrame, labels: DataFrame, prior: float = PRIOR) -> DataFrame:
     """doc_id, n_tokens and score (target loss minus background loss per token, in bits) of each document."""
-    rows = written(bigrams(docs, labels), "lm-rows")
-    cells = rows.select("_key", "_good", F.explode(F.arrays_zip("_b", "_c", "_n")).alias("_x")).select("_key", "_good", "_x._b", "_x._c", "_x._n")
-    differences = written(word_differences(cells, prior), "lm-differences")
+    rows = labelled(docs, labels)
+    size = F.octet_length("text").cast("long") + 1
+    target, whole = rows.agg(F.coalesce(F.sum(size * F.col("_good")), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+    scale = target / whole if target else 1.0
+    cells = events(rows)
+    n, good = F.shiftright("_n", 1), F.col("_n").bitwiseAND(1)
+    met = cells.join(models(cells).hint("merge"), "_event")
+    difference = _loss(F.col("t") - n * good, prior) - _loss((F.col("a") - n) * scale, prior)
     # rows that share a key are equal, so the mean is that of each
-    means = cells.join(differences.hint("merge"), ["_b", "_c"]).groupBy("_key").agg(
-        (F.sum(F.col("_n") * F.col("_loss")) / F.sum("_n")).alias("score")
-    )
-    sizes = rows.select("doc_id", "_key", F.aggregate("_n", F.lit(0).cast("long"), lambda x, n: x + n).alias("n_tokens"))
-    return sizes.join(means, "_key").select("doc_id", "n_tokens", "score")
+    means = met.groupBy("_key").agg((F.sum(n * difference) / F.sum(n)).alias("score"), F.sum(n).alias("_tokens"))
+    copies = rows.groupBy("_key", "doc_id").agg(F.count(F.lit(1)).alias("_copies"))
+    scored = copies.join(means, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return scored.select("doc_id", F.floor(F.col("_tokens") / F.col("_copies")).alias("n_tokens"), "score")
 
 
 @query("op5_cross_entropy")

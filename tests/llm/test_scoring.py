@@ -44,43 +44,6 @@ def test_quadratic_discriminant_equals_the_formula():
     assert np.allclose(g.log_density(x), want)
 
 
-def test_cross_entropy_equals_brute_force(spark):
-    rows = [(1, "abcab 😀"), (2, "bbbb a"), (3, None), (4, ""), (None, "cab"), (5, "xyz" * 50), (5, "xyz")]
-    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (5, None), (None, 1)], "doc_id long, quality int")
-    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n int")
-    counts = collections.Counter(c for _, t in rows for c in t or "")
-    known = sorted(counts, key=lambda c: (-counts[c], c))[:4]
-    number, size = {c: k + 2 for k, c in enumerate(known)}, len(known) + 2
-
-    def trigrams(text):
-        line = [0, 0, *(number.get(c, 1) for c in text or ""), 0]
-        return list(zip(line, line[1:], line[2:]))
-
-    def loss(texts):
-        three, two, one, pairs, singles = (collections.Counter() for _ in range(5))
-        for a, b, c in (g for t in texts for g in trigrams(t)):
-            three[a, b, c] += 1
-            two[b, c] += 1
-            one[c] += 1
-            pairs[a, b] += 1
-            singles[b] += 1
-        total, p = sum(one.values()), lm_scoring.PRIOR
-
-        def bits(a, b, c):
-            p1 = (one[c] + p / size) / (total + p)
-            p2 = (two[b, c] + p * p1) / (singles[b] + p)
-            return -math.log2((three[a, b, c] + p * p2) / (pairs[a, b] + p))
-
-        return bits
-
-    target, background = loss([rows[0][1]]), loss([t for _, t in rows])
-    got = sorted((r.n_tokens, r.score) for r in lm_scoring.cross_entropy_difference(docs, labels, 6).collect())
-    want = sorted((len(g), sum(target(*x) - background(*x) for x in g) / len(g)) for g in (trigrams(t) for _, t in rows))
-    assert [n for n, _ in got] == [n for n, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-5)
-    assert lm_scoring.cross_entropy_difference(docs.limit(0), labels).count() == 0
-    assert lm_scoring.cross_entropy_difference(docs, labels.limit(0)).count() == len(rows)
-
-
 SHAPES = [
     re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
@@ -230,28 +193,39 @@ def test_word_models_equal_brute_force(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (5, None), (6, 1), (None, 1)], "doc_id long, quality int")
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n int")
     pairs = lambda t: list(zip(["", *(t or "").split()], [*(t or "").split(), ""]))
-    size = len({c for _, t in rows for _, c in pairs(t)})
-
-    def loss(texts):
-        two = collections.Counter(x for t in texts for x in pairs(t))
-        one, before = collections.Counter(), collections.Counter()
-        for (b, c), n in two.items():
-            one[c] += n
-            before[b] += n
-        p = lm_scoring.PRIOR
-        p1 = lambda c: (one[c] + p / size) / (sum(one.values()) + p)
-        return lambda b, c: -math.log2((two[b, c] + p * p1(c)) / (before[b] + p))
-
-    target, background = loss([rows[0][1], rows[7][1], rows[8][1]]), loss([t for _, t in rows])
-    want = sorted((len(g), sum(target(*x) - background(*x) for x in g) / len(g)) for g in (pairs(t) for _, t in rows))
+    size = lambda texts: sum(len((t or "").encode()) + 1 for t in texts)
+    good = [t for i, t in rows if i in (1, 6)]
+    target, whole = (collections.Counter(x for t in texts for x in pairs(t)) for texts in (good, [t for _, t in rows]))
+    scale, p = size(good) / size([t for _, t in rows]), lm_scoring.PRIOR
+
+    def score(i, text):
+        own = collections.Counter(pairs(text))
+        bits = lambda x: math.log2((whole[x] - own[x]) * scale + p) - math.log2(target[x] - own[x] * (i in (1, 6)) + p)
+        return sum(n * bits(x) for x, n in own.items()) / sum(own.values())
+
+    want = sorted((len(pairs(t)), score(i, t)) for i, t in rows)
     got = sorted((r.n_tokens, r.score) for r in lm_scoring.word_cross_entropy(docs, labels).collect())
     assert [n for n, _ in got] == [n for n, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
     assert lm_scoring.word_cross_entropy(docs.limit(0), labels).count() == 0
     assert lm_scoring.word_cross_entropy(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_a_label_alone_changes_little(spark):
+    """Good texts with and without a label score alike, since no text meets its own words; other texts score worse."""
+    random.seed(8)
+    kinds = {"good": [f"g{k}" for k in range(60)], "bad": [f"b{k}" for k in range(60)]}
+    texts = [(k, kind, " ".join(random.choice(words) for _ in range(200))) for kind, words in kinds.items() for k in range(1000 * (kind == "bad"), 1000 * (kind == "bad") + 80)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in texts] + [(5000, "hot words " * 3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(kind == "good")) for i, kind, _ in texts if i % 2], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in lm_scoring.word_cross_entropy(docs, labels).collect()}
+    mean = lambda kind, odd: np.mean([got[i] for i, k, _ in texts if k == kind and i % 2 == odd])
+    assert abs(mean("good", 1) - mean("good", 0)) < 0.1 < 0.5 < mean("bad", 0) - mean("good", 0)
+    assert max(got[i] for i, k, _ in texts if k == "good") < min(got[i] for i, k, _ in texts if k == "bad")
+
+
 def test_word_tables_grow_with_the_input(spark):
-    docs = spark.createDataFrame([(1, " ".join(f"字{k}" for k in range(5000))), (2, " ".join(f"語{k}" for k in range(5000)))], "doc_id long, text string")
+    one, two = (" ".join(f"{sign}{k}" for k in range(5000)) for sign in "字語")
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one), (4, two)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     got = {r.doc_id: r.score for r in lm_scoring.word_cross_entropy(docs, labels).collect()}
-    assert got[1] < 0 < got[2]
+    assert got[3] < 0 < got[4] and got[1] == pytest.approx(got[2]) == pytest.approx(got[4])  # the label of 1 is its own
