@@ -21,8 +21,12 @@ LINES = "array<string>"
 
 def parse_unified_diff(df: DataFrame, id: str = "instance_id", col: str = "diff") -> DataFrame:
     """One row per file of a diff; chunks without a git header are dropped."""
-    chunks = df.select(id, F.posexplode(split_files(F.col(col))).alias("pos", "_chunk"))
-    lines = chunks.select(id, "pos", chunk_lines(F.col("_chunk")).alias("_lines"))
+    return parse_chunks(df.select(id, F.posexplode(split_files(F.col(col))).alias("pos", "chunk")), id)
+
+
+def parse_chunks(chunks: DataFrame, id: str = "path") -> DataFrame:
+    """One row per chunk of a diff (``pos``, ``chunk``) that has a git header: a diff of any size, chunk by chunk."""
+    lines = chunks.select(id, "pos", chunk_lines(F.col("chunk")).alias("_lines"))
     # a generator drops the headless chunks, so that no filter repeats the extraction
     named = F.filter(F.array(extract_file_info(F.col("_lines"))), lambda i: i["filename"].isNotNull())
     files = lines.select(id, "pos", "_lines", F.inline(named))

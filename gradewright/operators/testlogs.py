@@ -49,6 +49,25 @@ def parse_test_log(logs: DataFrame, log: str = "log") -> DataFrame:
     )
 
 
+def parse_log_lines(lines: DataFrame, keys: Sequence[str], no: str = "line_no", text: str = "line") -> DataFrame:
+    """As :func:`parse_test_log` for logs that lie in a table of lines, so that no log has to fit a cell.
+
+    ``keys`` name a log, ``no`` counts its lines. A log's first summary heading is a minimum by key, combined in each
+    task; only status lines are joined to it, and those of a hot log are spread.
+    """
+    keys = list(keys)
+    has_codes = F.col(text).contains("\x1b")
+    clean = lines.select(*keys, F.col(no).alias("pos"), F.when(has_codes, strip_ansi(F.col(text))).otherwise(F.col(text)).alias("_line"))
+    line = F.col("_line")
+    heads = clean.where(line.contains(SUMMARY)).groupBy(*keys).agg(F.min("pos").alias("_head"))
+    word = reduce(or_, [line.contains(status) for status in STATUSES])
+    found = skew_join(clean.where(word & line.rlike(CANDIDATE)), heads, keys, "left").where("_head IS NULL OR pos > _head")
+    return found.select(
+        *keys, (F.col("pos") - F.coalesce("_head", F.lit(0))).alias("pos"), F.regexp_extract(line, TEST_LINE, 1).alias("test"),
+        F.regexp_extract(line, "[A-Z]+", 0).alias("status"),
+    )
+
+
 def log_order(batch: Column, pos: Column) -> Column:
     """Order of all lines of an instance: by log, then by place. A log, being one text, has fewer than 2 ** 31 lines."""
     return (batch.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + pos).cast("decimal(38,0)")

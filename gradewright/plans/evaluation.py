@@ -53,11 +53,22 @@ def phase(df, name):
     return df.where(F.col("phase") == name).drop("phase")
 
 
-@query("parse_test_log", f"""WITH {RUNS}
+LINES = f"""WITH {RUNS}
  SELECT instance_id, phase, test, status FROM runs
  UNION ALL SELECT instance_id, phase, test, 'ERROR' FROM runs WHERE n % 3 = 0
  UNION ALL SELECT instance_id, phase, '[1] t.py:3: why', 'SKIPPED' FROM runs
- UNION ALL SELECT instance_id, phase, 'tests/noise.py::early', 'PASSED' FROM runs WHERE n = 7""")
+ UNION ALL SELECT instance_id, phase, 'tests/noise.py::early', 'PASSED' FROM runs WHERE n = 7"""
+
+
+@query("parse_log_lines", LINES)
+def _(spark, sf):
+    logs = carriers.test_logs(spark, sf).withColumn("log_id", F.xxhash64("log"))
+    keys = ["instance_id", "phase", "batch", "log_id"]
+    lines = logs.select(*keys, F.posexplode(F.split("log", "\n")).alias("line_no", "line"))
+    return testlogs.parse_log_lines(lines, keys).select("instance_id", "phase", "test", "status")
+
+
+@query("parse_test_log", LINES)
 def _(spark, sf):
     return parsed(spark, sf).drop("pos")
 

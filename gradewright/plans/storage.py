@@ -105,6 +105,13 @@ def _(spark, sf):
     return parsed.select("filename", "status", "old_filename", "is_test")
 
 
+@query("read_patch_records", f"WITH {FILES} SELECT filename, status, old_filename, is_test FROM files")
+def _(spark, sf):
+    path = written_text(spark, diff_texts(spark, sf).select("diff"), "patches", records=2_000)
+    parsed = diffs.parse_chunks(documents.read_patch_records(spark, f"{path}/*.txt", 65_536))
+    return parsed.select("filename", "status", "old_filename", "is_test")
+
+
 # Payloads of a crawler.
 def release_pages(spark, sf):
     return carriers.table(spark, sf, "orders").selectExpr(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from gradewright import session
+from gradewright.operators import diffs, testlogs
 from gradewright.operators.curation import is_valid_release
 from gradewright.plans import jobs
 from gradewright.sources import documents, keyed, payloads, tables
@@ -243,3 +244,28 @@ def test_late_first_arrivals_pass_and_repeats_do_not(spark, tmp_path):
     rows = spark.read.parquet(out).collect()
     assert sorted((r.repo, r.tag_name) for r in rows) == [("r", "v0"), ("r", "v1"), ("r", "v2")]
     assert {r.published and r.published.year for r in rows} == {1999, 2025, None}
+
+
+@pytest.mark.parametrize("block", [9, 400])
+def test_patch_records_equal_whole_files(spark, tmp_path, block):
+    one = "diff --git a/x{k}.py b/x{k}.py\n--- a/x{k}.py\n+++ b/x{k}.py\n@@ -1 +1 @@\n-é{k}\n+diff --git {k}\n"
+    for name, head in (("a.txt", ""), ("b.txt", "From: x\n\n"), ("c.txt", "\n")):
+        write(tmp_path, name, head + "".join(one.format(k=k) for k in range(30)))
+    glob = str(tmp_path / "*.txt")
+    want = diffs.parse_unified_diff(documents.read_patch_files(spark, glob), id="path")
+    got = diffs.parse_chunks(documents.read_patch_records(spark, glob, block))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.withColumn("pos", F.col("pos").cast("long")).collect()))
+    lines = documents.read_log_lines(spark, str(tmp_path / "a.txt"), block).orderBy("line_no").collect()
+    assert [r.line for r in lines] == "".join(one.format(k=k) for k in range(30)).splitlines() and lines[-1].line_no == 179
+
+
+def test_logs_as_lines_equal_logs_as_cells(spark):
+    heading = "=== short test summary info ==="
+    logs = {
+        "a": f"PASSED t.py::early\n{heading}\nFAILED t.py::x - why\n{heading}\n\x1b[31mPASSED\x1b[0m t.py::y\n", "b": "PASSED t.py::no_heading\nnoise",
+        "c": f"{heading}\n" + "".join(f"PASSED t.py::h[{k}]\n" for k in range(3000)), "d": "",
+    }
+    cells = spark.createDataFrame(list(logs.items()), "k string, log string")
+    lines = cells.select("k", F.posexplode(F.split("log", "\n")).alias("line_no", "line"))
+    want = testlogs.parse_test_log(cells)
+    assert sorted(map(tuple, testlogs.parse_log_lines(lines, ["k"]).collect())) == sorted(map(tuple, want.collect()))
