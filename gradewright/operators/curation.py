@@ -115,6 +115,32 @@ def top_releases_per_repo(releases: DataFrame, n: int = 30) -> DataFrame:
     )
 
 
+def release_state(valid: DataFrame, n: int = 30) -> DataFrame:
+    """What of a set of valid releases counts for curation: (repo, releases_count, top), mergeable with that of other sets.
+
+    ``top`` has the ``n`` highest final versions, best first, as (version, order, tag_name); equal versions keep input order.
+    """
+    best = top_releases_per_repo(valid, n)
+    items = F.sort_array(F.collect_list(F.struct("version", (-F.col("pos")).alias("order"), "tag_name")), asc=False)
+    tops = best.groupBy("repo").agg(items.alias("top"))
+    counts = valid.groupBy("repo").agg(F.count(F.lit(1)).alias("releases_count"))
+    return _with_top(counts.join(tops, "repo", "left"), tops)
+
+
+def _with_top(rows: DataFrame, typed: DataFrame) -> DataFrame:
+    none = F.array().cast(typed.schema["top"].dataType)
+    return rows.withColumn("top", F.coalesce("top", none)).select("repo", "releases_count", "top")
+
+
+def merge_release_states(states: DataFrame, n: int = 30) -> DataFrame:
+    """One state per repository of those of disjoint sets of releases; equal to the state of all releases at once.
+
+    A repository brings ``n`` releases of each set together, not all it has.
+    """
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, n)
+    return states.groupBy("repo").agg(F.sum("releases_count").alias("releases_count"), best.alias("top"))
+
+
 def require_release(repos: DataFrame, top_releases: DataFrame) -> DataFrame:
     """Repositories that kept at least one release."""
     names = top_releases.select(F.col("repo").alias("full_name")).distinct()

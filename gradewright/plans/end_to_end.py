@@ -69,6 +69,21 @@ def _(spark, sf):
     return specs.select("instance_id", "FAIL_TO_PASS", "PASS_TO_PASS", "processed")
 
 
+@query("curated_state", f"""WITH valid AS (SELECT * FROM orders WHERE {VALID}),
+ best AS (SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (
+     PARTITION BY o_custkey ORDER BY {A} DESC, {B} DESC, {C} DESC, o_orderkey) AS rank
+   FROM valid WHERE o_orderkey % 6 < 3) WHERE rank <= 3)
+ SELECT {REPO} AS repo, n AS releases_count, top FROM (
+   SELECT o_custkey, count(*) AS n FROM valid GROUP BY 1 HAVING count(*) >= 2)
+ JOIN (SELECT o_custkey, string_agg(o_orderkey, '|' ORDER BY rank) AS top FROM best GROUP BY 1) USING (o_custkey)""")
+def _(spark, sf):
+    path, releases = scratch_dir(spark, "releases"), carriers.releases(spark, sf)
+    for batch, part in ((0, "pos % 3 = 0"), (1, "pos % 3 = 1"), (2, "pos % 3 = 2"), (1, "pos % 3 = 1")):  # one comes twice
+        jobs.store_releases(releases.where(part), path, batch, 3, MIN_DATE, buckets=16)
+    found = jobs.curated_state(spark, path, 3, 2)
+    return found.withColumn("top", F.array_join(F.transform("top", lambda r: (-r["order"]).cast("string")), "|"))
+
+
 @query("labels_of_statuses", f"""WITH {COMBINED}, {F2P}, {P2P}
  SELECT instance_id, 'f2p' AS kind, test FROM f2p UNION ALL SELECT instance_id, 'p2p', test FROM p2p""")
 def _(spark, sf):

@@ -109,6 +109,19 @@ def labels_of_statuses(spark: SparkSession, path: str, selectors: DataFrame) ->
     return labels.derive_labels(selectors, keyed.read_buckets(spark, path))
 
 
+def store_releases(releases: DataFrame, path: str, batch: int, top: int = 30, min_date: str = "2024-06-01", buckets: int = keyed.BUCKETS) -> None:
+    """Keep what newly crawled releases add to their repositories' curation; a batch that comes again replaces itself."""
+    valid = releases.where(curation.is_valid_release(min_date=min_date))
+    state = curation.release_state(valid, top).withColumn("part", F.lit(batch))
+    keyed.upsert_buckets(state, path, ["repo", "part"], None, batch, buckets=buckets)
+
+
+def curated_state(spark: SparkSession, path: str, top: int = 30, min_releases: int = 5) -> DataFrame:
+    """(repo, releases_count, top) of repositories with enough valid releases and one to use, over all stored batches."""
+    merged = curation.merge_release_states(keyed.read_buckets(spark, path), top)
+    return merged.where((F.col("releases_count") >= min_releases) & (F.size("top") > 0))
+
+
 def schedule_evaluations(
     specs: DataFrame,
     results: DataFrame,

@@ -22,7 +22,7 @@ EAGER = {
     "read_results_document", "read_results_blocks", "read_patch_records", "read_instances_json", "read_instances_published", "write_published_split",
     "read_crawl_list", "read_keyed_cache", "read_patch_files", "write_instances", "write_final_results",
     "read_keyed", "compact_keyed", "save_results", "load_results", "store_test_logs", "stream_upsert_keyed", "stream_new_releases",
-    "stream_eval_progress", "upsert_buckets", "stream_upsert_buckets", "stream_eval_results", "labels_of_statuses",
+    "stream_eval_progress", "upsert_buckets", "stream_upsert_buckets", "stream_eval_results", "labels_of_statuses", "curated_state",
 }
 
 

@@ -54,3 +54,13 @@ def test_counts_and_totals(spark):
     assert counts == {("r", 0): (1, 0, 1), ("s", 0): (0, 1, 0), (None, 1): (1, 1, 1)}
     assert tuple(curation.results_metadata(df).first()) == (2, 3, 4)
     assert tuple(curation.results_metadata(df.limit(0)).first()) == (0, 0, 0)
+
+
+def test_states_of_parts_merge_to_the_whole(spark):
+    rows = [(f"r{k % 4}", f"v{k % 3}.{k * 7 % 5}.{k % 2}" if k % 9 else "nightly", k) for k in range(200)] + [("only", "nightly", 900)]
+    df = spark.createDataFrame(rows, "repo string, tag_name string, pos long")
+    whole = curation.release_state(df, 5)
+    parts = [curation.release_state(df.where(f"pos % 3 = {k}"), 5) for k in range(3)]
+    merged = curation.merge_release_states(parts[0].union(parts[1]).union(parts[2]), 5)
+    assert sorted(map(repr, merged.collect())) == sorted(map(repr, whole.collect()))
+    assert {r.repo: (r.releases_count, len(r.top)) for r in merged.collect()}["only"] == (1, 0)
