@@ -11,7 +11,7 @@ left to those at its right; matrices are combined associatively in groups of ``F
 (up), the best states at inner boundaries are chosen level by level (down), and every chunk is traced back by itself
 from its two states. Only the matrices of one group meet in one task. Other documents are one chunk.
 
-Pieces never hold a space sign behind another sign, so words are independent: inside a chunk, whole words are encoded
+Pieces never hold a space sign behind another sign, so words are independent: inside a chunk, whole words are merged
 once and remembered (bounded), and only a word cut by a boundary is walked for each state.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; signs outside the vocabulary become
@@ -37,6 +37,8 @@ from .registry import documents, query, table, written
 CHUNK = 16_384
 FAN = 64
 MEMORY = 150_000  # words, and pairs of pieces, that a worker remembers
+SHORT = 48  # characters of a word that is merged rather than walked
+NEVER = float("-inf")
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 ROWS_AT_ONCE = 256
@@ -45,15 +47,20 @@ State = tuple[int, int]  # start and end of a piece, relative to a boundary
 
 
 class _Words(dict):
-    """word -> ids as bytes; starts anew when full."""
+    """word -> ids as bytes; when full, words that were not met again since it was last full go."""
 
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model = model
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.model.ids(self.model.trace(word, 0, None, len(word)))
-        if len(self) >= MEMORY:
+        ids = self.older.get(word)
+        if ids is None:
+            # a whole word has no state at its left, so the best path is what merging gives; long ones are walked
+            ids = self.model.ids(self.model.merged(word) if len(word) <= SHORT else self.model.trace(word, 0, None, len(word)))
+        if len(self) >= MEMORY // 2:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
@@ -87,16 +94,20 @@ class Model:
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging: the best pair first, the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                score = self.score.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if at < 0:
-                return parts
+        parts, score = list(text), self.score.get
+        scores = [score(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == NEVER:
+                break
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], NEVER)
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], NEVER)
+        return parts
 
     def step(self, before: str, piece: str) -> bool:
         """Whether the step weighs 0."""
