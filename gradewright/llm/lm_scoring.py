@@ -36,11 +36,10 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 TEXT_BYTES = 4 << 20
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, ``_key`` (of doc_id and text) and ``_good`` of every row; Spark chooses the join by the labels' size."""
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with ``_good``, whether their doc_id is labelled so; Spark chooses the join by the labels' size."""
     good = labels.where("quality = 1").select("doc_id").distinct().withColumn("_good", F.lit(1))
-    rows = documents(docs).join(good, "doc_id", "left")
-    return rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"), F.coalesce("_good", F.lit(0)).alias("_good"))
+    return rows.join(good, "doc_id", "left").withColumn("_good", F.coalesce("_good", F.lit(0)))
 
 
 def events(rows: DataFrame) -> DataFrame:
@@ -78,9 +77,10 @@ def _loss(count: Column, prior: float) -> Column:
 
 def word_cross_entropy(docs: DataFrame, labels: DataFrame, prior: float = PRIOR) -> DataFrame:
     """doc_id, n_tokens and score (target loss minus background loss per token, in bits) of each document."""
-    rows = labelled(docs, labels)
-    size = F.octet_length("text").cast("long") + 1
-    target, whole = rows.agg(F.coalesce(F.sum(size * F.col("_good")), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+    texts = documents(docs).withColumn("_key", F.xxhash64("doc_id", "text"))
+    rows = labelled(texts, labels)
+    sizes = labelled(texts.select("doc_id", (F.octet_length("text").cast("long") + 1).alias("_size")), labels)  # no text is moved
+    target, whole = sizes.agg(F.coalesce(F.sum(F.col("_size") * F.col("_good")), F.lit(0)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     scale = target / whole if target else 1.0
     cells = events(rows)
     n, good = F.shiftright("_n", 1), F.col("_n").bitwiseAND(1)
@@ -88,7 +88,7 @@ def word_cross_entropy(docs: DataFrame, labels: DataFrame, prior: float = PRIOR)
     difference = _loss(F.col("t") - n * good, prior) - _loss((F.col("a") - n) * scale, prior)
     # rows that share a key are equal, so the mean is that of each
     means = met.groupBy("_key").agg((F.sum(n * difference) / F.sum(n)).alias("score"), F.sum(n).alias("_tokens"))
-    copies = rows.groupBy("_key", "doc_id").agg(F.count(F.lit(1)).alias("_copies"))
+    copies = texts.groupBy("_key", "doc_id").agg(F.count(F.lit(1)).alias("_copies"))
     scored = copies.join(means, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return scored.select("doc_id", F.floor(F.col("_tokens") / F.col("_copies")).alias("n_tokens"), "score")
 
