@@ -8,10 +8,12 @@ by the same ``PRIOR`` per event, so that an event that neither has seen says not
 are taken out of both models before it is scored. A document's score is the mean over its tokens of the target's loss
 minus the background's, in bits: below zero reads more like the target.
 
-Events are counted within each document first and, for the models, within each task before they are shuffled.
-The table of events is a Spark table that grows with the input; nothing caps it and nothing of it reaches the driver
-but the two sizes. A document's events meet it in a sort-merge join, where a hot event has one row for each document that holds
-it and one of the table, so that Spark can split its rows. Texts are read twice rather than stored as events.
+Events are counted within each document first. All events of the corpus have their counts; nothing caps them and nothing
+of them reaches the driver but the two sizes. Two ways lead a document's events to them, with equal results. An event of two
+common words (those that make up a 65,536th of all words or more, so at most 65,536) may be hot: such events are
+counted in each task before they are shuffled, and the documents' rows meet the table of counts in a sort-merge join, where
+Spark can split the rows of a hot one. Any other event has as few rows as its rarer word, so its rows are shuffled once and
+counted and scored where they meet. Texts are read anew rather than stored as events.
 
 Edge cases: a null or empty text has the end as its only token; no target text scores every document by the background
 alone; labels that are null or not 1 make no target, a doc_id labelled twice counts once; a null doc_id is scored and never a
@@ -24,14 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .registry import documents, query, table
+from .registry import documents, query, table, written
 from .tokens import slices
 
 PRIOR = 0.5  # events that each model adds to every event
 EDGE = 0
+COMMON = 65_536
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TEXT_BYTES = 4 << 20
 
@@ -42,26 +45,49 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(good, "doc_id", "left").withColumn("_good", F.coalesce("_good", F.lit(0)))
 
 
-def events(rows: DataFrame) -> DataFrame:
-    """``_key``, ``_event`` (a bigram's hash) and ``_n``: twice its count in the text, and one more if the text is good."""
+def _hashes(text: bytes) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in text.split()], "u8")
+
+
+def common_words(texts: DataFrame, most: int = COMMON) -> np.ndarray:
+    """Sorted hashes of the words that make up a ``most``-th of all words or more: at most ``most``."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for batch in (part for whole in batches for part in slices(whole, most=TEXT_BYTES)):
+            words = [_hashes(t.as_py()) for t in batch.column(0).cast(pa.binary())]
+            word, n = np.unique(np.concatenate([*words, np.zeros(0, "u8")]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view("i8")), pa.array(n.astype("i8"))], names=["_word", "_n"])
 
-        digest = xxhash.xxh64_intdigest
+    counts = texts.select("text").mapInArrow(counted, "_word long, _n long").groupBy("_word").agg(F.sum("_n").alias("_n"))
+    counts = written(counts, "lm-words")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    found = [r[0] for r in counts.where(F.col("_n") * most >= total).select("_word").collect()]  # at most ``most``
+    return np.unique(np.array([*found, EDGE], "i8").view("u8"))
+
+
+def events(rows: DataFrame, common: np.ndarray) -> DataFrame:
+    """``_key``, ``_event`` (a bigram's hash), ``_n`` (twice its count in the text, and one more if the text is good) and
+    ``_common`` (whether both its words are)."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, most=TEXT_BYTES)):
-            found, often = [], []
+            found, often, known = [], [], []
             for text, good in zip(batch.column(2).cast(pa.binary()), batch.column(1).to_pylist()):
-                line = np.array([EDGE, *[digest(w, 42) for w in text.as_py().split()], EDGE], "u8")
-                event, n = np.unique(line[:-1] * MIX ^ line[1:], return_counts=True)
+                line = np.concatenate([[np.uint64(EDGE)], _hashes(text.as_py()), [np.uint64(EDGE)]])
+                event, first, n = np.unique(line[:-1] * MIX ^ line[1:], return_index=True, return_counts=True)
+                at = np.minimum(np.searchsorted(common, line), len(common) - 1)
+                often_met = common[at] == line
                 found.append(event.view("i8"))
                 often.append(2 * n + good)
+                known.append((often_met[:-1] & often_met[1:])[first])
             if found:
                 keys = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
-                columns = [pa.array(keys), pa.array(np.concatenate(found)), pa.array(np.concatenate(often).astype("i8"))]
-                yield pa.RecordBatch.from_arrays(columns, names=["_key", "_event", "_n"])
+                columns = [pa.array(keys), pa.array(np.concatenate(found)), pa.array(np.concatenate(often).astype("i8")), pa.array(np.concatenate(known))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_key", "_event", "_n", "_common"])
 
-    return rows.select("_key", "_good", "text").mapInArrow(counted, "_key long, _event long, _n long")
+    return rows.select("_key", "_good", "text").mapInArrow(counted, "_key long, _event long, _n long, _common boolean")
 
 
 def models(cells: DataFrame) -> DataFrame:
@@ -75,16 +101,19 @@ def _loss(count: Column, prior: float) -> Column:
     return -F.log2(count + prior)
 
 
-def word_cross_entropy(docs: DataFrame, labels: DataFrame, prior: float = PRIOR) -> DataFrame:
+def word_cross_entropy(docs: DataFrame, labels: DataFrame, prior: float = PRIOR, most: int = COMMON) -> DataFrame:
     """doc_id, n_tokens and score (target loss minus background loss per token, in bits) of each document."""
     texts = documents(docs).withColumn("_key", F.xxhash64("doc_id", "text"))
     rows = labelled(texts, labels)
     sizes = labelled(texts.select("doc_id", (F.octet_length("text").cast("long") + 1).alias("_size")), labels)  # no text is moved
     target, whole = sizes.agg(F.coalesce(F.sum(F.col("_size") * F.col("_good")), F.lit(0)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     scale = target / whole if target else 1.0
-    cells = events(rows)
+    cells = events(rows, common_words(texts, most))
     n, good = F.shiftright("_n", 1), F.col("_n").bitwiseAND(1)
-    met = cells.join(models(cells).hint("merge"), "_event")
+    common = cells.where("_common").drop("_common")
+    alike = Window.partitionBy("_event")  # an event with a word that is not common has few rows
+    rare = cells.where("NOT _common").select("_event", "_key", "_n").withColumns({"t": F.sum(n * good).over(alike), "a": F.sum(n).over(alike)})
+    met = common.join(models(common).hint("merge"), "_event").select("_event", "_key", "_n", "t", "a").unionByName(rare)
     difference = _loss(F.col("t") - n * good, prior) - _loss((F.col("a") - n) * scale, prior)
     # rows that share a key are equal, so the mean is that of each
     means = met.groupBy("_key").agg((F.sum(n * difference) / F.sum(n)).alias("score"), F.sum(n).alias("_tokens"))

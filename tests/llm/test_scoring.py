@@ -188,7 +188,8 @@ def test_discovery_goes_on_until_nothing_changes(spark):
     assert {f"v{k}n{n}" for k in range(1, 8) for n in range(12)} <= got
 
 
-def test_word_models_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [1, 12, 65_536])
+def test_word_models_equal_brute_force(spark, most):
     rows = [(1, "one two one  three"), (2, "two two 你好 ñandú"), (3, None), (4, ""), (None, "three one"), (5, "x y " * 50), (5, "x"), (6, "two one"), (6, "two one")]
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (5, None), (6, 1), (None, 1)], "doc_id long, quality int")
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n int")
@@ -204,7 +205,7 @@ def test_word_models_equal_brute_force(spark):
         return sum(n * bits(x) for x, n in own.items()) / sum(own.values())
 
     want = sorted((len(pairs(t)), score(i, t)) for i, t in rows)
-    got = sorted((r.n_tokens, r.score) for r in lm_scoring.word_cross_entropy(docs, labels).collect())
+    got = sorted((r.n_tokens, r.score) for r in lm_scoring.word_cross_entropy(docs, labels, most=most).collect())
     assert [n for n, _ in got] == [n for n, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
     assert lm_scoring.word_cross_entropy(docs.limit(0), labels).count() == 0
     assert lm_scoring.word_cross_entropy(docs, labels.limit(0)).count() == len(rows)
