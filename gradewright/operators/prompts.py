@@ -89,10 +89,10 @@ def with_prs(features: DataFrame, pull_requests: DataFrame) -> DataFrame:
     """
     key = ["repo", "tag", "feature_type", "pos"]
     links = features.select(*key, F.posexplode("pr_links").alias("link_pos", "_link")).withColumn("pr_number", extract_pr_number(F.col("_link")))
-    found = skew_join(links.drop("_link"), pull_requests, ["repo", "pr_number"], "inner")
+    found = skew_join(links.drop("_link"), pull_requests, ["repo", "pr_number"], "inner", sorted_merge=True)
     fields = F.struct("link_pos", "pr_number", "title", "state", "merged", "files", "detailed_description")
     blocks = found.groupBy(*key).agg(F.array_sort(F.collect_list(fields)).alias("prs"))
-    return features.join(blocks, key)
+    return features.join(blocks.hint("merge"), key)
 
 
 def render_feature_prompt(df: DataFrame, template: str = FEATURE_TEMPLATE) -> DataFrame:

@@ -82,3 +82,8 @@ def test_totals_expand_counts(spark):
 def test_statuses_use_hash_aggregation(spark):
     text = plan(QUERIES["aggregate_param_status"](spark, SF))
     assert "SortAggregate" not in text and "partial_max_by" in text
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    text = plan(QUERIES["render_feature_prompt"](spark, SF))
+    assert text.count("SortMergeJoin") == 2
