@@ -185,15 +185,15 @@ def enhance_features(
         "pr_number", extract_pr_number(F.col("_link"))
     )
     texts = pr_analyses.select("repo", "pr_number", "detailed_description")
-    analysed = skew_join(links, texts, ["repo", "pr_number"], "inner")
+    analysed = skew_join(links, texts, ["repo", "pr_number"], "inner", sorted_merge=True)
     per_feature = analysed.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_prs"),
         F.min_by("detailed_description", "link_pos").alias("_first"),
         F.array_sort(F.collect_list(F.struct("link_pos", "pr_number"))).alias("_prs"),
     )
     joined = (
-        features.join(per_feature, key)
-        .join(responses.select(*key, F.col("text").alias("_reply")), key, "left")
+        features.join(per_feature.hint("merge"), key)
+        .join(responses.select(*key, F.col("text").alias("_reply")).hint("merge"), key, "left")
         .withColumn(
             "feature_detailed_description",
             F.when(F.col("n_prs") == 1, F.col("_first")).otherwise(F.col("_reply")),

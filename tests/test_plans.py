@@ -85,5 +85,5 @@ def test_statuses_use_hash_aggregation(spark):
 
 
 def test_exploded_sides_are_not_broadcast(spark):
-    text = plan(QUERIES["render_feature_prompt"](spark, SF))
-    assert text.count("SortMergeJoin") == 2
+    for name, joins in (("render_feature_prompt", 2), ("enhance_features", 3)):
+        assert plan(QUERIES[name](spark, SF)).count("SortMergeJoin") == joins
