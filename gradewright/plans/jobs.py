@@ -101,7 +101,8 @@ def store_statuses(logs: DataFrame, path: str, batch: int = 0, buckets: int = ke
     lines = testlogs.parse_test_log(logs)
     lines = lines.withColumn("pos", testlogs.log_order(F.col("batch"), F.col("pos"))).drop("batch")
     # told apart by their order alone, so an update that is repeated or late changes nothing
-    keyed.upsert_buckets(lines.select(*STATUS_KEYS, "status", "pos"), path, STATUS_KEYS, "pos", batch, by_batch=False, buckets=buckets)
+    last = testlogs.last_lines(lines, STATUS_KEYS)
+    keyed.upsert_buckets(last, path, STATUS_KEYS, "pos", batch, by_batch=False, buckets=buckets, unique=True)
 
 
 def labels_of_statuses(spark: SparkSession, path: str, selectors: DataFrame) -> DataFrame:

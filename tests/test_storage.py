@@ -269,3 +269,27 @@ def test_logs_as_lines_equal_logs_as_cells(spark):
     lines = cells.select("k", F.posexplode(F.split("log", "\n")).alias("line_no", "line"))
     want = testlogs.parse_test_log(cells)
     assert sorted(map(tuple, testlogs.parse_log_lines(lines, ["k"]).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_an_update_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(k):
+        seen.add(1)
+        return f"k{k}"
+
+    path = str(tmp_path / "table")
+    for number in range(2):
+        before = seen.value
+        rows = spark.range(20).repartition(1).select(key("id").alias("k"), (F.col("id") + 100 * number).alias("v"))
+        keyed.upsert_buckets(rows, path, ["k"], "v", number, by_batch=False, buckets=4, unique=True)
+        assert seen.value - before == 20
+    assert sorted(r.v for r in keyed.read_buckets(spark, path).collect()) == list(range(100, 120))
+
+
+def test_last_lines_keep_the_status_of_a_line_without_place(spark):
+    rows = [("a", "PASSED", None), ("b", "PASSED", None), ("b", "FAILED", 1), ("b", "SKIPPED", 2), (None, "ERROR", 3)]
+    lines = spark.createDataFrame(rows, "test string, status string, pos long").withColumn("pos", F.col("pos").cast("decimal(38,0)"))
+    found = {r.test: (r.status, r.pos) for r in testlogs.last_lines(lines, ["test"]).collect()}
+    assert found == {"a": ("PASSED", None), "b": ("SKIPPED", 2), None: ("ERROR", 3)}
