@@ -21,10 +21,10 @@ from .registry import query
 K = "o_orderkey"
 
 
-def written_text(spark, df, name, records=10_000):
+def written_text(spark, df, name, records=10_000, compression="none"):
     """Lines in files of at most ``records`` lines."""
     path = scratch_dir(spark, name)
-    df.write.option("maxRecordsPerFile", records).text(path)
+    df.write.option("maxRecordsPerFile", records).option("compression", compression).text(path)
     return path
 
 
@@ -33,7 +33,7 @@ def written_text(spark, df, name, records=10_000):
 def _(spark, sf):
     entry = F.struct("repository", "release", "analyzed_at", "enhanced_new_features")
     one = F.struct(F.struct(F.lit("now").alias("generated_at")).alias("metadata"), F.array(entry).alias("results"))
-    path = written_text(spark, carriers.results_document(spark, sf).select(F.to_json(one)), "results")
+    path = written_text(spark, carriers.results_document(spark, sf).select(F.to_json(one)), "results", compression="gzip")
     rows = documents.read_results_document(spark, path, multi_line=False)
     return rows.select("repository", "release", "pos", F.size("enhanced_new_features").alias("features"))
 

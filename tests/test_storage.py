@@ -8,7 +8,7 @@ import pytest
 from gradewright import session
 from gradewright.operators import diffs, testlogs
 from gradewright.operators.curation import is_valid_release
-from gradewright.plans import jobs
+from gradewright.plans import QUERIES, jobs, storage
 from gradewright.sources import documents, keyed, payloads, tables
 from gradewright.streaming import incremental
 
@@ -293,3 +293,10 @@ def test_last_lines_keep_the_status_of_a_line_without_place(spark):
     lines = spark.createDataFrame(rows, "test string, status string, pos long").withColumn("pos", F.col("pos").cast("decimal(38,0)"))
     found = {r.test: (r.status, r.pos) for r in testlogs.last_lines(lines, ["test"]).collect()}
     assert found == {"a": ("PASSED", None), "b": ("SKIPPED", 2), None: ("ERROR", 3)}
+
+
+def test_results_documents_are_written_compressed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "scratch_dir", lambda spark, name: str(tmp_path / name))
+    QUERIES["read_results_document"](spark, "/root/testdata/sf0.001")
+    files = [f.name for f in tmp_path.glob("results/part-*")]
+    assert files and all(f.endswith(".gz") for f in files)
