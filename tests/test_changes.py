@@ -111,6 +111,25 @@ def test_apply_hunks_edges(spark):
     assert {r.filename for r in status.collect() if not r.ok} == {"there", "missing"}
 
 
+def test_diffs_are_parsed_once_before_all_uses(spark):
+    rows = [("i", 0, "a", "modified", None, "@@ -1 +1 @@\n-1\n+2"), ("i", 1, "n", "renamed", "m", "")]
+    f = spark.createDataFrame([("i", "a", "1\n"), ("i", "m", "x"), ("i", "two", None), ("i", "two", "t")], FILES)
+    after, status = diffs.apply_hunks(f, spark.createDataFrame(rows, PATCHES))
+    assert any("/patches-" in file for file in status.inputFiles())
+    assert status.where("ok").count() == 2
+    want = [("a", "2\n"), ("n", "x"), ("two", "t"), ("two", None)]
+    assert sorted(((r.path, r.content) for r in after.collect()), key=str) == sorted(want, key=str)
+
+
+def test_plain_comparisons_equal_the_patterns(spark):
+    ends = ["", "\r", "\n", "\r\n", "\x85", "\u2028", "\u2029", "\x0b", " ", "+", "-", "@@", "@", "\\", "a", "\r\r", "\ra", "+\r"]
+    line = F.col("x")
+    found = spark.createDataFrame([(e,) for e in ends], "x string").select(
+        columns._begins(line, "@@", "+", " ", "-") == line.rlike("^(?:@@|[+ -]|$)"),
+        columns._begins(line, " ", "-") == line.rlike("^(?:[ -]|$)"), columns._begins(line, " ", "+") == line.rlike("^(?:[ +]|$)"))
+    assert all(all(r) for r in found.collect())
+
+
 PATCHES = "instance_id string, pos int, filename string, status string, old_filename string, patch string"
 FILES = "instance_id string, path string, content string"
 
