@@ -128,3 +128,9 @@ def test_components_equal_union_find(spark):
     got = layout.components(spark.createDataFrame(edges, "k string, a string, b string"), ["k"])
     assert {(r.k, r.node): r.root for r in got.collect()} == want
     assert layout.components(spark.createDataFrame([], "k string, a string, b string"), ["k"]).count() == 0
+
+
+def test_counting_heavy_keys_shares_the_shuffle(spark, hot):
+    plan = layout.heavy_keys(hot.distinct(), ["k"], 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter") == 1  # that of the result
+    assert layout.heavy_keys(spark.createDataFrame([(None,)] * 50, "k string"), ["k"], 5).count() == 0
