@@ -267,3 +267,14 @@ def test_pending_and_limit(spark):
     assert sorted(map(tuple, pending.collect())) == [("x", "b"), ("x", "c"), ("y", "b"), ("y", "c")]
     first = [r.instance_id for r in judging.shuffle_specs(specs, 1).collect()]
     assert first == [r.instance_id for r in judging.shuffle_specs(specs.repartition(3), 1).collect()]
+
+
+def test_logs_are_dealt_before_they_are_built(spark):
+    from gradewright.plans import evaluation
+
+    found = evaluation.outcomes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert found.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(instance_id" in found
+
+
+def test_status_is_the_first_word(spark):
+    assert statuses(spark, "\x1c\u3000 PASSED\u2028a FAILED\n  ERROR PASSED b") == {"a FAILED": "PASSED", "PASSED b": "ERROR"}

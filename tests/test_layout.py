@@ -130,6 +130,23 @@ def test_components_equal_union_find(spark):
     assert layout.components(spark.createDataFrame([], "k string, a string, b string"), ["k"]).count() == 0
 
 
+def test_dealt_keeps_a_key_in_one_task(spark):
+    rows = spark.range(3000).select(F.nullif(F.col("id") % 40, F.lit(7)).alias("k"), "id")
+    dealt = layout.dealt(rows, ["k"], rows=200)
+    assert dealt.rdd.getNumPartitions() == 15
+    assert dealt.select("k", F.spark_partition_id().alias("p")).distinct().count() == 40
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, rows.collect()))
+    assert "Exchange" in dealt._jdf.queryExecution().executedPlan().toString()
+    grouped = dealt.groupBy("k", "id").count()._jdf.queryExecution().executedPlan().toString()
+    assert grouped.count("Exchange hashpartitioning") == 1
+
+
+def test_dealt_spreads_a_hot_key(spark, hot):
+    dealt = layout.dealt(hot, ["k"], rows=200, heavy_rows=500)
+    assert dealt.where("k = 'hot'").select(F.spark_partition_id()).distinct().count() == 15
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, hot.collect()))
+
+
 def test_counting_heavy_keys_shares_the_shuffle(spark, hot):
     plan = layout.heavy_keys(hot.distinct(), ["k"], 100)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Filter") == 1  # that of the result
