@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 import pytest
@@ -77,6 +78,38 @@ def test_labels_are_of_changed_tests_with_all_their_parameters(spark):
         assert (status["g"], status["f[1]"], status["f"]) == (("FAILED", "FAILED", "FAILED") if phase == "before" else ("PASSED", "PASSED", "FAILED"))
 
 
+def test_labels_equal_their_rule_on_any_lines(spark):
+    """Against the rule by dictionaries: selectors with and without parameters, gaps, nulls, repeats, odd kinds."""
+    rng = random.Random(5)
+    tests, kinds = ["a", "a[1]", "a[2]", "b[1]", "b[2]", "b[]", "c", "d[x][y]", None], ["f2p", "p2p", "other", None]
+    ids = [*[f"i{k}" for k in range(60)], None]
+    rows = [(rng.choice(ids), rng.choice(kinds[:2] * 4 + kinds), rng.choice(["before", "after"] * 3 + ["later"]), pos, rng.choice(tests),
+             rng.choice(["PASSED"] * 4 + ["FAILED"] * 3 + ["SKIPPED", "ERROR", "UNKNOWN", "XFAIL", None])) for pos in range(900)]
+    lines = spark.createDataFrame(rows, "instance_id string, kind string, phase string, pos int, test string, status string")
+    asked = [(i, t) for i in [*ids, "none"] for t in [*tests, "a", "a[9]", "b", "d", "e[1]"] if rng.random() < 0.8]
+    last = {}
+    for i, kind, phase, _pos, test, status in rows:
+        if None not in (i, kind, test):
+            last.setdefault((i, kind, phase, test), None)
+            last[i, kind, phase, test] = status if status is not None else "null"
+
+    def whole(i, kind, phase, base):
+        seen = {s for (i2, k2, p2, t), s in last.items() if (i2, k2, p2, t.split("[")[0]) == (i, kind, phase, base) and s != "null"}
+        return None if not seen else "FAILED" if seen & {"FAILED", "ERROR", "UNKNOWN"} else "PASSED" if "PASSED" in seen else "SKIPPED"
+
+    def status(i, phase, test):
+        exact = last.get((i, "f2p", phase, test))
+        return exact if exact not in (None, "null") else whole(i, "f2p", phase, test.split("[")[0])
+
+    want = [("f2p", i, t) for i, t in sorted({p for p in asked if None not in p}) if status(i, "before", t) in ("FAILED", "ERROR")
+            and status(i, "after", t) == "PASSED"]
+    bases = {(i, kind, t.split("[")[0]) for i, kind, _phase, t in last if kind != "f2p"}
+    want += [("p2p", i, b) for i, kind, b in bases if whole(i, kind, "before", b) == whole(i, kind, "after", b) == "PASSED"]
+    got = labels.derive_labels(spark.createDataFrame(asked, "instance_id string, selector string"), lines)
+    assert sorted((r.kind, r.instance_id, r.test) for r in got.collect()) == sorted(want) and len(want) > 8
+    assert any("[" in t for _k, _i, t in want)
+
+
 def test_order_of_lines_never_mixes_logs(spark):
     df = spark.createDataFrame([(1, 2**31 - 1), (2, 0), (2**62, 5)], "batch long, pos int")
     order = [r[0] for r in df.select(testlogs.log_order(F.col("batch"), F.col("pos"))).collect()]

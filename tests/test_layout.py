@@ -151,3 +151,12 @@ def test_counting_heavy_keys_shares_the_shuffle(spark, hot):
     plan = layout.heavy_keys(hot.distinct(), ["k"], 100)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Filter") == 1  # that of the result
     assert layout.heavy_keys(spark.createDataFrame([(None,)] * 50, "k string"), ["k"], 5).count() == 0
+
+
+def test_tables_dealt_alike_need_no_further_shuffle(spark, hot):
+    assert layout.dealing(hot.where("k IS NOT NULL"), ["k"], rows=200, heavy_rows=500) == (15,)
+    small = spark.range(4000).select(F.concat(F.lit("k"), F.col("id") % 900).alias("k"), "id")
+    deal = layout.dealing(small, ["k"], rows=200)
+    assert deal == (20, "k")
+    both = small.repartition(*deal).unionByName(small.withColumn("id", -F.col("id")).repartition(*deal))
+    assert both.groupBy("k", "id").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2

@@ -87,3 +87,10 @@ def test_statuses_use_hash_aggregation(spark):
 def test_exploded_sides_are_not_broadcast(spark):
     for name, joins in (("render_feature_prompt", 2), ("enhance_features", 3)):
         assert plan(QUERIES[name](spark, SF)).count("SortMergeJoin") == joins
+
+
+def test_label_lines_are_not_shuffled(spark):
+    text = plan(QUERIES["derive_labels"](spark, SF))
+    for exchange in re.findall(r".*Exchange hashpartitioning.*\n.*\n", text):  # line items, orders and what may give a label
+        assert "max_by" not in exchange and "posexplode" not in exchange
+    assert plan(QUERIES["judge_expected_tests"](spark, SF)).count("lineitem.parquet") == 1  # the labels are stored
