@@ -271,6 +271,19 @@ def test_logs_as_lines_equal_logs_as_cells(spark):
     assert sorted(map(tuple, testlogs.parse_log_lines(lines, ["k"]).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_log_lines_in_one_pass_equal_the_join(spark):
+    heading = "=== short test summary info ==="
+    logs = [("a", 1, f"PASSED t.py::early\n{heading}\nFAILED t.py::x - why\n{heading}\n\x1b[31mPASSED\x1b[0m t.py::y\n"),
+            ("b", 1, "PASSED t.py::no_heading\nnoise"), ("a", 2, f"PASSED t.py::z\nPASSED {heading}\nERROR u"), ("a", 2, "PASSED t.py::z\nERROR v"),
+            (None, 1, f"PASSED t.py::early\n{heading}\nPASSED t.py::late"), ("c", None, f"{heading}\n" * 2 + "FAILED w")]
+    cells = spark.createDataFrame(logs, "k string, n int, log string").repartition(3, "k")
+    lines = cells.select("k", "n", F.posexplode(F.split("log", "\n")).alias("line_no", "line"))
+    joined, windowed = (testlogs.parse_log_lines(lines, ["k", "n"], together=t) for t in (False, True))
+    plan = windowed._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, windowed.collect())) == sorted(map(str, joined.collect()))
+    assert plan.count("Exchange") == 1 and "Join" not in plan  # the shuffle that deals the cells
+
+
 def test_an_update_is_computed_once(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 
