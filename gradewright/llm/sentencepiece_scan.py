@@ -11,8 +11,8 @@ left to those at its right; matrices are combined associatively in groups of ``F
 (up), the best states at inner boundaries are chosen level by level (down), and every chunk is traced back by itself
 from its two states. Only the matrices of one group meet in one task. Other documents are one chunk.
 
-Pieces never hold a space sign behind another sign, so words are independent: inside a chunk, whole words are merged
-once and remembered (bounded), and only a word cut by a boundary is walked for each state.
+Pieces never hold a space sign behind another sign, so words are independent: the distinct words of a run of rows are
+merged together, one merge of every word at a time, and only a word cut by a boundary is walked for each state.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; signs outside the vocabulary become
 bytes; the space sign of the model in a text decodes to a space, as the library has it; a null doc_id is carried;
@@ -22,48 +22,37 @@ rows that are equal give equal rows; an empty table gives no row.
 from __future__ import annotations
 
 import functools
-import re
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import documents, query, table, written
+from .tokens import gathered, slices
 
 CHUNK = 16_384
 FAN = 64
-MEMORY = 150_000  # words, and pairs of pieces, that a worker remembers
+MEMORY = 150_000  # pairs of pieces that a worker remembers
 SHORT = 48  # characters of a word that is merged rather than walked
 NEVER = float("-inf")
 SPACE = "▁"
-WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 ROWS_AT_ONCE = 256
+BYTES_AT_ONCE = 4 << 20  # of texts in a run of rows; their distinct words are merged together
+WORDS_AT_ONCE = 20_000
+IDS_AT_ONCE = 1 << 16
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)  # odd multipliers of hashes
 
 State = tuple[int, int]  # start and end of a piece, relative to a boundary
 
 
-class _Words(dict):
-    """word -> ids as bytes; when full, words that were not met again since it was last full go."""
-
-    def __init__(self, model: Model) -> None:
-        super().__init__()
-        self.model = model
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            # a whole word has no state at its left, so the best path is what merging gives; long ones are walked
-            ids = self.model.ids(self.model.merged(word) if len(word) <= SHORT else self.model.trace(word, 0, None, len(word)))
-        if len(self) >= MEMORY // 2:
-            self.older = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+def _slot(keys: np.ndarray, bits: int, table: int) -> np.ndarray:
+    return (keys.astype("u8") * np.uint64(MIX[table % len(MIX)]) >> np.uint64(64 - bits)).astype("i8")
 
 
 class Model:
@@ -84,13 +73,118 @@ class Model:
             raise ValueError("a piece holds a space sign behind another sign: words are not independent")
         if processor.encode(" a  b") != processor.encode(f"{SPACE}a{SPACE}{SPACE}b"):
             raise ValueError("the model normalises spaces")
-        self.shown = [b""] * size
+        shown = [b""] * size
         for piece, i in self.number.items():
-            self.shown[i] = piece.replace(SPACE, " ").encode()
+            shown[i] = piece.replace(SPACE, " ").encode()
         for b, i in enumerate(self.bytes):
-            self.shown[i] = bytes([b])
+            shown[i] = bytes([b])
+        self.shown, self.shown_n = np.frombuffer(b"".join(shown), "u1"), np.array([len(x) for x in shown], "i8")
+        self.shown_at = np.cumsum(self.shown_n) - self.shown_n
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words = _Words(self)
+        self._tables()
+
+    def _tables(self) -> None:
+        """The merges as arrays. A symbol is a piece's place in ``number``, or ``size`` and a code point if it is no piece."""
+        names, size = list(self.number), len(self.number)
+        place = dict(zip(names, range(size)))
+        self.size, self.width = size, size + sys.maxunicode + 1
+        self.signs = np.arange(size, self.width, dtype="i4")
+        for name, at in place.items():
+            if len(name) == 1:
+                self.signs[ord(name)] = at
+        known = lambda part: place.get(part, size + ord(part) if len(part) == 1 else None)
+        pairs = [(known(name[:k]), known(name[k:]), at) for name, at in place.items() for k in range(1, len(name))]
+        left, right, made = np.array([p for p in pairs if None not in p], "i8").reshape(-1, 3).T
+        self.signs[ord(" ")] = self.signs[ord(SPACE)]
+        # hash tables of places in ``keys``; a key that another has taken the slot of is in the next, smaller one
+        self.keys, self.made, self.slots = np.append(left * self.width + right, -1), np.append(made, -1).astype("i4"), []
+        left_out = np.arange(len(left))
+        while len(left_out):
+            bits = max(8, len(left_out).bit_length() + 4)
+            slots, at = np.full(1 << bits, len(left), "i4"), _slot(self.keys[left_out], bits, len(self.slots))
+            slots[at] = left_out
+            left_out = left_out[slots[at] != left_out]
+            self.slots.append((bits, slots))
+        self.scores = np.array([*self.score.values(), NEVER])
+        self.numbers = np.array([*self.number.values()], "u4")
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The symbol that two neighbours merge to; -1, whose score is minus infinity, if none."""
+        keys = left.astype("i8") * self.width + right
+        made, rest = np.full(keys.shape, -1, "i4"), None
+        for k, (bits, slots) in enumerate(self.slots):
+            some = keys if rest is None else keys[rest]
+            at = slots[_slot(some, bits, k)]
+            hit = self.keys[at] == some
+            found = np.where(hit, self.made[at], np.int32(-1))
+            if rest is None:
+                made = found
+            else:
+                made[rest] = found
+            other = ~hit & (at < len(self.keys) - 1)
+            rest = np.nonzero(other) if rest is None else tuple(r[other] for r in rest)
+            if not len(rest[0]):
+                break
+        return made
+
+    def _merged_alike(self, parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words of one length, a row of symbols each, as :meth:`merged` has them: the places of the words that are
+        done and their symbols. All words that are not done take their next merge at once, so their rows stay of one length."""
+        place = np.arange(len(parts))
+        fits = self._pairs(parts[:, :-1], parts[:, 1:])
+        while True:
+            at = self.scores[fits].argmax(axis=1) if fits.shape[1] else np.zeros(len(place), "i8")  # the leftmost of equals
+            row = np.arange(len(place))
+            go = fits[row, at] >= 0 if fits.shape[1] else np.zeros(len(place), bool)
+            yield place[~go], parts[~go]
+            if not go.any():
+                return
+            place, parts, fits, at, row = place[go], parts[go], fits[go], at[go], row[: go.sum()]
+            parts[row, at] = fits[row, at]
+            parts = parts[np.arange(parts.shape[1]) != at[:, None] + 1].reshape(len(place), parts.shape[1] - 1)
+            fits = fits[np.arange(fits.shape[1]) != at[:, None]].reshape(len(place), fits.shape[1] - 1)
+            behind, before = at < fits.shape[1], at > 0
+            fits[row[behind], at[behind]] = self._pairs(parts[row[behind], at[behind]], parts[row[behind], at[behind] + 1])
+            fits[row[before], at[before] - 1] = self._pairs(parts[row[before], at[before] - 1], parts[row[before], at[before]])
+
+    def merged_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct whole words, one after the other, with each word's start among them and its number."""
+        # a whole word has no state at its left, so the best path is what merging gives; long ones are walked
+        lengths = pc.utf8_length(words).to_numpy().astype("i8")
+        signs = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), "<u4")
+        symbols, begins = self.signs[signs], np.cumsum(lengths) - lengths
+        starts, counts, found, done = np.zeros(len(words), "i8"), np.zeros(len(words), "i8"), [], 0
+
+        def add(at: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+            nonlocal done
+            starts[at], counts[at] = done + np.cumsum(n) - n, n
+            found.append(ids)
+            done += len(ids)
+
+        for length in np.unique(lengths).tolist():
+            alike = np.flatnonzero(lengths == length)
+            if length > SHORT:
+                for at in alike.tolist():
+                    ids = self.ids(self.trace(words[at].as_py().replace(" ", SPACE), 0, None, length))
+                    add(np.array([at]), np.frombuffer(ids, "<u4"), np.array([len(ids) // 4]))
+                continue
+            for k in range(0, len(alike), WORDS_AT_ONCE):
+                some = alike[k : k + WORDS_AT_ONCE]
+                for place, parts in self._merged_alike(symbols[begins[some][:, None] + np.arange(length)]):
+                    add(some[place], *self._numbers(parts))
+        return np.concatenate([np.zeros(0, "u4"), *found]), starts, counts
+
+    def _numbers(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows of symbols and how many each row has; signs outside the vocabulary as their bytes."""
+        strange = parts >= self.size
+        if not strange.any():
+            return self.numbers[parts].ravel(), np.full(len(parts), parts.shape[1], "i8")
+        others, which = np.unique(parts[strange], return_inverse=True)
+        spelt = [np.array([self.bytes[b] for b in chr(x - self.size).encode()], "u4") for x in others.tolist()]
+        sizes = np.array([len(x) for x in spelt], "i8")
+        n, at = np.ones(parts.shape, "i8"), parts.astype("i8")
+        n[strange], at[strange] = sizes[which], len(self.numbers) + (np.cumsum(sizes) - sizes)[which]
+        return gathered(np.concatenate([self.numbers, *spelt]), at.ravel(), n.ravel()), n.sum(axis=1)
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging: the best pair first, the leftmost of equals."""
@@ -170,13 +264,29 @@ class Model:
                 found += [self.bytes[b] for b in piece.encode()]
         return struct.pack(f"<{len(found)}I", *found)
 
-    def encode_words(self, text: str) -> bytes:
-        """Ids of whole words."""
-        return b"".join(map(self.words.__getitem__, WORDS.findall(text)))
+    def encode_words(self, texts: pa.Array) -> list[bytes]:
+        """Ids of the whole words of each text whose spaces are as the model has them, plain or as its sign; a word that
+        comes again is merged once."""
+        lines = pc.replace_substring(texts.cast(pa.large_string()), SPACE, " ")
+        cuts = np.concatenate([[0], np.cumsum(pc.binary_length(lines).to_numpy())])
+        data = b"".join(lines.cast(pa.large_binary()).to_pylist())
+        space = np.frombuffer(data, "u1") == ord(" ")
+        first = space.copy()  # a word begins with its spaces, and with its text
+        first[1:] &= ~space[:-1]
+        first[cuts[:-1][np.diff(cuts) > 0]] = True
+        begins = np.flatnonzero(first)
+        offsets = pa.py_buffer(np.append(begins, len(data)).astype("i8"))
+        coded = pa.Array.from_buffers(pa.large_string(), len(begins), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        at = coded.indices.to_numpy()
+        ids, starts, counts = self.merged_words(coded.dictionary)
+        flat = gathered(ids, starts[at], counts[at]).astype("<u4")
+        ends = np.concatenate([[0], np.cumsum(counts[at])])[np.searchsorted(begins, cuts)].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space that encoding puts in front is taken off."""
-        shown = b"".join(map(self.shown.__getitem__, ids.tolist()))
+        runs = (ids[k : k + IDS_AT_ONCE] for k in range(0, len(ids), IDS_AT_ONCE))
+        shown = b"".join(gathered(self.shown, self.shown_at[i], self.shown_n[i]).tobytes() for i in runs)
         return shown.removeprefix(b" ").decode(errors="replace")
 
     def states(self, text: str, at: int) -> list[State]:
@@ -199,14 +309,26 @@ def normalised(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def _spaced(texts: pa.Array) -> pa.Array:
+    """As :func:`normalised`, with plain spaces."""
+    texts = texts.cast(pa.large_string())
+    led = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+    return pc.if_else(pc.equal(texts, ""), texts, led)
+
+
 class Chunk:
     """Characters ``left`` to ``right`` of ``text``, which shows as much on either side as a piece may reach over."""
 
     def __init__(self, piece_model: Model, text: str, left: int, right: int, first: bool, last: bool):
         self.model, self.text, self.left, self.right = piece_model, text, left, right
         self.first, self.last = first, last
-        cuts = [m.start() for m in WORDS.finditer(text) if left < m.start() < right and text[m.start()] == SPACE]
-        self.head, self.tail = (cuts[0], cuts[-1]) if cuts else (None, None)
+        # the first and the last word that begins inside
+        head, tail = text.find(SPACE, left + 1, right), text.rfind(SPACE, left + 1, right)
+        while head >= 0 and text[head - 1] == SPACE:
+            head = text.find(SPACE, head + 1, right)
+        while tail > head and text[tail - 1] == SPACE:
+            tail -= 1
+        self.head, self.tail = (head, tail) if head >= 0 else (None, None)
 
     def sides(self) -> tuple[list[State | None], list[State | None]]:
         """States at the left and at the right boundary; None stands for the start and the end of the document."""
@@ -236,15 +358,16 @@ class Chunk:
             through.append(at == self.head or (at < self.head and self.head in self.model.walk(self.text, at, before, self.head)))
         return np.outer(through, self._reached(self.tail, None, outs)).astype(bool)
 
-    def ids(self, state: State | None, out: State | None) -> bytes:
-        """Ids of the pieces behind ``state`` up to and with ``out``."""
+    def parts(self, state: State | None, out: State | None) -> tuple[bytes, str, bytes]:
+        """The ids of the pieces behind ``state`` up to and with ``out``: those of the cut word in front, the text of
+        the whole words, and those of the cut word behind."""
         at, before = self._from(state, self.right)
         end = self.right if out is None else self.right + out[1]
         if self.head is None:
-            return self.model.ids(self.model.trace(self.text, at, before, self.right, end))
+            return self.model.ids(self.model.trace(self.text, at, before, self.right, end)), "", b""
         front = self.model.trace(self.text, at, before, self.head) if at < self.head else []
-        whole = self.model.encode_words(self.text[self.head : self.tail])
-        return self.model.ids(front) + whole + self.model.ids(self.model.trace(self.text, self.tail, None, self.right, end))
+        behind = self.model.trace(self.text, self.tail, None, self.right, end)
+        return self.model.ids(front), self.text[self.head : self.tail], self.model.ids(behind)
 
 
 CHUNKS = "doc_id long, doc long, at long, n long, text string, left long, right long"
@@ -255,7 +378,7 @@ def chunked(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = model(path).longest
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, most=BYTES_AT_ONCE)):
             rows: list[tuple] = []
             for doc_id, text, doc in zip(*(c.to_pylist() for c in batch.columns)):
                 line = normalised(text)
@@ -286,6 +409,19 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, ROWS_AT_ONCE)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of about ``BYTES_AT_ONCE`` of text, over the borders of batches."""
+    waiting, held = [], 0
+    for batch in (part for whole in batches for part in slices(whole, most=BYTES_AT_ONCE)):
+        waiting.append(batch)
+        held += batch.column("text").nbytes
+        if held >= BYTES_AT_ONCE:
+            yield pa.concat_batches(waiting)
+            waiting, held = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
 def _chunk(row: dict, path: str, size: int) -> Chunk:
     if size <= 2 * model(path).longest:
         raise ValueError("a chunk must be longer than two pieces")
@@ -363,28 +499,30 @@ def encoded(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
     """doc_id, n_chunks and ``ids`` (little-endian unsigned 32-bit integers) of each whole text."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            ids = [model(path).encode_words(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "doc", "at", "n")), pa.array(ids, pa.binary())], names=["doc_id", "doc", "at", "n", "ids"])
+        for batch in _runs(batches):
+            ids = pa.array(model(path).encode_words(_spaced(batch["text"])), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.ones(len(ids), "i8")), ids], names=["doc_id", "n_chunks", "ids"])
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            ids = []
+        for batch in _runs(batches):
+            parts = []
             for row in batch.to_pylist():
                 part = _chunk(row, path, size)
                 ins, outs = part.sides()
-                ids.append(part.ids(ins[row["i"]], outs[row["o"]]))
+                parts.append(part.parts(ins[row["i"]], outs[row["o"]]))
+            whole = model(path).encode_words(pa.array([text for _, text, _ in parts], pa.large_string()))
+            ids = [front + words + behind for (front, _, behind), words in zip(parts, whole)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "doc", "at", "n")), pa.array(ids, pa.binary())], names=["doc_id", "doc", "at", "n", "ids"])
 
-    chunks = chunked(docs, path, size)
-    short = chunks.where("n = 1").mapInArrow(whole, ENCODED)
-    long = written(chunks.where("n > 1"), "scan-chunks")
+    texts, in_one = documents(docs), F.length("text") < size  # normalising puts one character in front
+    short = texts.where(in_one).mapInArrow(whole, "doc_id long, n_chunks long, ids binary")
+    long = written(chunked(texts.where(~in_one), path, size), "scan-chunks")
     spread = long.repartition(max(1, min(long.count() // 32, 10_000)))  # chunks of one document go to many tasks
     parts = scanned(spread, path, size).mapInArrow(traced, ENCODED)
     pieces = F.array_sort(F.collect_list(F.struct("at", "ids")))  # the ids of one text, which is one row itself
     joined = parts.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n_chunks"), pieces.alias("parts"))
     ids = F.aggregate(F.transform("parts", lambda p: p["ids"]), F.lit(b""), lambda a, b: F.concat(a, b))
-    return short.select("doc_id", F.col("n").alias("n_chunks"), "ids").union(joined.select("doc_id", "n_chunks", ids.alias("ids")))
+    return short.union(joined.select("doc_id", "n_chunks", ids.alias("ids")))
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:

@@ -149,3 +149,17 @@ def test_scan_of_many_levels(spark, library, monkeypatch):
     for k, t in ((1, text), (2, text.replace(" ", ""))):
         assert np.frombuffer(bytes(got[k]), "<u4").tolist() == library.encode(t)
     assert sentencepiece_scan.encoded(df.limit(0), path, 64).count() == 0
+
+
+def test_sentencepiece_merges_a_word_once_in_a_run_of_rows(library, monkeypatch):
+    model = sentencepiece_scan.Model(sentencepiece_scan.default_path())
+    many = [f"w{k} Straße{k % 7}  ☃{k % 5}日本 ▁x{'ab' * 40} \U0001f600" for k in range(300)]
+    texts = ["", " ", "a ", " a", "  two  spaces ", "▁ ▁", "\t\n x", "퟿é", *many, *many]
+    seen: list[int] = []
+    merged = model.merged_words
+    monkeypatch.setattr(model, "merged_words", lambda words: seen.append(len(words)) or merged(words))
+    got = model.encode_words(pa.array([sentencepiece_scan.normalised(t) for t in texts]))
+    ids = [np.frombuffer(g, "<u4") for g in got]
+    assert [i.tolist() for i in ids] == [library.encode(t) for t in texts]
+    assert [model.decode(i) for i in ids] == [library.decode(i.tolist()) for i in ids]
+    assert len(seen) == 1 and seen[0] < 700
