@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import documents, query, table, written
-from .tokens import gathered, slices
+from .tokens import gathered, runs, slices
 
 CHUNK = 16_384
 FAN = 64
@@ -409,19 +409,6 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, ROWS_AT_ONCE)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in runs of about ``BYTES_AT_ONCE`` of text, over the borders of batches."""
-    waiting, held = [], 0
-    for batch in (part for whole in batches for part in slices(whole, most=BYTES_AT_ONCE)):
-        waiting.append(batch)
-        held += batch.column("text").nbytes
-        if held >= BYTES_AT_ONCE:
-            yield pa.concat_batches(waiting)
-            waiting, held = [], 0
-    if waiting:
-        yield pa.concat_batches(waiting)
-
-
 def _chunk(row: dict, path: str, size: int) -> Chunk:
     if size <= 2 * model(path).longest:
         raise ValueError("a chunk must be longer than two pieces")
@@ -499,12 +486,12 @@ def encoded(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
     """doc_id, n_chunks and ``ids`` (little-endian unsigned 32-bit integers) of each whole text."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _runs(batches):
+        for batch in runs(batches, BYTES_AT_ONCE):
             ids = pa.array(model(path).encode_words(_spaced(batch["text"])), pa.binary())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.ones(len(ids), "i8")), ids], names=["doc_id", "n_chunks", "ids"])
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _runs(batches):
+        for batch in runs(batches, BYTES_AT_ONCE):
             parts = []
             for row in batch.to_pylist():
                 part = _chunk(row, path, size)

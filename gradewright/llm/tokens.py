@@ -127,6 +127,19 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         start = stop
 
 
+def runs(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Rows in runs of about ``most`` bytes of text (less than twice that, or one text), over the borders of batches."""
+    waiting, held = [], 0
+    for batch in (part for whole in batches for part in slices(whole, column, most)):
+        waiting.append(batch)
+        held += batch.column(column).nbytes
+        if held >= most:
+            yield pa.concat_batches(waiting)
+            waiting, held = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> BatchEncoder:
     """One per Python worker and file, kept between tasks."""

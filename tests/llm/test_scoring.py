@@ -6,7 +6,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gradewright.llm import html_extraction, lm_scoring, pii, quality
 
@@ -230,3 +232,27 @@ def test_word_tables_grow_with_the_input(spark):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     got = {r.doc_id: r.score for r in lm_scoring.word_cross_entropy(docs, labels).collect()}
     assert got[3] < 0 < got[4] and got[1] == pytest.approx(got[2]) == pytest.approx(got[4])  # the label of 1 is its own
+
+
+def test_hot_events_are_few_and_all_others_are_packed(spark, monkeypatch):
+    """Each task lists what may be hot in it; what is not goes in a row for each range of events, not one for each event."""
+    monkeypatch.setattr(lm_scoring, "SHARE_BYTES", 200)
+    random.seed(5)
+    texts = [(k, f"all alike {k} {random.random()} " + " ".join(f"w{random.randrange(400)}" for _ in range(30))) for k in range(300)]
+    docs = spark.createDataFrame(texts, "_key long, text string").withColumn("_good", F.col("_key") % 2).repartition(3)
+    rows = collections.Counter()
+    for _, t in texts:
+        words = t.split()
+        rows.update(set(zip(["", *words], [*words, ""])))
+    most = 60
+    hot = lm_scoring.hot_events(docs, most)
+    heavy = [e for e, n in rows.items() if n * most >= sum(rows.values())]
+    assert len(heavy) == 2 <= len(hot) <= 2 * most
+    alike = lm_scoring._cells(pa.array(["all alike"]))[0]
+    assert np.isin(alike, hot).sum() == 2  # from the edge to "all", and "all alike"
+    packs = lm_scoring.packed_events(docs, hot, 4).collect()
+    assert len(packs) <= 4 * 3
+    held = collections.Counter(e for p in packs for e in np.cumsum(lm_scoring._values(p["_steps"], "<u8"), dtype="u8").tolist())
+    kept = lm_scoring.events(docs, hot).groupBy("_event").count().collect()
+    assert sorted([*held.values(), *(r["count"] for r in kept)]) == sorted(rows.values())
+    assert {int(p["_range"]) for p in packs} == set(range(4))
