@@ -341,3 +341,40 @@ def test_replies(spark):
         ("o/r", "v#1", "new_feature", 0, "d", ["https://h/o/r/pull/1", "https://h/o/r/pull/2"]),
         ("o/r", "v#1", "new_feature", 1, "", [])]
     assert {r.prompt_key for r in rejected.collect()} == {"o/r#b", "o/r#p"}
+
+
+def test_only_statements_are_walked(monkeypatch):
+    source = """
+try:
+    def a(): return [x for x in range(3)]
+except ValueError:
+    def b(): pass
+else:
+    class C:
+        if 1:
+            def inner(self): pass
+        def m(self):
+            with open("x") as f:
+                class D:
+                    def k(self): pass
+finally:
+    async def c(): pass
+match 1:
+    case 1:
+        def d(): pass
+while 1:
+    def a(): return 2
+else:
+    for _ in ():
+        def e(): pass
+"""
+
+    def unwanted(node):
+        raise AssertionError("walks expressions as well")
+
+    monkeypatch.setattr(ast, "iter_child_nodes", unwanted)
+    found = symbols._elements(source)
+    names = {kind: [x["name"] for x in found if x["kind"] == kind] for kind in symbols.KINDS}
+    assert {k: sorted(v) for k, v in names.items()} == {"function": ["a", "b", "c", "d", "e"], "class": ["C", "D"], "method": ["C.m", "D.k"]}
+    first, second = (symbols._elements(f"def a(): return {body}")[0]["body_hash"] for body in ("[x for x in range(3)]", "2"))
+    assert next(x["body_hash"] for x in found if x["name"] == "a") == first != second  # the one in ``try`` comes first
