@@ -49,6 +49,20 @@ def test_resolve(spark):
     assert got == {"a[1]": "PASSED", "a": "FAILED", "a[9]": "FAILED", "b": "SKIPPED", "c": "PASSED", "z": "UNKNOWN"}
 
 
+def test_selectors_resolved_together_equal_the_joins(spark):
+    """Nulls, repeats, statuses that are null or odd, and a column of the selectors' own."""
+    rng = random.Random(8)
+    tests, ids = ["a", "a[1]", "a[2]", "b[1]", "c", "d[x][y]", "", None], [*[f"i{k}" for k in range(30)], None]
+    statuses = ["PASSED"] * 4 + ["FAILED", "SKIPPED", "SKIPPED", "ERROR", "UNKNOWN", "XFAIL", None]
+    seen = spark.createDataFrame([(i, t, rng.choice(statuses)) for i in ids for t in tests if rng.random() < 0.5],
+                                 "instance_id string, test string, status string")
+    asked = spark.createDataFrame([(n, t, rng.choice(ids + ["none"])) for n, t in enumerate(3 * tests * 12 + ["e", "a[9]", "b"] * 20)],
+                                  "n int, selector string, instance_id string")
+    found = testlogs.resolve_test_status(asked, seen, together=True)
+    want = testlogs.resolve_test_status(asked, seen)
+    assert found.columns == want.columns and sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
 def test_labels(spark):
     before = outcomes(spark, [("a", "FAILED"), ("b", "PASSED"), ("d", "ERROR"), ("e", "SKIPPED")])
     after = outcomes(spark, [("a", "PASSED"), ("b", "PASSED"), ("c", "PASSED"), ("d", "PASSED"), ("e", "PASSED")])

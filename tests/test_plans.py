@@ -95,3 +95,11 @@ def test_label_lines_are_not_shuffled(spark):
         assert "max_by" not in exchange and "posexplode" not in exchange
     assert "posexplode" not in plan(QUERIES["judge_expected_tests"](spark, SF))  # the labels are stored
     assert "Join" not in plan(QUERIES["parse_log_lines"](spark, SF))
+
+
+def test_selectors_and_outcomes_are_not_shuffled(spark):
+    for name in ("resolve_test_status", "query_tests"):
+        text = plan(QUERIES[name](spark, SF))
+        exchanges = re.findall(r".*Exchange hashpartitioning.*\n.*\n", text)
+        assert len(exchanges) == 2 and "Join" not in text  # line items, for the logs and for the selectors
+        assert all("FileScan" in e or "Project" in e for e in exchanges) and "posexplode" not in "".join(exchanges)
