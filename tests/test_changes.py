@@ -111,6 +111,19 @@ def test_apply_hunks_edges(spark):
     assert {r.filename for r in status.collect() if not r.ok} == {"there", "missing"}
 
 
+def test_a_summary_has_names_and_text_of_every_diff(spark):
+    rows = [("i", 3, "c", True), ("i", 0, "a", True), ("i", 1, "b", False), ("j", 0, "x", False), (None, 0, "n", True), ("i", 2, "d", True)]
+    applied = spark.createDataFrame(rows, "instance_id string, pos int, filename string, ok boolean")
+    texts = spark.createDataFrame([("i", "I"), ("j", "J"), ("none", "no file"), (None, "N")], "instance_id string, diff string")
+    found = diffs.patch_application_summary(applied, texts)
+    assert found.columns == ["instance_id", "chunk", "total_files_num", "applied_files_num", "applied_files", "patch_content"]
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == {
+        "i": (0, 4, 3, ["a", "d", "c"], "I"), "j": (0, 1, 0, [], "J"), "none": (0, 0, 0, [], "no file"), None: (0, 1, 1, ["n"], "N")}
+    parts = diffs.patch_application_summary(applied, texts, size=2).where("instance_id = 'i'").orderBy("chunk").collect()
+    assert [tuple(r)[1:] for r in parts] == [(0, 4, 3, ["a"], "I"), (1, 4, 3, ["d", "c"], None)]
+    assert diffs.patch_application_summary(applied).count() == 3
+
+
 def test_diffs_are_parsed_once_before_all_uses(spark):
     rows = [("i", 0, "a", "modified", None, "@@ -1 +1 @@\n-1\n+2"), ("i", 1, "n", "renamed", "m", "")]
     f = spark.createDataFrame([("i", "a", "1\n"), ("i", "m", "x"), ("i", "two", None), ("i", "two", "t")], FILES)
