@@ -124,6 +124,15 @@ def test_a_summary_has_names_and_text_of_every_diff(spark):
     assert diffs.patch_application_summary(applied).count() == 3
 
 
+def test_a_file_is_patched_once(spark):
+    f = spark.createDataFrame([("i", "a", "1\n")], FILES)
+    results = diffs.apply_hunks(f, spark.createDataFrame([("i", 0, "a", "modified", None, "@@ -1 +1 @@\n-1\n+2")], PATCHES))
+    for df, want in zip(results, [("i", "a", "2\n"), ("i", 0, "a", "modified", True)]):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("AS sound") <= 2  # by a column of single patches, and in chains
+        assert not any("Filter" in line and "lambdafunction" in line for line in text.split("\n")) and [tuple(r) for r in df.collect()] == [want]
+
+
 def test_diffs_are_parsed_once_before_all_uses(spark):
     rows = [("i", 0, "a", "modified", None, "@@ -1 +1 @@\n-1\n+2"), ("i", 1, "n", "renamed", "m", "")]
     f = spark.createDataFrame([("i", "a", "1\n"), ("i", "m", "x"), ("i", "two", None), ("i", "two", "t")], FILES)
