@@ -87,7 +87,7 @@ def _(spark, sf):
 @query("labels_of_statuses", f"""WITH {COMBINED}, {F2P}, {P2P}
  SELECT instance_id, 'f2p' AS kind, test FROM f2p UNION ALL SELECT instance_id, 'p2p', test FROM p2p""")
 def _(spark, sf):
-    path, logs = scratch_dir(spark, "statuses"), carriers.label_logs(spark, sf)
+    path, logs = scratch_dir(spark, "statuses"), carriers.label_logs(spark, sf, carriers.deal_by_instance(spark, sf))
     for number, part in enumerate(("batch % 3 = 0", "batch % 3 > 0")):  # logs of one test come in both updates
         jobs.store_statuses(logs.where(part), path, number, buckets=16)
     return jobs.labels_of_statuses(spark, path, carriers.changed_selectors(spark, sf))

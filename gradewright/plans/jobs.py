@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decode_test_list
 from ..operators import curation, judging, labels, repos, symbols, testlogs, transform, usage
-from ..operators.layout import skew_join
+from ..operators.layout import dealing, skew_join
 from ..session import scratch_dir
 from ..sources import keyed
 
@@ -90,6 +90,7 @@ def mine_labels(
 
 
 STATUS_KEYS = ["instance_id", "kind", "phase", "test"]
+STATUS_BY = ["instance_id", "test"]  # so that the statuses of one test lie together
 
 
 def store_statuses(logs: DataFrame, path: str, batch: int = 0, buckets: int = keyed.BUCKETS) -> None:
@@ -102,12 +103,19 @@ def store_statuses(logs: DataFrame, path: str, batch: int = 0, buckets: int = ke
     lines = lines.withColumn("pos", testlogs.log_order(F.col("batch"), F.col("pos"))).drop("batch")
     # told apart by their order alone, so an update that is repeated or late changes nothing
     last = testlogs.last_lines(lines, STATUS_KEYS)
-    keyed.upsert_buckets(last, path, STATUS_KEYS, "pos", batch, by_batch=False, buckets=buckets, unique=True)
+    keyed.upsert_buckets(last, path, STATUS_KEYS, "pos", batch, by_batch=False, buckets=buckets, unique=True, by=STATUS_BY)
 
 
 def labels_of_statuses(spark: SparkSession, path: str, selectors: DataFrame) -> DataFrame:
-    """Both kinds of labels from the stored statuses: those of all logs at once, without reading any."""
-    return labels.derive_labels(selectors, keyed.read_buckets(spark, path))
+    """Both kinds of labels from the stored statuses: those of all logs at once, without reading any.
+
+    Statuses and selectors are dealt by instance alike, as they lie; where an instance is hot, the aggregates deal them.
+    """
+    statuses = keyed.read_buckets(spark, path)
+    deal = dealing(statuses, ["instance_id"], rows=1_000_000)
+    if len(deal) > 1:
+        statuses, selectors = statuses.repartition(*deal), selectors.repartition(*deal)
+    return labels.derive_labels(selectors, statuses)
 
 
 def store_releases(releases: DataFrame, path: str, batch: int, top: int = 30, min_date: str = "2024-06-01", buckets: int = keyed.BUCKETS) -> None:

@@ -1,5 +1,6 @@
 import datetime
 import json
+import re
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
@@ -194,6 +195,34 @@ def test_an_update_rewrites_the_buckets_it_touches(spark, tmp_path):
         keyed.upsert_buckets(new, str(path), ["k"], "seq", 2, buckets=4)
 
 
+def test_large_buckets_are_merged_in_parts(spark, tmp_path):
+    rows = spark.range(300).selectExpr("concat('k', id % 60) AS k", "concat('m', id) AS m", "id AS v", "1 AS seq")
+    more = spark.range(250, 400).selectExpr("concat('k', id % 60) AS k", "concat('m', id) AS m", "-id AS v", "2 AS seq")
+    more = more.unionByName(spark.createDataFrame([(None, "m", 7, 2), ("k", None, 8, 2)], "k string, m string, v long, seq int"))
+    path = tmp_path / "t"
+    for batch, updates in enumerate((rows, more, rows)):  # the last comes late
+        keyed.upsert_buckets(updates, str(path), ["k", "m"], "seq", min(batch, 1), by_batch=False, buckets=4, by=["k"], part_rows=10)
+        files = [len(list(p.glob("*.parquet"))) for p in path.glob("buckets=4/bucket=*")]
+        assert len(files) == 4 and max(files) > 2
+    want = {("k%d" % (i % 60), f"m{i}"): i if i < 250 else -i for i in range(400)} | {(None, "m"): 7, ("k", None): 8}
+    found = keyed.read_buckets(spark, str(path)).collect()
+    assert {(r.k, r.m): r.v for r in found} == want and len(found) == len(want)
+    buckets = spark.read.parquet(str(path)).groupBy("k").agg(F.countDistinct("bucket").alias("n"))
+    assert {r.n for r in buckets.collect()} == {1}
+    with pytest.raises(ValueError, match="not chosen by k, m"):
+        keyed.upsert_buckets(rows, str(path), ["k", "m"], "seq", 2, by_batch=False, buckets=4)
+
+
+def test_stored_statuses_are_shuffled_once(spark, tmp_path):
+    rows = [(f"i{i}", kind, phase, 1, f"PASSED t.py::a[{i}]") for i in range(9) for kind in ("f2p", "p2p") for phase in ("before", "after")]
+    jobs.store_statuses(spark.createDataFrame(rows, "instance_id string, kind string, phase string, batch long, log string"), str(tmp_path / "s"), buckets=4)
+    asked = spark.createDataFrame([("i1", "t.py::a")], "instance_id string, selector string")
+    labels = jobs.labels_of_statuses(spark, str(tmp_path / "s"), asked)
+    text = labels._jdf.queryExecution().executedPlan().toString()
+    assert "max_by" in text and not any("max_by" in e for e in re.findall(r".*Exchange hashpartitioning.*\n.*\n", text))
+    assert labels.count() == 9
+
+
 def test_statuses_in_two_updates_equal_one_run(spark, tmp_path):
     lines = "== short test summary info ==\n"
     logs = [("i", "p2p", phase, b, f"{lines}{status} t.py::a\nPASSED t.py::b[{b}]\n") for b, (phase, status) in enumerate(
